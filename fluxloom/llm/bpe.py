@@ -17,7 +17,9 @@ repeated results.  A null id stays null.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,41 +28,25 @@ from pyspark.sql import functions as F
 
 from fluxloom.llm import common, tokenizers_
 
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 
 KEY = ["doc_id", "text_hash", "text_len"]
 
 
-def encode_chunks(
-    docs: DataFrame,
-    path: str,
-    pattern: str,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    chunk_chars: int = CHUNK_CHARS,
-    overlap_chars: int = OVERLAP_CHARS,
-) -> DataFrame:
-    """Stretches of each text with their ids: doc_id, text_hash, text_len, part (ascending), ids array<int>, copies.
-
-    Of long texts, equal rows (id and text) are encoded once: copies says how many
-    there are.  A short text is part 0, without hash and length, of copies 1.
-    """
+def _cut(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id and text of the rows that are one chunk, and of the longer ones."""
     common.prepare(docs.sparkSession)
     d = common.id_text(docs, id_col, text_col)
-    short = d.filter(F.length("text") <= chunk_chars)
-    long = d.filter(F.length("text") > chunk_chars)
+    return d.filter(F.length("text") <= chunk_chars), d.filter(F.length("text") > chunk_chars)
 
-    def encoder():
-        enc = tokenizers_.byte_bpe(path, pattern)
-        return lambda b: {
-            "doc_id": b["doc_id"], "text_hash": (none := [None] * len(b["doc_id"])), "text_len": none, "copies": [1] * len(none),
-            "part": [0] * len(none), "ids": [np.asarray(enc.encode(t), "<i4") for t in b["text"]],
-        }
 
-    key = "doc_id long, text_hash long, text_len int, copies long"
-    out = common.by_batch(short, f"{key}, part long, ids array<int>", encoder)
+def stitched(long: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """Encoded stretches of long texts: KEY, copies, run (ascending from 1), ids binary (unsigned, 32 bits, little-endian).
 
+    Equal rows (id and text) are encoded once; copies says how many there are.
+    """
+    key = "doc_id long, text_hash long, text_len int, copies long"
     texts = long.groupBy("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("text_len")).agg(
         F.first("text").alias("text"), F.count("*").alias("copies")
     )
@@ -81,9 +67,10 @@ def encode_chunks(
             heads, tails = [], []
             for no, t, n in zip(b["chunk"], b["text"], b["text_len"], strict=True):
                 last = no * chunk_chars + len(t) >= n
-                # A pre-token that touches the chunk's end may go on behind it.
-                ends = [e for m in words.finditer(t) if (e := m.end()) < len(t) or last]
-                heads.append([0, *(e for e in ends if e <= overlap_chars)])
+                # A pre-token that touches the chunk's end may go on behind it.  White space is split by
+                # what follows it, which a stretch that ends there would not see: no stitch after it.
+                ends = [e for m in words.finditer(t) if ((e := m.end()) < len(t) or last) and not t[e - 1].isspace()]
+                heads.append([0, *(e for e in ends if e <= overlap_chars)])  # where a chunk starts, it may be stitched
                 tails.append([e - chunk_chars for e in ends if e >= chunk_chars])
             return b | {"head": heads, "tail": tails}
 
@@ -106,38 +93,44 @@ def encode_chunks(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizers_.byte_bpe(path, pattern)
-        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text_len", pa.int32()), ("copies", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        for key, rows in _groups(batches, (*KEY, "copies", "run")):
+            ids = np.asarray(enc.encode("".join(r["text"][r["cut"] or 0 :] for r in rows)), "<u4")
+            yield _row(ENCODED, (*key, ids.tobytes()))
+
+    return runs.mapInArrow(pieces, f"{key}, run long, ids binary")
+
 
-        def row(key: tuple, held: list[str]) -> pa.RecordBatch:
-            ids = np.asarray(enc.encode("".join(held)), "<i4")
-            return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((*key, ids), schema, strict=True)], schema=schema)
+ENCODED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text_len", pa.int32()), ("copies", pa.int64()), ("run", pa.int64()), ("ids", pa.binary())])
 
-        key, held = None, []
-        for b in batches:
-            for r in b.to_pylist():
-                now = (r["doc_id"], r["text_hash"], r["text_len"], r["copies"], r["run"])
-                if now != key and key is not None:
-                    yield row(key, held)
-                    held = []
-                key = now
-                held.append(r["text"][r["cut"] or 0 :])
-        if key is not None:
-            yield row(key, held)
 
-    return out.unionByName(runs.mapInArrow(pieces, out.schema))
+def _row(schema: pa.Schema, values: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(values, schema, strict=True)], schema=schema)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, **more) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """Rows of sorted batches by key, read one at a time."""
+    rows = (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist())
+    yield from groupby(rows, key=lambda r: tuple(r[n] for n in names))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="text", chunk_chars=CHUNK_CHARS, overlap_chars=OVERLAP_CHARS) -> DataFrame:
     """doc_id, ids array<int> of each row of docs."""
-    parts = encode_chunks(docs, path, pattern, **more)
-    done, rest = parts.filter("part = 0"), parts.filter("part > 0")
-    # Runs of one text count from 1; gathered again they are as large as the text's row.
-    whole = (
-        rest.groupBy(*KEY, "copies").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("p"))
-        .select("doc_id", F.flatten(F.col("p.ids")).alias("ids"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("c"))
-        .select("doc_id", "ids")
-    )
-    return done.select("doc_id", "ids").unionByName(whole)
+    short, long = _cut(docs, id_col, text_col, chunk_chars)
+
+    def encoder():
+        enc = tokenizers_.byte_bpe(path, pattern)
+        return lambda b: {"doc_id": b["doc_id"], "ids": [np.asarray(enc.encode(t), "<i4") for t in b["text"]]}
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        for key, rows in _groups(batches, (*KEY, "copies")):
+            ids = np.frombuffer(b"".join(r["ids"] for r in rows), "<i4")
+            for _ in range(key[3]):
+                yield _row(schema, (key[0], ids))
+
+    runs = stitched(long, path, pattern, chunk_chars, overlap_chars)
+    whole = runs.repartition(*KEY).sortWithinPartitions(*KEY, "run").mapInArrow(joined, "doc_id long, ids array<int>")
+    return common.by_batch(short, "doc_id long, ids array<int>", encoder).unionByName(whole)
 
 
 def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -150,20 +143,37 @@ def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     return common.by_batch(ids.select("doc_id", "ids"), "doc_id long, bytes binary", decoder)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, **more) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode without moving ids between tasks."""
+def digests(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="text", chunk_chars=CHUNK_CHARS, overlap_chars=OVERLAP_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode where the text lies."""
+    short, long = _cut(docs, id_col, text_col, chunk_chars)
+    columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def digest():
         enc = tokenizers_.byte_bpe(path, pattern)
 
         def of(b: dict) -> dict:
-            ids = [np.asarray(x if x is not None else [], "<u4") for x in b["ids"]]
+            ids = [enc.encode(t) for t in b["text"]]
             return {
-                "doc_id": b["doc_id"], "n_tokens": [len(x) for x in ids],
-                "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(enc.decode(x.tolist())).hexdigest() for x in ids],
+                "doc_id": b["doc_id"], "n_tokens": list(map(len, ids)),
+                "ids_sha256": [hashlib.sha256(array("I", x).tobytes()).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(enc.decode(x)).hexdigest() for x in ids],
             }
 
         return of
 
-    return common.by_batch(encode(docs, path, pattern, **more), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = tokenizers_.byte_bpe(path, pattern)
+        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+        for key, rows in _groups(batches, (*KEY, "copies")):
+            n, a, d = 0, hashlib.sha256(), hashlib.sha256()
+            for r in rows:
+                a.update(r["ids"])
+                ids = np.frombuffer(r["ids"], "<u4").tolist()
+                d.update(enc.decode(ids))
+                n += len(ids)
+            for _ in range(key[3]):
+                yield _row(schema, (key[0], n, a.hexdigest(), d.hexdigest()))
+
+    runs = stitched(long, path, pattern, chunk_chars, overlap_chars)
+    whole = runs.repartition(*KEY).sortWithinPartitions(*KEY, "run").mapInArrow(summed, columns)
+    return common.by_batch(short, columns, digest).unionByName(whole)
