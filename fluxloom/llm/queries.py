@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxloom.llm import bpe, common, token_counts
+from fluxloom.llm import bpe, common, dac, media, packing, quality, secrets, token_counts
 from fluxloom.llm import tokenizers_ as tok
 
 
@@ -10,10 +10,30 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.digests(common.documents(spark, sf_dir), tok.vocabulary("byte_bpe_50k.tiktoken"), tok.pattern())
 
 
+def op3_quality_rules(spark, sf_dir):
+    return quality.judge(common.documents(spark, sf_dir))
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts.count_tokens(common.documents(spark, sf_dir), tok.vocabulary("piece_bpe_32k.model"))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.pack(common.documents(spark, sf_dir), tok.vocabulary("word_bpe_49k.json"))
+
+
+def op7_media_columns(spark, sf_dir):
+    return media.digests(common.documents(spark, sf_dir))
+
+
+def op8_token_ids(spark, sf_dir):
+    return dac.digests(common.documents(spark, sf_dir), tok.vocabulary("byte_bpe_50k.json"))
+
+
+def op10_secret_scans(spark, sf_dir):
+    return secrets.digests(common.documents(spark, sf_dir))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
