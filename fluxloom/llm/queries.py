@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxloom.llm import bpe, common, dac, media, packing, quality, secrets, token_counts
+from fluxloom.llm import bpe, common, dac, media, packing, quality, secrets, simhash, token_counts
 from fluxloom.llm import tokenizers_ as tok
 
 
@@ -22,6 +22,10 @@ def op5_packing(spark, sf_dir):
     return packing.pack(common.documents(spark, sf_dir), tok.vocabulary("word_bpe_49k.json"))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.components(common.documents(spark, sf_dir))
+
+
 def op7_media_columns(spark, sf_dir):
     return media.digests(common.documents(spark, sf_dir))
 
