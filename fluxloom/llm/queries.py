@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxloom.llm import bpe, common, dac, media, packing, quality, secrets, simhash, token_counts
+from fluxloom.llm import bpe, common, dac, license_scan, media, packing, quality, secrets, simhash, token_counts, toxicity
 from fluxloom.llm import tokenizers_ as tok
 
 
@@ -10,6 +10,10 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.digests(common.documents(spark, sf_dir), tok.vocabulary("byte_bpe_50k.tiktoken"), tok.pattern())
 
 
+def op2_license_scans(spark, sf_dir):
+    return license_scan.scan(common.documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.judge(common.documents(spark, sf_dir))
 
@@ -34,6 +38,11 @@ def op8_token_ids(spark, sf_dir):
     return dac.digests(common.documents(spark, sf_dir), tok.vocabulary("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    return toxicity.judge(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_secret_scans(spark, sf_dir):
     return secrets.digests(common.documents(spark, sf_dir))
 
@@ -43,4 +52,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op2_license_scans": license_scan.oracle_sql()}
