@@ -161,8 +161,8 @@ def pack(
 
         row = 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist()), strict=True):
+                ids += end
                 held[row] = (doc_id, ids)
                 pieces.extend(packer.add(row, len(ids) // 4))
                 row += 1

@@ -1,7 +1,7 @@
 """Loading of public vocabularies and fast, exact encoders over them.
 
-All encoders cache encoded units in the worker.  A unit is a stretch of text
-between two places where no token of that tokenizer can cross, so joining the
+Encoders that cache do so by units, in the worker.  A unit is a stretch of text
+between two places that no token of that tokenizer can cross, so joining the
 units' tokens gives exactly the library's tokens of the whole text.
 """
 
@@ -10,12 +10,13 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from functools import lru_cache
 
 from fluxloom.llm import common  # noqa: F401  (thread settings before the libraries load)
 
 #: Entries after which a worker's unit cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 #: Longest unit that is cached, in characters.
 CACHE_UNIT = 64
 #: Pre-tokens over this many bytes are merged by our own heap, whose time is n log n.
@@ -103,57 +104,130 @@ def byte_bpe(path: str, pat: str) -> ByteBpe:
     return ByteBpe(path, pat)
 
 
-class UnitEncoder:
-    """The tokenizers library over cached units; ids come as little-endian unsigned 32-bit bytes.
+class WordEncoder:
+    """The tokenizers library over cached words, for vocabularies whose pre-tokens hold no white space.
 
-    split cuts a text into units at places that no pre-token of this vocabulary
-    crosses; texts that unsafe finds go to the library whole.
+    ASCII white space is dropped before pre-tokens are made, no normalization
+    crosses it, and no pre-token holds it: the text's ids are its words' ids in a
+    row.  Words that the cache lacks are encoded together, with a mark between
+    them that is one token by itself.  Words of Latin letters need no normalization
+    but lower case; they are split here, by the file's own pattern, and only merged
+    by the library.  Ids come as little-endian unsigned 32-bit bytes.
     """
 
-    def __init__(self, path: str, split, unsafe: str | None):
-        from tokenizers import Tokenizer
+    MARK = "\x01"
+    LATIN = re.compile("[!-~\xa1-\u024f]+")
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.split, self.unsafe = split, re.compile(unsafe) if unsafe else None
+        self.mark = self.lib.encode(self.MARK, add_special_tokens=False).ids
+        # The model alone, for pre-tokens that are made here.
+        self.merges = Tokenizer(self.lib.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.letters = {b: a for a, b in byte_letters().items() if b != 0x20}
         self.cache: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def _missing(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        if len(self.mark) == 1:
+            plain = [w for w in words if self.MARK not in w]
+            latin = [w for w in plain if self.LATIN.fullmatch(w)]
+            for i in range(0, len(latin), 4096):
+                group = latin[i : i + 4096]
+                pieces = " ".join(self.pieces.findall(f" {self.MARK} ".join(group).lower()))
+                (e,) = self.merges.encode_batch_fast([pieces.encode().decode("latin-1").translate(self.letters)], add_special_tokens=False)
+                out.update(zip(group, self._between(e.ids), strict=True))
+            other = [w for w in plain if w not in out]
+            for i in range(0, len(other), 4096):
+                group = other[i : i + 4096]
+                (e,) = self.lib.encode_batch_fast([f" {self.MARK} ".join(group)], add_special_tokens=False)
+                out.update(zip(group, self._between(e.ids), strict=True))
+        odd = [w for w in words if w not in out]
+        for w, e in zip(odd, self.lib.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            out[w] = array("I", e.ids).tobytes()
+        return out
+
+    def _between(self, ids: list[int]) -> list[bytes]:
+        """The bytes of the ids between marks."""
         import numpy as np
 
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        found = np.asarray(ids, "<u4")
+        ends = (4 * np.flatnonzero(found == self.mark[0])).tolist()
+        data = found.tobytes()
+        return [data[i:j] for i, j in zip([0, *(n + 4 for n in ends)], [*ends, len(data)], strict=True)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        cache, words = self.cache, list(map(_BLANK.findall, texts))
+        found = [list(map(cache.get, w)) for w in words]
+        gaps = [i for i, f in enumerate(found) if None in f]
+        missed = dict.fromkeys(w for i in gaps for w, b in zip(words[i], found[i], strict=True) if b is None)
+        got = self._missing(list(missed)) if missed else {}
+        for i in gaps:
+            found[i] = [got[w] if b is None else b for w, b in zip(words[i], found[i], strict=True)]
+        cache.update((w, b) for w, b in got.items() if len(w) <= CACHE_UNIT)
+        return list(map(b"".join, found))
 
     def encode(self, text: str) -> bytes:
-        if self.unsafe and self.unsafe.search(text):
-            return self.whole([text])[0]
-        units, cache = self.split(text), self.cache
-        try:
-            return b"".join([cache[u] for u in units])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        new = [u for u in dict.fromkeys(units) if u not in cache]
-        got = dict(zip(new, self.whole(new), strict=True))
-        cache.update((u, b) for u, b in got.items() if len(u) <= CACHE_UNIT)
-        return b"".join([cache[u] if u in cache else got[u] for u in units])
-
-
-#: A run of white space with the run of other characters after it; a token never holds both sides of the start of a run.
-_SPACED = re.compile(r"\s*\S+|\s+")
+        return self.encode_all([text])[0]
+
+
 _BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @lru_cache(maxsize=1)
-def byte_bpe_json(path: str) -> UnitEncoder:
-    """Byte-level BPE whose pre-tokens hold white space only at their start.
+def word_bpe_json(path: str) -> WordEncoder:
+    """BPE with word ends."""
+    return WordEncoder(path)
+
+
+class ByteBpeJson:
+    """Byte-level BPE of a tokenizers file; ids come as little-endian unsigned 32-bit bytes.
 
-    U+001C to U+001F are white space to Python's re alone: such texts go whole.
+    The file's own vocabulary and pattern run through the faster public library
+    where every character's class is the same in both (ASCII and the Latin
+    blocks); any other text, and one with a very long run, takes the tokenizers
+    library whole.
     """
-    return UnitEncoder(path, _SPACED.findall, "[\x1c-\x1f]")
+
+    OTHER = re.compile("[^\x00-\u024f]")
+
+    def __init__(self, path: str):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        self.lib.encode_special_tokens = True
+        special = self.lib.get_added_tokens_decoder()
+        byte_of = byte_letters()
+        vocab = {"".join(w): i for w, i in self.lib.get_vocab().items() if i not in special}
+        ranks = {bytes(map(byte_of.__getitem__, w)): i for w, i in vocab.items()}
+        self.fast = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        import numpy as np
+
+        if self.OTHER.search(text) or ByteBpe.LONG_RUN.search(text):
+            return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return list(map(self.encode, texts))
+
+
+def byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in byte-level vocabularies, by their public rule."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 @lru_cache(maxsize=1)
-def word_bpe_json(path: str) -> UnitEncoder:
-    """BPE with word ends: pre-tokens hold no white space, and normalization is local to what lies between."""
-    return UnitEncoder(path, _BLANK.findall, None)
+def byte_bpe_json(path: str) -> ByteBpeJson:
+    return ByteBpeJson(path)
