@@ -162,17 +162,18 @@ class WordEncoder:
         return [data[i:j] for i, j in zip([0, *(n + 4 for n in ends)], [*ends, len(data)], strict=True)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
         cache, words = self.cache, list(map(_BLANK.findall, texts))
-        found = [list(map(cache.get, w)) for w in words]
-        gaps = [i for i, f in enumerate(found) if None in f]
-        missed = dict.fromkeys(w for i in gaps for w, b in zip(words[i], found[i], strict=True) if b is None)
-        got = self._missing(list(missed)) if missed else {}
-        for i in gaps:
-            found[i] = [got[w] if b is None else b for w, b in zip(words[i], found[i], strict=True)]
-        cache.update((w, b) for w, b in got.items() if len(w) <= CACHE_UNIT)
-        return list(map(b"".join, found))
+        missed = set().union(*words).difference(cache)
+        if len(cache) + len(missed) > CACHE_ENTRIES:
+            cache.clear()
+            missed = set().union(*words)
+        if missed:
+            cache.update(self._missing(sorted(missed)))
+        out = [b"".join(map(cache.__getitem__, w)) for w in words]
+        for w in missed:
+            if len(w) > CACHE_UNIT:
+                del cache[w]
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
