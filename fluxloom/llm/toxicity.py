@@ -1,11 +1,11 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-A text's words are spelled as codes of CODE_BYTES bytes (their hash): in plain
-spelling a five-letter word saves less than one match costs, and the frame's
-overhead hides it.  Two dictionaries are trained on labelled texts.  Both begin
-with the prose that all texts share (the most frequent words of ordinary ones);
-one goes on with the words that toxic texts have much more often, the other with
-further ordinary words, as many.  Each window of WINDOW_WORDS words is
+A text's words are spelled as codes of CODE_BYTES bytes, the hashes of their
+first PREFIXES letters: in plain spelling a five-letter word saves less than one
+match costs, and the frame's overhead hides it; beginnings catch a stem's forms.  Two dictionaries are trained on labelled texts.  Both begin
+with the prose that all texts share (the most frequent codes of ordinary ones);
+one goes on with the codes that toxic texts have much more often, the other with
+further ordinary codes, as many.  Each window of WINDOW_WORDS words is
 compressed with either.  A window is a hit if the toxic dictionary saves at
 least half a code; the text's distance is the sum over its hits.  The threshold
 comes from labelled texts that trained no dictionary: isotonic regression of the
@@ -37,22 +37,30 @@ from pyspark.sql import functions as F
 from fluxloom.llm import common
 
 CODE_BYTES, WINDOW_WORDS, LEVEL = 16, 4, 3
-SHARED_WORDS, OWN_WORDS, MIN_TEXTS, TIMES_AS_OFTEN = 1024, 64, 3, 5.0
+PREFIXES = (4, 5, 7)
+SHARED_CODES, OWN_CODES, MIN_TEXTS, TIMES_AS_OFTEN = 1024, 192, 4, 8.0
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1500, 3000, 65_536
 PREDICTED = 0.7
+#: Words of a shingle and hashes of a sketch, by which near copies are told in the sample.
+SHINGLE, SKETCH = 5, 16
 
 WORD = re.compile(r"\w+")
 
 
-@lru_cache(maxsize=200_000)
-def code(word: str) -> bytes:
+def beginnings(word: str) -> list[str]:
+    """What a word is spelled by: its first letters; a shorter word is one code."""
+    return [word[:k] for k in PREFIXES if k <= len(word)] or [word]
+
+
+def code(letters: str) -> bytes:
     import xxhash
 
-    return xxhash.xxh3_128_digest(word)
+    return xxhash.xxh3_128_digest(letters)
 
 
-def spelled(text: str) -> list[bytes]:
-    return list(map(code, WORD.findall(text.lower())))
+@lru_cache(maxsize=300_000)
+def spelled(word: str) -> bytes:
+    return b"".join(map(code, beginnings(word)))
 
 
 @dataclass
@@ -85,9 +93,9 @@ class Scorer:
         if not self.pair:
             return 0
         plain, toxic = self.pair
-        joined, n, total = b"".join(spelled(text)), WINDOW_WORDS * CODE_BYTES, 0
-        for i in range(0, len(joined), n):
-            w = joined[i : i + n]
+        words, total = list(map(spelled, WORD.findall(text.lower()))), 0
+        for i in range(0, len(words), WINDOW_WORDS):
+            w = b"".join(words[i : i + WINDOW_WORDS])
             gain = len(plain(w)) - len(toxic(w))
             if 2 * gain >= CODE_BYTES:
                 total += gain
@@ -115,27 +123,49 @@ def isotonic(x: list[float], y: list[int]) -> tuple[list[float], list[float]]:
     return [-np.inf, *(b[0] for b in blocks[1:])], scores.tolist()
 
 
+def near_copies_out(texts: list[str]) -> list[int]:
+    """Indices of texts that aren't near copies of earlier ones: a group of copies would teach its own words.
+
+    Of a text's least shingle hashes, half are known for a near copy; texts of
+    few words are kept.
+    """
+    import xxhash
+
+    seen: set[int] = set()
+    out = []
+    for i, t in enumerate(texts):
+        w = WORD.findall(t.lower())
+        least = sorted({xxhash.xxh3_64_intdigest(" ".join(w[j : j + SHINGLE])) for j in range(len(w) - SHINGLE + 1)})[:SKETCH]
+        if not least or 2 * sum(h in seen for h in least) < len(least):
+            out.append(i)
+        seen.update(least)
+    return out
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
-    """A model of labelled texts in a random order; every third calibrates."""
+    """A model of labelled texts in a random order, without near copies; every third calibrates."""
+    kept = near_copies_out(texts)
+    texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
     if len(set(toxic)) < 2:
         return Model(scores=[float(toxic[0]) if toxic else 0.0], steps=[-np.inf])
     build = [i for i in range(len(texts)) if i % 3]
     seen, seen_toxic, n_toxic = Counter(), Counter(), 0
     for i in build:
-        (seen_toxic if toxic[i] else seen).update(set(spelled(texts[i])))
+        (seen_toxic if toxic[i] else seen).update({x for w in set(WORD.findall(texts[i].lower())) for x in beginnings(w)})
         n_toxic += toxic[i]
     n = len(build) - n_toxic
-    ranked = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
-    shared = ranked[:SHARED_WORDS]
+    ranked = [x for x, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+    shared = ranked[:SHARED_CODES]
     base = set(shared)
     own = sorted(
-        (-k, c) for c, k in seen_toxic.items()
-        if c not in base and k >= min(MIN_TEXTS, n_toxic) and k / max(1, n_toxic) > TIMES_AS_OFTEN * (seen.get(c, 0) + 1) / max(1, n)
-    )[:OWN_WORDS]
-    # What lies last in a dictionary is nearest to the data.
+        (-k, x) for x, k in seen_toxic.items()
+        if x not in base and k >= MIN_TEXTS and k / n_toxic > TIMES_AS_OFTEN * (seen.get(x, 0) + 1) / max(1, n)
+    )[:OWN_CODES]
+    # What lies last in a dictionary is nearest to the data; a stem's beginnings lie in a row.
+    prose = [code(x) for x in shared[::-1]]
     m = Model(
-        b"".join([*shared[::-1], *ranked[SHARED_WORDS : SHARED_WORDS + len(own)]]),
-        b"".join([*shared[::-1], *(c for _, c in own[::-1])]) if own else b"",
+        b"".join([*prose, *map(code, sorted(ranked[SHARED_CODES : SHARED_CODES + len(own)]))]),
+        b"".join([*prose, *map(code, sorted(x for _, x in own))]) if own else b"",
     )
     s = m.scorer()
     rest = [i for i in range(len(texts)) if i % 3 == 0]
