@@ -105,83 +105,73 @@ def byte_bpe(path: str, pat: str) -> ByteBpe:
 
 
 class WordEncoder:
-    """The tokenizers library over cached words, for vocabularies whose pre-tokens hold no white space.
-
-    ASCII white space is dropped before pre-tokens are made, no normalization
-    crosses it, and no pre-token holds it: the text's ids are its words' ids in a
-    row.  Words that the cache lacks are encoded together, with a mark between
-    them that is one token by itself.  Words of Latin letters need no normalization
-    but lower case; they are split here, by the file's own pattern, and only merged
-    by the library.  Ids come as little-endian unsigned 32-bit bytes.
+    """BPE with word ends over cached pre-tokens; ids come as little-endian unsigned 32-bit bytes.
+
+    Texts of Latin letters need no normalization but lower case.  They are split
+    here by the file's own pattern, and the tokenizers library merges the
+    pre-tokens that the cache lacks, many at once: the last token of each has the
+    sign of a word's end.  Any other text takes the library whole.
     """
 
-    MARK = "\x01"
-    LATIN = re.compile("[!-~\xa1-\u024f]+")
+    #: Beyond the Latin blocks, or white space to Python's re alone.
+    OTHER = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
+    END = "</w>"
 
     def __init__(self, path: str):
+        import numpy as np
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.mark = self.lib.encode(self.MARK, add_special_tokens=False).ids
-        # The model alone, for pre-tokens that are made here.
-        self.merges = Tokenizer(self.lib.model)
+        self.merges = Tokenizer(self.lib.model)  # the model alone
         self.merges.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        latin = "".join(map(chr, range(0x250)))
+        letters, numbers = ("".join(map(re.escape, regex.findall(c, latin))) for c in (r"\p{L}", r"\p{N}"))
+        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+").findall
         self.letters = {b: a for a, b in byte_letters().items() if b != 0x20}
+        vocab = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(self.END)]] = True
         self.cache: dict[str, bytes] = {}
 
-    def _missing(self, words: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        if len(self.mark) == 1:
-            plain = [w for w in words if self.MARK not in w]
-            latin = [w for w in plain if self.LATIN.fullmatch(w)]
-            for i in range(0, len(latin), 4096):
-                group = latin[i : i + 4096]
-                pieces = " ".join(self.pieces.findall(f" {self.MARK} ".join(group).lower()))
-                (e,) = self.merges.encode_batch_fast([pieces.encode().decode("latin-1").translate(self.letters)], add_special_tokens=False)
-                out.update(zip(group, self._between(e.ids), strict=True))
-            other = [w for w in plain if w not in out]
-            for i in range(0, len(other), 4096):
-                group = other[i : i + 4096]
-                (e,) = self.lib.encode_batch_fast([f" {self.MARK} ".join(group)], add_special_tokens=False)
-                out.update(zip(group, self._between(e.ids), strict=True))
-        odd = [w for w in words if w not in out]
-        for w, e in zip(odd, self.lib.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            out[w] = array("I", e.ids).tobytes()
-        return out
-
-    def _between(self, ids: list[int]) -> list[bytes]:
-        """The bytes of the ids between marks."""
+    def _missing(self, pieces: list[str]) -> list[bytes]:
         import numpy as np
 
-        found = np.asarray(ids, "<u4")
-        ends = (4 * np.flatnonzero(found == self.mark[0])).tolist()
-        data = found.tobytes()
-        return [data[i:j] for i, j in zip([0, *(n + 4 for n in ends)], [*ends, len(data)], strict=True)]
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 8192):
+            text = " ".join(pieces[i : i + 8192]).encode().decode("latin-1").translate(self.letters)
+            (e,) = self.merges.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.asarray(e.ids, "<u4")
+            ends, data = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        if len(out) != len(pieces):
+            raise ValueError("a pre-token without a word's end")
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cache, words = self.cache, list(map(_BLANK.findall, texts))
-        missed = set().union(*words).difference(cache)
+        other = [i for i, t in enumerate(texts) if self.OTHER.search(t)]
+        whole = dict(zip(other, self.lib.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True))
+        cache, pieces = self.cache, [self.split(t.lower()) if i not in whole else [] for i, t in enumerate(texts)]
+        missed = set().union(*pieces).difference(cache)
         if len(cache) + len(missed) > CACHE_ENTRIES:
             cache.clear()
-            missed = set().union(*words)
+            missed = set().union(*pieces)
         if missed:
-            cache.update(self._missing(sorted(missed)))
-        out = [b"".join(map(cache.__getitem__, w)) for w in words]
-        for w in missed:
-            if len(w) > CACHE_UNIT:
-                del cache[w]
+            new = list(missed)
+            cache.update(zip(new, self._missing(new), strict=True))
+        out = [b"".join(map(cache.__getitem__, p)) for p in pieces]
+        for i, e in whole.items():
+            out[i] = array("I", e.ids).tobytes()
+        for p in missed:
+            if len(p) > CACHE_UNIT:
+                del cache[p]
         return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
 
-_BLANK = re.compile(r"[^\x20\x09-\x0D]+")
-
-
 @lru_cache(maxsize=1)
 def word_bpe_json(path: str) -> WordEncoder:
     """BPE with word ends."""
