@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,7 +131,7 @@ def judge(docs: DataFrame, **cols) -> DataFrame:
     # Counting is the costly step: its result, a hundred bytes a row, is written once and read for both passes.
     counted = common.written(counted, "quality")
     limits = thresholds(counted).select("lang", "source", *(F.col(m).alias(f"{m}_limit") for m in SLACK))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    failed = base_failed()
     within = F.lit(True)
     for m in SLACK:
         within = within & (F.col(m) <= F.col(f"{m}_limit"))
@@ -141,3 +142,34 @@ def judge(docs: DataFrame, **cols) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & within).alias("kept"), *SLACK, *(f"{m}_limit" for m in SLACK),
     )
+
+
+def filtered(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source") -> DataFrame:
+    """docs without the rows that are not kept, columns as they were.
+
+    Thresholds come from one pass over the texts; a second decides each row
+    where it lies, so no text is moved while the thresholds' table is small.
+    """
+    common.prepare(docs.sparkSession)
+    cols = {"id_col": id_col, "text_col": text_col, "lang_col": lang_col, "source_col": source_col}
+    limits = common.written(thresholds(with_counts(docs, **cols).withColumns(_measures())), "thresholds")
+    names = [c.split()[0] for c in COUNTS.split(", ")]
+
+    @F.pandas_udf(COUNTS)
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts(t) for t in texts], columns=names)
+
+    rows = docs.select(
+        F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.col(f"`{lang_col}`").alias("lang_"), F.col(f"`{source_col}`").alias("source_"),
+        counted(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("c"),
+    ).select("row", "lang_", "source_", "c.*").withColumns(_measures())
+    within = F.lit(True)
+    for m in SLACK:
+        within = within & (F.col(m) <= F.col(f"{m}_limit"))
+    limits = limits.select("lang", "source", *(F.col(m).alias(f"{m}_limit") for m in SLACK))
+    joined = rows.join(limits, F.col("lang_").eqNullSafe(F.col("lang")) & F.col("source_").eqNullSafe(F.col("source")), "left")
+    return joined.filter(~base_failed() & within).select("row.*")
+
+
+def base_failed():
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
