@@ -137,7 +137,7 @@ def pack(
     d = common.id_text(docs, id_col, text_col)
     common.prepare(d.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.list_(pa.uint32()))] * with_ids)
+    schema = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = tokenizers_.word_bpe_json(path), end_id.to_bytes(4, "little")

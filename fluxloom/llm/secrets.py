@@ -49,7 +49,7 @@ MIN_LITERAL, SCORE = 8, 0.8
 _TARGET = re.compile(
     r"""(?<![A-Za-z0-9_])["']?([A-Za-z_][A-Za-z0-9_.\-]{0,80}?)["']?[ \t]{0,8}(?::=|=>|==?|:)[ \t]{0,8}(?=["'A-Za-z0-9_+/$])|<([A-Za-z_][A-Za-z0-9_.\-]{0,80})>(?=[^<\s])"""
 )
-_TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9+/=_.\-])|([^\s"'<>,;(){}\[\]]+)""")
+_TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][A-Za-z0-9_.]*)(?=[\s"'<>,;(){}\[\]+&]|$)|([^\s"'<>,;(){}\[\]]+)""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*(?=[\"'A-Za-z_])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
