@@ -34,6 +34,7 @@ from fluxloom.llm import common, graph
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 BUCKET_MEMBERS = 2048
+HOT_SHARE = 2000
 
 
 def fingerprint(text: str) -> int:
@@ -147,27 +148,38 @@ def labelled(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
     """doc_id, fp of each row; and fp, component_id, root (the component's first fingerprint) of each class."""
     common.prepare(docs.sparkSession)
     rows = common.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")), "fingerprints")
-    classes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     nodes = common.written(graph.components(links(classes.select("fp"), radius, bucket_members)), "components")
     linked = nodes.join(classes, F.col("node") == F.col("fp")).select("node", "root", "first")
     named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     label = nodes.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    labels = classes.join(label, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return rows, labels
+    labels = classes.join(label, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"), "copies")
+    return rows, common.written(labels, "labels")
+
+
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with component_id and root by fingerprint.
+
+    Classes with over a HOT_SHARE-th of all rows are fewer than HOT_SHARE,
+    whatever the data: they are broadcast, so no copies meet in one task.
+    """
+    total = labels.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = F.col("copies") * HOT_SHARE > F.lit(total)
+    many, few = labels.filter(hot).drop("copies"), labels.filter(~hot).drop("copies")
+    large = rows.join(F.broadcast(many), "fp")
+    return large.unionByName(rows.join(F.broadcast(many.select("fp")), "fp", "left_anti").join(few, "fp"))
 
 
 def components(docs: DataFrame, **more) -> DataFrame:
     """doc_id, fingerprint, component_id of each row."""
     rows, labels = labelled(docs, **more)
-    # By fingerprint: Spark splits the join where copies make one hot.
-    return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return with_labels(rows, labels).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """docs with one row of each component: the smallest id's; of rows that share it, the first by text hash."""
     rows, labels = labelled(docs, id_col=id_col, text_col=text_col, **more)
-    labels = common.written(labels, "labels")
-    kept = rows.join(labels, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = with_labels(rows, labels).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = common.written(kept, "kept")
     d, key = docs.alias("d"), F.col(f"d.`{id_col}`").cast("long")
     one = kept.filter("n = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
