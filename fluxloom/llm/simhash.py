@@ -183,7 +183,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = common.written(kept, "kept")
     d, key = docs.alias("d"), F.col(f"d.`{id_col}`").cast("long")
     one = kept.filter("n = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
-    single = d.join(one, key == F.col("kept_id"), "left_semi")
+    # As a merge join at every size: broadcasting ids would be bound to the corpus' growth.
+    single = d.join(one.hint("merge"), key == F.col("kept_id"), "left_semi")
     # Ids on several rows, and null ids, are rare: one row for each id and component.
     many = kept.filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("kept_id"))
     if many.isEmpty():

@@ -58,7 +58,7 @@ def code(letters: str) -> bytes:
     return xxhash.xxh3_128_digest(letters)
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=60_000)
 def spelled(word: str) -> bytes:
     return b"".join(map(code, beginnings(word)))
 
