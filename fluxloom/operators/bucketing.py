@@ -7,20 +7,15 @@ evenly, and nothing is compared with all.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxloom.operators import ordering
 from fluxloom.schema import NONE
 
 BLOCKS, GROUP_SIZE = 32, 1000
 
 
-def all_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, columns)
-
-
 def pairs(left: DataFrame, right: DataFrame, blocks: int = BLOCKS, left_id: str = "ind", right_id: str = "ind") -> DataFrame:
     """Every (a, b), a of left and b of right, as structs a and b: left in copies, right in blocks."""
     a = left.select(F.struct("*").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
@@ -69,9 +64,7 @@ def complexes(
 def grouped(rows: DataFrame, elements: list[str], group_size: int = GROUP_SIZE) -> DataFrame:
     """composition_id by order of composition, group_id counting each group_size rows of one."""
     order = Window.partitionBy(*elements).orderBy("s1", "s2")
-    ids = rows.select(*elements).distinct()
-    # Compositions are few beside rows; ids need one order over them alone.
-    ids = ids.withColumn("composition_id", (F.row_number().over(Window.orderBy(*elements)) - 1).cast("int"))
+    ids = ordering.numbered(rows.select(*elements).distinct(), elements, "composition_id", kind="int")
     g = F.floor((F.row_number().over(order) - 1) / F.lit(group_size)).cast("int")
     return rows.withColumn("group_id", g).join(ids, elements)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions import text, thermo
-from fluxloom.operators import bucketing
+from fluxloom.operators import bucketing, ordering
 from fluxloom.schema import NONE
 
 KEYS = ["reactant_1", "reactant_2", "product_1", "product_2"]
@@ -77,15 +77,8 @@ def duplicate_groups(network: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, offset: int = 0) -> DataFrame:
-    """reaction_id from offset on without gaps, in order of the reactions' ids.
-
-    Ranges of the order are numbered in parallel: a range's rows follow the counts of the ranges before it.
-    """
-    part = rows.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).select("*", F.spark_partition_id().alias("range_"))
-    sizes = part.groupBy("range_").agg(F.count("*").alias("n"))  # a row for each range
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("range_")) - F.col("n")).select("range_", "before")
-    own = F.row_number().over(Window.partitionBy("range_").orderBy(*KEYS))
-    return part.join(before, "range_").withColumn("reaction_id", (F.lit(offset) + F.col("before") + own - 1).cast("long")).drop("range_", "before")
+    """reaction_id from offset on without gaps, in order of the reactions' ids."""
+    return ordering.numbered(rows, KEYS, "reaction_id", offset)
 
 
 def finished(kept: DataFrame, temperature: float) -> DataFrame:

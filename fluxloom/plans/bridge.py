@@ -14,10 +14,10 @@ from fluxloom.operators.enumeration import KEYS
 ELEMENTS = ["n_c", "n_h", "n_o", "n_s"]
 SPECIES = [
     "CAST(s_suppkey AS INT) AS ind", "CAST(CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 3 - 1 ELSE 0 END AS INT) AS charge", "CAST(1 + s_suppkey % 2 AS INT) AS spin_multiplicity",
-    "CAST(s_nationkey % 5 AS INT) AS n_c", "CAST(s_suppkey % 4 AS INT) AS n_h", "CAST((s_suppkey * 7) % 3 AS INT) AS n_o",
-    "CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) % 4 AS INT) AS n_s", "-s_acctbal / CAST(1000 AS DOUBLE) AS free_energy",
+    "CAST(s_nationkey % 4 AS INT) AS n_c", "CAST(s_suppkey % 4 AS INT) AS n_h", "CAST((s_suppkey - s_suppkey % 4) % 8 / 4 AS INT) AS n_o",
+    "CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) % 3 AS INT) AS n_s", "-s_acctbal / CAST(1000 AS DOUBLE) AS free_energy",
     "-s_acctbal / CAST(1000 AS DOUBLE) - CAST(s_suppkey % 2 AS DOUBLE) / 4 AS solvation_free_energy",
-    "s_suppkey % 25 = 3 AS is_metal", "concat('h', CAST(s_nationkey AS VARCHAR(9))) AS covalent_hash", "CAST(s_nationkey % 2 AS INT) AS penalty",
+    "s_suppkey % 11 = 4 AS is_metal", "concat('h', CAST(s_nationkey AS VARCHAR(9))) AS covalent_hash", "CAST(s_nationkey % 2 AS INT) AS penalty",
     "CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE abs(s_acctbal) / 1000 END AS electron_affinity", "CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE abs(s_acctbal) / 2000 END AS ionization_energy",
 ]
 #: The species that a run starts from, and those that it would add next.

@@ -215,14 +215,14 @@ def flux_(spark, sf):
 _QUERIES["flux"], _SQL["flux"] = _QUERIES.pop("flux_"), _SQL.pop("flux_")
 
 
-@query("SELECT CAST(0.02 AS DOUBLE) * sum(produced) AS cutoff FROM flux_b")
+@query("SELECT CAST(0.0115 AS DOUBLE) * sum(produced) AS cutoff FROM flux_b")
 def promotion_cutoff(spark, sf):
-    return flux.cutoff(flux_(spark, sf), fraction=0.02)
+    return flux.cutoff(flux_(spark, sf), fraction=0.0115)
 
 
-@query("SELECT species_id, produced FROM flux_b WHERE produced >= CAST(0.02 AS DOUBLE) * (SELECT sum(produced) FROM flux_b) AND species_id NOT IN (SELECT ind FROM core_b)")
+@query("SELECT species_id, produced FROM flux_b WHERE produced >= CAST(0.0115 AS DOUBLE) * (SELECT sum(produced) FROM flux_b) AND species_id NOT IN (SELECT ind FROM core_b)")
 def promotion(spark, sf):
-    return flux.promoted(flux_(spark, sf), b.core(spark, sf), fraction=0.02)
+    return flux.promoted(flux_(spark, sf), b.core(spark, sf), fraction=0.0115)
 
 
 @query("""SELECT count(*) AS n_touched, CAST(sum(produced) AS BIGINT) AS total_produced, arg_max(species_id, produced * 1000000 - species_id) AS top_species,
@@ -461,6 +461,32 @@ def dense_initial_state(spark, sf):
     return Network(b.species(spark, sf), b.network(spark, sf), None, b.initial(spark, sf)).dense_initial()
 
 
+# --- streaming
+
+
+@query("SELECT event_type, count(*) AS firings FROM events GROUP BY event_type")
+def live_counts(spark, sf):
+    """The log as a stream of files, read until no more is there; counts as the last trigger leaves them."""
+    import uuid
+
+    from fluxloom.streaming import live
+
+    events = b.table(spark, sf, "events")
+    name = f"live_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
+    q = live.live_firings(stream.select("event_type"), "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("""SELECT CAST(epoch(time_bucket(INTERVAL 5 MINUTES, ts)) AS BIGINT) AS start, event_type, count(*) AS firings FROM events GROUP BY ALL""")
+def windowed_counts(spark, sf):
+    from fluxloom.streaming import live
+
+    d = live.windowed_firings(b.table(spark, sf, "events"), key="event_type")
+    return d.select(F.unix_timestamp("window.start").alias("start"), "event_type", "firings")
+
+
 # --- simulation and molecules: results of random draws and graph code, held by tests
 
 

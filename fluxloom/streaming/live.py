@@ -14,8 +14,9 @@ def firing_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -
     return spark.readStream.schema(S.TRAJECTORIES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def live_firings(stream: DataFrame) -> DataFrame:
-    return stream.filter("reaction_id >= 0").groupBy("reaction_id").agg(F.count("*").alias("firings"))
+def live_firings(stream: DataFrame, key: str = "reaction_id") -> DataFrame:
+    """key, firings so far; firings without a key are left out."""
+    return stream.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("firings"))
 
 
 def live_flux(stream: DataFrame, network: DataFrame) -> DataFrame:
