@@ -119,7 +119,8 @@ def quantiles(sketch: DataFrame, at: dict[str, float]) -> DataFrame:
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source, one upper limit for each measure."""
-    q = quantiles(sketches(measured), {"middle": 0.5, "upper": UPPER})
+    # A few hundred rows a group, used several times.
+    q = quantiles(common.written(sketches(measured), "sketches"), {"middle": 0.5, "upper": UPPER})
     slack = F.element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in SLACK.items())), F.col("measure"))
     limit = F.col("middle") + F.greatest(slack, F.lit(FENCE) * (F.col("upper") - F.col("middle")))
     return q.groupBy("lang", "source").pivot("measure", list(SLACK)).agg(F.first(limit))
