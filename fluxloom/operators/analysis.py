@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.functions import thermo
 from fluxloom.operators.flux import sides
+from fluxloom.session import ship
 
 
 def firings(network: DataFrame, log: DataFrame) -> DataFrame:
@@ -121,6 +122,7 @@ def pathways(network: DataFrame, log: DataFrame, initial: DataFrame) -> DataFram
     """
     from fluxloom.operators.enumeration import KEYS
 
+    ship(network.sparkSession)
     first = first_producers(network, log).join(network.select("reaction_id", *KEYS), "reaction_id")
     absent = initial.filter("count = 0").select(F.col("species_id").alias("x"))
     for k in ("reactant_1", "reactant_2"):

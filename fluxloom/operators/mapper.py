@@ -22,6 +22,7 @@ from fluxloom import schema as S
 from fluxloom.functions import text
 from fluxloom.operators import rules
 from fluxloom.operators.enumeration import KEYS
+from fluxloom.session import ship
 
 Pair = tuple[int, int]
 STORED = ("allowed", "rejected", "no_mapping")
@@ -217,6 +218,8 @@ RESULT = (
 def map_reactions(rows: DataFrame, budget_s: float) -> DataFrame:
     """rxn_key, reactants, products (arrays of struct(symbols, bonds)) -> RESULT; errors of a row are its status."""
 
+    ship(rows.sparkSession)
+
     def plain(molecules) -> list:
         return [(list(m["symbols"]), [(int(b["u"]), int(b["v"]), int(b["ord"])) for b in m["bonds"]]) for m in molecules]
 

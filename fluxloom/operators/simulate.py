@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.operators.enumeration import KEYS
+from fluxloom.session import ship
 
 #: Firings in one batch of results.
 BATCH = 50_000
@@ -76,6 +77,7 @@ def simulated(network: DataFrame, initial: DataFrame, n: int, steps: int, base_s
     The network goes to every task: a run simulates it whole, so it fits one.
     """
     spark = network.sparkSession
+    ship(spark)
     net = network.select("reaction_id", *KEYS, "rate").orderBy("reaction_id").toPandas()
     start = {r.species_id: r["count"] for r in initial.filter("count > 0").toLocalIterator()}
     held = spark.sparkContext.broadcast((net.reaction_id.to_numpy(), net[KEYS].to_numpy(), net.rate.to_numpy(), start))
