@@ -8,13 +8,10 @@ null id is kept and returned as null.
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 # The libraries' own thread pools would oversubscribe an executor's cores.
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -24,35 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluxloom.session import ship
+
 #: Rows in one Arrow batch: with texts of some MB a batch stays far below a Python worker's memory.
 ARROW_ROWS = 512
 #: Bytes in one Arrow batch, the second bound.
 ARROW_BYTES = 32 << 20
 
-_shipped: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches and make the package importable in Python workers.
-
-    The zip goes through Spark's own file server, so no folder is shared.
-    """
+    """Bound Arrow batches and make the package importable in Python workers."""
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    root = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    target = Path(tempfile.mkdtemp(prefix="pkg-")) / f"{root.name}.zip"
-    target.write_bytes(held.getvalue())
-    spark.sparkContext.addPyFile(str(target))
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
