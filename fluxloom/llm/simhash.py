@@ -182,14 +182,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = with_labels(rows, labels).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = common.written(kept, "kept")
     d, key = docs.alias("d"), F.col(f"d.`{id_col}`").cast("long")
-    one = kept.filter("n = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
+    one = kept.filter("n = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).alias("o")
     # As a merge join at every size: broadcasting ids would be bound to the corpus' growth.
-    single = d.join(one.hint("merge"), key == F.col("kept_id"), "left_semi")
+    single = d.join(one.hint("merge"), key == F.col("o.kept_id"), "left_semi")
     # Ids on several rows, and null ids, are rare: one row for each id and component.
-    many = kept.filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("kept_id"))
+    many = kept.filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("kept_id")).alias("m")
     if many.isEmpty():
         return single
-    again = d.join(many, key.eqNullSafe(F.col("kept_id")), "left_semi").select(
+    again = d.join(many, key.eqNullSafe(F.col("m.kept_id")), "left_semi").select(
         F.struct(*(F.col(f"d.`{n}`") for n in docs.columns)).alias("row"), key.alias("kept_id"),
         fingerprints(F.col(f"d.`{text_col}`")).alias("fp"), F.xxhash64(F.col(f"d.`{text_col}`")).alias("h"),
     )

@@ -11,11 +11,11 @@ import pytest
 
 from fluxloom.llm import graph, license_scan, media, quality, secrets, simhash, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row int, n int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row int, n int, kept_id long, score double, lang_ string"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, lang, src, len(t or ""), "clash", 7, 1) for i, t, lang, src in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, src, len(t or ""), "clash", 7, 1, 5, 0.5, "x") for i, t, lang, src in rows], SCHEMA)
 
 
 def prose(seed, n):
