@@ -9,6 +9,8 @@ key; each distinct reaction that the table lacks is mapped once.
 
 from __future__ import annotations
 
+import math
+import random
 import time
 from collections import Counter
 from collections.abc import Iterator
@@ -179,6 +181,34 @@ class Search:
         return cost, settled
 
 
+def annealed(r: Side, p: Side, deadline: float, seed: int = 0) -> tuple[list[int], Edits] | None:
+    """A mapping by swaps of equal elements at falling temperatures; the first elementary one, else None."""
+    rng = random.Random(seed)
+    groups = [g for e in sorted(set(r.symbols)) if len(g := [i for i, s in enumerate(r.symbols) if s == e]) > 1]
+    places = {e: [j for j, s in enumerate(p.symbols) if s == e] for e in set(p.symbols)}
+    units = lambda e: len(e.broken) + len(e.formed) + sum(abs(a - b) for _, a, b in e.changed)
+    while time.monotonic() < deadline:
+        left = {e: rng.sample(js, len(js)) for e, js in places.items()}
+        to = [left[s].pop() for s in r.symbols]
+        now = edits(r, p, to)
+        heat = 2.0
+        while heat > 0.05 and time.monotonic() < deadline:
+            if now.elementary:
+                return to, now
+            if not groups:
+                return None
+            i, j = rng.sample(rng.choice(groups), 2)
+            to[i], to[j] = to[j], to[i]
+            new = edits(r, p, to)
+            rise = units(new) - units(now)
+            if rise <= 0 or rng.random() < math.exp(-rise / heat):
+                now = new
+            else:
+                to[i], to[j] = to[j], to[i]
+            heat *= 0.999
+    return None
+
+
 def mapped(reactants: list, products: list, budget_s: float) -> tuple[bool | None, str, list[int], Edits]:
     """allowed (None: no verdict), status, mapping and edits."""
     r, p = Side.of(reactants), Side.of(products)
@@ -188,7 +218,9 @@ def mapped(reactants: list, products: list, budget_s: float) -> tuple[bool | Non
     try:
         s.run()
     except TimeoutError:
-        return None, "timeout", [], Edits()
+        # An elementary mapping is one, however it is found; without one there is no verdict.
+        found = annealed(r, p, time.monotonic() + budget_s / 4)
+        return (True, "mapped", *found) if found else (None, "timeout", [], Edits())
     _, to, e = s.best
     return e.elementary, "mapped", to, e
 

@@ -505,6 +505,28 @@ def test_run_resumes_and_reports(spark, pool, tmp_path):
     assert driver.resolve_seeds(RunConfig(path, "x", 0.0, seed_species_query=(("H2 O1", 0, 5),)), pool) == {0: 5}
 
 
+def test_qubo(spark):
+    from fluxloom.functions import qubo
+
+    q, c = qubo.coefficients([(2.0, ("x", "x")), (1.0, ("y", "x")), (-3.0, ("y",)), (5.0, ())])
+    assert q == {("x", "x"): 2.0, ("x", "y"): 1.0, ("y", "y"): -3.0} and c == 5.0
+    with pytest.raises(ValueError):
+        qubo.coefficients([(1.0, ("a", "b", "c"))])
+    nodes, edges = list("abcdef"), [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("a", "f"), ("a", "d")]
+    got = qubo.annealed(qubo.independent_set(nodes, edges), reads=30)
+    sets = [{n for n, v in x.items() if v} for x, _ in got]
+    assert {-e for _, e in got} == {3.0} and all(not any({a, b} <= s for a, b in edges) for s in sets)
+    t = qubo.table(spark, [{"x": 1, "y": 0}, {"x": 0, "y": 1}, {"x": 2, "y": 5}])
+    assert [r.solution for r in qubo.best(t, F.col("x") + F.col("y"), qubo.at_most(F.lit(1.0), F.col("x"))).collect()] == [0]
+    assert qubo.best(t, F.col("x"), F.col("x") < 0).count() == 0
+
+
+def test_annealed_mapping():
+    r, p = mapper.Side.of([simple(HOOH), simple(H)]), mapper.Side.of([simple(WATER), simple(OH)])
+    to, e = mapper.annealed(r, p, mapper.time.monotonic() + 20)
+    assert e.elementary and sorted(to) == list(range(5))
+
+
 def test_text(spark):
     d = spark.sql("SELECT array('b', '', 'a', NULL) r, array('c') p, 'C3H4O10' f")
     assert d.select(text.reaction_key(F.col("r"), F.col("p"))).first()[0] == "a.b>>c"
