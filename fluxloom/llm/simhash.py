@@ -194,5 +194,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         fingerprints(F.col(f"d.`{text_col}`")).alias("fp"), F.xxhash64(F.col(f"d.`{text_col}`")).alias("h"),
     )
     again = again.join(labels, "fp").filter(F.col("kept_id").eqNullSafe(F.col("component_id")))
-    first = F.row_number().over(Window.partitionBy("root", "kept_id").orderBy("h", F.hash("row")))
+    first = F.row_number().over(Window.partitionBy("root", "kept_id").orderBy("h", F.xxhash64(F.to_json("row"))))
     return single.unionByName(again.withColumn("n", first).filter("n = 1").select("row.*"))
