@@ -358,6 +358,11 @@ def pathway_report(spark, sf):
     return analysis.pathway_report(pathway_table(spark, sf), 25, 100)
 
 
+@query()
+def pathway_reactions(spark, sf):
+    return analysis.pathway_reactions(pathway_table(spark, sf), 3)
+
+
 @query("SELECT * FROM net_b WHERE is_redox = 1")
 def redox_reactions(spark, sf):
     return analysis.redox_reactions(b.network(spark, sf))
