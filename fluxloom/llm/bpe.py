@@ -17,7 +17,6 @@ repeated results.  A null id stays null.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -94,8 +93,8 @@ def stitched(long: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizers_.byte_bpe(path, pattern)
         for key, rows in _groups(batches, (*KEY, "copies", "run")):
-            ids = np.asarray(enc.encode("".join(r["text"][r["cut"] or 0 :] for r in rows)), "<u4")
-            yield _row(ENCODED, (*key, ids.tobytes()))
+            ids = enc.encode("".join(r["text"][r["cut"] or 0 :] for r in rows))
+            yield _row(ENCODED, (*key, tokenizers_.packed(ids)))
 
     return runs.mapInArrow(pieces, f"{key}, run long, ids binary")
 
@@ -155,7 +154,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col=
             ids = [enc.encode(t) for t in b["text"]]
             return {
                 "doc_id": b["doc_id"], "n_tokens": list(map(len, ids)),
-                "ids_sha256": [hashlib.sha256(array("I", x).tobytes()).hexdigest() for x in ids],
+                "ids_sha256": [hashlib.sha256(tokenizers_.packed(x)).hexdigest() for x in ids],
                 "decoded_sha256": [hashlib.sha256(enc.decode(x)).hexdigest() for x in ids],
             }
 

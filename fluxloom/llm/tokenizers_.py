@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import sys
 from array import array
 from functools import lru_cache
 
@@ -69,11 +70,17 @@ def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+_SPACE, _OTHER, _HALF = re.compile(r"\s").search, re.compile(r"\S").search, LONG_PIECE // 2
+
+
+def long_run(text: str) -> bool:
+    """True if a run of LONG_PIECE characters, white space or not, may be there: it would fill some block of half its length."""
+    return any(not _SPACE(text, i, i + _HALF) or not _OTHER(text, i, i + _HALF) for i in range(0, len(text) - _HALF + 1, _HALF))
+
+
 class ByteBpe:
     """Ranks and a splitting pattern: encode by the public library, decode by joining raw bytes."""
 
-    LONG_RUN = re.compile(rf"\S{{{LONG_PIECE}}}|\s{{{LONG_PIECE}}}")
-
     def __init__(self, path: str, pat: str):
         import regex
         import tiktoken
@@ -87,7 +94,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> list[int]:
         """Each pre-token by itself, no special tokens."""
-        if not self.LONG_RUN.search(text):
+        if not long_run(text):
             return self.lib.encode_ordinary(text)
         out: list[int] = []
         for m in self.words.finditer(text):
@@ -104,6 +111,14 @@ def byte_bpe(path: str, pat: str) -> ByteBpe:
     return ByteBpe(path, pat)
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit bytes."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class WordEncoder:
     """BPE with word ends over cached pre-tokens; ids come as little-endian unsigned 32-bit bytes.
 
@@ -162,7 +177,7 @@ class WordEncoder:
             cache.update(zip(new, self._missing(new), strict=True))
         out = [b"".join(map(cache.__getitem__, p)) for p in pieces]
         for i, e in whole.items():
-            out[i] = array("I", e.ids).tobytes()
+            out[i] = packed(e.ids)
         for p in missed:
             if len(p) > CACHE_UNIT:
                 del cache[p]
@@ -202,11 +217,9 @@ class ByteBpeJson:
         self.fast = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        import numpy as np
-
-        if self.OTHER.search(text) or ByteBpe.LONG_RUN.search(text):
-            return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if self.OTHER.search(text) or long_run(text):
+            return packed(self.lib.encode(text, add_special_tokens=False).ids)
+        return packed(self.fast.encode_ordinary(text))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         return list(map(self.encode, texts))
