@@ -12,7 +12,7 @@ import heapq
 import re
 import sys
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from fluxloom.llm import common  # noqa: F401  (thread settings before the libraries load)
 
@@ -205,17 +205,30 @@ class ByteBpeJson:
     OTHER = re.compile("[^\x00-\u024f]")
 
     def __init__(self, path: str):
+        import json
+
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
-        special = self.lib.get_added_tokens_decoder()
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        vocab, special = file["model"]["vocab"], {t["id"] for t in file["added_tokens"]}
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in file["model"]["merges"]]
+        if merged != sorted(merged):
+            raise ValueError("the order of ids is not that of merges")
         byte_of = byte_letters()
-        vocab = {"".join(w): i for w, i in self.lib.get_vocab().items() if i not in special}
-        ranks = {bytes(map(byte_of.__getitem__, w)): i for w, i in vocab.items()}
+        ranks = {bytes(map(byte_of.__getitem__, w)): i for w, i in vocab.items() if i not in special}
         self.fast = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def lib(self):
+        """The tokenizers library, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        t.encode_special_tokens = True
+        return t
+
     def encode(self, text: str) -> bytes:
         if self.OTHER.search(text) or long_run(text):
             return packed(self.lib.encode(text, add_special_tokens=False).ids)
