@@ -7,13 +7,16 @@ with the prose that all texts share (the most frequent codes of ordinary ones);
 one goes on with the codes that toxic texts have much more often, the other with
 further ordinary codes, as many.  Each window of WINDOW_WORDS words is
 compressed with either.  A window is a hit if the toxic dictionary saves at
-least half a code; the text's distance is the sum over its hits.  The threshold
-comes from labelled texts that trained no dictionary: isotonic regression of the
-label on the distance gives the score.
+least half a code; the text's distance is the sum over its hits for each window,
+counted as if ALLOWANCE further windows had none: in a short text a chance hit
+stays small, and in a long one the steady trickle of chance hits tends to its
+rate, whatever the length.  A text is judged as a whole, so a passage counts by
+its share of the text.  The threshold comes from labelled texts that trained no
+dictionary: isotonic regression of the label on the distance gives the score.
 
-Fitting takes at most max_toxic and max_ordinary labelled texts of at most
-max_chars characters, those whose id hashes lowest; a third of them calibrate.
-Scoring takes every window of every text.
+Fitting takes at most max_toxic and max_ordinary labelled texts, whole, those
+whose id hashes lowest; a third of them calibrate.  Scoring takes every window
+of every text.
 
 Nulls, empties: a null or empty text has distance 0.  A null id is in no fold
 that is held out and has no label.  Labels that are null are no labels; of
@@ -39,7 +42,9 @@ from fluxloom.llm import common
 CODE_BYTES, WINDOW_WORDS, LEVEL = 16, 4, 3
 PREFIXES = (4, 5, 7)
 SHARED_CODES, OWN_CODES, MIN_TEXTS, TIMES_AS_OFTEN = 1024, 192, 4, 8.0
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1500, 3000, 65_536
+MAX_TOXIC, MAX_ORDINARY = 1500, 3000
+#: Windows without a hit that every text is given besides its own.
+ALLOWANCE = 200
 PREDICTED = 0.7
 #: Words of a shingle and hashes of a sketch, by which near copies are told in the sample.
 SHINGLE, SKETCH = 5, 16
@@ -89,9 +94,9 @@ class Scorer:
 
             self.pair = compressor(m.ordinary), compressor(m.toxic)
 
-    def distance(self, text: str) -> int:
+    def distance(self, text: str) -> float:
         if not self.pair:
-            return 0
+            return 0.0
         plain, toxic = self.pair
         words, total = list(map(spelled, WORD.findall(text.lower()))), 0
         for i in range(0, len(words), WINDOW_WORDS):
@@ -99,7 +104,7 @@ class Scorer:
             gain = len(plain(w)) - len(toxic(w))
             if 2 * gain >= CODE_BYTES:
                 total += gain
-        return total
+        return total / (-(-len(words) // WINDOW_WORDS) + ALLOWANCE)
 
     def score(self, texts) -> np.ndarray:
         d = np.array([self.distance(t) for t in texts], np.float64)
@@ -169,7 +174,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     )
     s = m.scorer()
     rest = [i for i in range(len(texts)) if i % 3 == 0]
-    m.steps, m.scores = isotonic([float(s.distance(texts[i])) for i in rest], [toxic[i] for i in rest])
+    m.steps, m.scores = isotonic([s.distance(texts[i]) for i in rest], [toxic[i] for i in rest])
     return m
 
 
@@ -178,14 +183,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Ids are chosen from the labels first, so that texts of the sample alone are moved."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).filter(~held_out())
     order = F.xxhash64("doc_id")
     chosen = known.filter("y = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(known.filter("y = 0").orderBy(order, "doc_id").limit(max_ordinary))
-    d = common.id_text(docs, id_col, text_col).filter(F.length("text") <= max_chars)
-    rows = d.join(F.broadcast(chosen), "doc_id").select("text", "y").groupBy("text").agg(F.max("y").alias("y"))
+    rows = common.id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "y").groupBy("text").agg(F.max("y").alias("y"))
     got = sorted(((_mixed(r.text), r.text, r.y) for r in rows.toLocalIterator()))
     return train([t for _, t, _ in got], [y for _, _, y in got])
 

@@ -166,6 +166,30 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.judge(df, none).collect()} == {0.0}
 
 
+def test_toxicity_of_long_texts(spark):
+    rnd = random.Random(7)
+    bad = ["grolfink", "smadgewort", "vilebast", "wuxomple", "zindraft"]
+
+    def text(seed, n, rate):
+        return " ".join(rnd.choice(bad) if rnd.random() < rate else w for w in prose(seed, n).split())
+
+    # Every tenth ordinary text holds one of the toxic words, as chance hits do.
+    texts = [text(3000 + i, 100, 0.06 if i % 4 == 0 else 0.0) + (f" {rnd.choice(bad)}" if i % 40 == 1 else "") for i in range(600)]
+    long = {1000: text(1, 30_000, 0.001), 1001: text(2, 30_000, 0.06), 1002: text(3, 30_000, 0.0)}
+    assert all(len(t) > 65_536 for t in long.values())
+    df = frame(spark, [(i, t, "en", "s") for i, t in [*enumerate(texts), *long.items()]])
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.judge(df, toxicity.fit(df, lab)).collect()}
+    assert [got[i] for i in sorted(long)] == [0, 1, 0]
+    # Texts over any length are fitted too.
+    only = spark.createDataFrame([(1000, 0)] + [(i, 1) for i in range(0, 40, 4)], "doc_id long, toxic int")
+    with pytest.MonkeyPatch.context() as m:
+        seen = []
+        m.setattr(toxicity, "train", lambda texts, toxic: seen.extend(texts))
+        toxicity.fit(df, only)
+    assert long[1000] in seen
+
+
 def test_isotonic_never_falls():
     rnd = random.Random(1)
     x = [float(rnd.randint(0, 30)) for _ in range(300)]
