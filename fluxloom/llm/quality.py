@@ -3,16 +3,23 @@
 Counts of a text feed fixed base rules and four measures.  For each measure,
 language and source, a mergeable quantile sketch is kept: counts of logarithmic
 buckets, so a value's bucket is within RELATIVE_ERROR of it, sketches merge by
-adding counts, and the result doesn't depend on order or retries.  A threshold
-is a fence: the median plus FENCE times the distance from the median to the
-upper quantile, and at least the measure's slack above the median.  Groups of
-few documents are shrunk toward the whole corpus: the sketch of a group is its
-own plus PRIOR_ROWS rows spread as the corpus.  Thresholds are joined back and
-documents beyond any of them are rejected.
+adding counts, and the result doesn't depend on order or retries.  Sketches hold
+the documents that pass the base rules.  A threshold is a fence: the median plus
+a multiple of the distance from the median to an upper quantile (FENCES), or plus
+the measure's FLOOR where the group spreads less than that.  The quantile is the
+upper quartile where junk may make up a tenth of a group, and the 99th percentile
+for duplicate lines, whose junk the base rules take out.  Groups of few documents
+are shrunk toward the whole corpus: the sketch of a group is its own plus
+PRIOR_ROWS rows spread as the corpus.  Thresholds are joined back and documents
+beyond any of them, by more than the noise of a text of their length, are
+rejected.  That is one event for shares, so that one repeated line of three is
+none, and three standard deviations of what is counted or averaged over words;
+the 99th percentile of lines holds theirs already.
 
 Nulls, empties: a null text has no words, all counts 0, and fails the base
 rules.  A null language or source is a group of its own.  Repeated rows count
-each.  An empty table gives an empty result.
+each.  A group of which no document passes the base
+rules has no thresholds.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +38,13 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 WINDOW_WORDS, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
-#: Measure -> least distance of its threshold from the median.
-SLACK = {"symbols_per_word": 0.10, "dup_line_share": 0.40, "echo_share": 0.30, "chars_per_word": 6.0}
-RELATIVE_ERROR, SMALLEST, UPPER, FENCE, PRIOR_ROWS = 0.01, 1e-4, 0.75, 6.0, 50
+#: Measure -> upper quantile, and how many times its distance from the median the threshold lies above the median.
+FENCES = {"symbols_per_word": (0.75, 6.0), "dup_line_share": (0.99, 1.0), "echo_share": (0.75, 6.0), "chars_per_word": (0.75, 6.0)}
+#: Measure -> least distance of its threshold from the median, for groups that hardly spread.
+FLOOR = {"symbols_per_word": 0.005, "dup_line_share": 0.02, "echo_share": 0.01, "chars_per_word": 0.25}
+#: Standard deviations that are taken for noise, and the one of a word's length, in characters.
+DEVIATIONS, WORD_DEVIATION = 3.0, 3.0
+RELATIVE_ERROR, SMALLEST, PRIOR_ROWS = 0.01, 1e-4, 50
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_echoes long"
 
@@ -87,7 +98,7 @@ def sketches(measured: DataFrame) -> DataFrame:
 
     gamma = math.log((1 + RELATIVE_ERROR) / (1 - RELATIVE_ERROR))
     bucket = lambda c: F.when(F.col(c) <= SMALLEST, F.lit(0)).otherwise(F.ceil(F.log(F.col(c) / SMALLEST) / gamma).cast("int"))
-    tall = measured.select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, SLACK)), F.array(*map(bucket, SLACK)))).alias("measure", "bucket"))
+    tall = measured.select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, FENCES)), F.array(*map(bucket, FENCES)))).alias("measure", "bucket"))
     return tall.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -120,10 +131,26 @@ def quantiles(sketch: DataFrame, at: dict[str, float]) -> DataFrame:
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source, one upper limit for each measure."""
     # A few hundred rows a group, used several times.
-    q = quantiles(common.written(sketches(measured), "sketches"), {"middle": 0.5, "upper": UPPER})
-    slack = F.element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in SLACK.items())), F.col("measure"))
-    limit = F.col("middle") + F.greatest(slack, F.lit(FENCE) * (F.col("upper") - F.col("middle")))
-    return q.groupBy("lang", "source").pivot("measure", list(SLACK)).agg(F.first(limit))
+    ranks = {q: f"upper_{i}" for i, q in enumerate(sorted({q for q, _ in FENCES.values()}))}
+    q = quantiles(common.written(sketches(measured.filter(~base_failed())), "sketches"), {"middle": 0.5} | {n: q for q, n in ranks.items()})
+    of = lambda values: F.element_at(F.create_map(*chain.from_iterable((F.lit(k), v) for k, v in values.items())), F.col("measure"))
+    fence = of({m: F.lit(times) * (F.col(ranks[q]) - F.col("middle")) for m, (q, times) in FENCES.items()})
+    limit = F.col("middle") + F.greatest(of({m: F.lit(v) for m, v in FLOOR.items()}), fence)
+    return q.groupBy("lang", "source").pivot("measure", list(FENCES)).agg(F.first(limit))
+
+
+def within_limits():
+    """No measure is beyond its limit by more than the noise of a text of that length."""
+    words, lines = (F.greatest(F.col(n), F.lit(1)) for n in ("n_words", "n_lines"))
+    counted = lambda m: 1 / words + DEVIATIONS * F.sqrt(F.col(f"{m}_limit") / words)
+    noise = {
+        "symbols_per_word": counted("symbols_per_word"), "dup_line_share": 1 / lines, "echo_share": counted("echo_share"),
+        "chars_per_word": DEVIATIONS * WORD_DEVIATION / F.sqrt(words),
+    }
+    within = F.lit(True)
+    for m in FENCES:
+        within = within & (F.col(m) <= F.col(f"{m}_limit") + noise[m])
+    return within
 
 
 def judge(docs: DataFrame, **cols) -> DataFrame:
@@ -131,17 +158,14 @@ def judge(docs: DataFrame, **cols) -> DataFrame:
     counted = with_counts(docs, **cols).withColumns(_measures())
     # Counting is the costly step: its result, a hundred bytes a row, is written once and read for both passes.
     counted = common.written(counted, "quality")
-    limits = thresholds(counted).select("lang", "source", *(F.col(m).alias(f"{m}_limit") for m in SLACK))
+    limits = thresholds(counted).select("lang", "source", *(F.col(m).alias(f"{m}_limit") for m in FENCES))
     failed = base_failed()
-    within = F.lit(True)
-    for m in SLACK:
-        within = within & (F.col(m) <= F.col(f"{m}_limit"))
     c, t = counted.alias("c"), limits.alias("t")
     # One row for each language and source; the optimizer broadcasts it while it is small.
     joined = c.join(t, F.col("c.lang").eqNullSafe(F.col("t.lang")) & F.col("c.source").eqNullSafe(F.col("t.source")), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & within).alias("kept"), *SLACK, *(f"{m}_limit" for m in SLACK),
+        failed.alias("base_failed"), (~failed & within_limits()).alias("kept"), *FENCES, *(f"{m}_limit" for m in FENCES),
     )
 
 
@@ -164,12 +188,9 @@ def filtered(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
         F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.col(f"`{lang_col}`").alias("lang_"), F.col(f"`{source_col}`").alias("source_"),
         counted(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("c"),
     ).select("row", "lang_", "source_", "c.*").withColumns(_measures())
-    within = F.lit(True)
-    for m in SLACK:
-        within = within & (F.col(m) <= F.col(f"{m}_limit"))
-    limits = limits.select("lang", "source", *(F.col(m).alias(f"{m}_limit") for m in SLACK))
+    limits = limits.select("lang", "source", *(F.col(m).alias(f"{m}_limit") for m in FENCES))
     joined = rows.join(limits, F.col("lang_").eqNullSafe(F.col("lang")) & F.col("source_").eqNullSafe(F.col("source")), "left")
-    return joined.filter(~base_failed() & within).select("row.*")
+    return joined.filter(~base_failed() & within_limits()).select("row.*")
 
 
 def base_failed():

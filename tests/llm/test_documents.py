@@ -124,6 +124,25 @@ def test_quality_rules(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def test_quantiles_decide_the_limits(spark):
+    # One source repeats lines and writes symbols, the other hardly ever does.
+    def text(i, lines, repeated, symbols):
+        own = [prose(1000 * i + j, 12) + " #" * symbols for j in range(lines)]
+        return "\n".join(own[: lines - repeated] + own[:1] * repeated)
+
+    rows = [(i, text(i, 20, 0, 0), "en", "plain") for i in range(1000)] + [(2000 + i, text(2000 + i, 20, i % 3, i % 4), "en", "marked") for i in range(200)]
+    rows += [(3000, text(3000, 20, 0, 3), "en", "plain"), (3001, text(3000, 20, 0, 3), "en", "marked"), (3002, text(3002, 20, 2, 0), "en", "plain"), (3003, text(3002, 20, 2, 0), "en", "marked")]
+    rows += [(3004, "\n".join([prose(3004, 12), prose(3005, 12), *["again and once more"] * 2]), "en", "plain")]
+    df = frame(spark, rows)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert not any(got[i].base_failed for i in range(3000, 3005))
+    assert [got[i].kept for i in range(3000, 3005)] == [False, True, False, True, True]
+    plain, marked = got[0], got[2000]
+    assert marked.symbols_per_word_limit > 4 * plain.symbols_per_word_limit and marked.dup_line_share_limit > 2 * plain.dup_line_share_limit
+    assert sum(got[i].kept for i in range(1000)) >= 990 and sum(got[2000 + i].kept for i in range(200)) >= 198
+    assert {r.doc_id for r in quality.filtered(df).collect()} == {i for i, r in got.items() if r.kept}
+
+
 def test_sketch_ranks_are_near(spark):
     rnd = random.Random(3)
     values = sorted(rnd.lognormvariate(0, 1) for _ in range(2000))
