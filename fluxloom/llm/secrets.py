@@ -6,7 +6,7 @@ values.  A value is a sum of terms: quoted literals, bare words, and names whose
 value is already known, so constants are propagated through later assignments
 and concatenations.  A target name is split into its words, and these and the
 value's form give a score; a value at or over the threshold marks each literal
-it is made of, where that literal stands.
+it is made of, where that literal stands.  Names and the blanks around a sign have any length.
 
 Nulls, empties: a null text is an empty text, without spans.  Repeated rows give
 repeated results.  Offsets are code points, ends exclusive.
@@ -17,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +48,10 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*|\{\{.*|%.*%|changeme.*
 
 MIN_LITERAL, SCORE = 8, 0.8
 
-_TARGET = re.compile(
-    r"""(?<![A-Za-z0-9_])["']?([A-Za-z_][A-Za-z0-9_.\-]{0,80}?)["']?[ \t]{0,8}(?::=|=>|==?|:)[ \t]{0,8}(?=["'A-Za-z0-9_+/$])|<([A-Za-z_][A-Za-z0-9_.\-]{0,80})>(?=[^<\s])"""
-)
+_SIGN = re.compile(r":=|=>|==?|:|<([A-Za-z_][A-Za-z0-9_.\-]*+)>(?=[^<\s])")
+_BLANKS = re.compile(r"""[ \t]*+(?=["'A-Za-z0-9_+/$])""")
+_NAME_CHARS = ".-_" + string.ascii_letters + string.digits
+_NAME = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_].*", re.S)
 _TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][A-Za-z0-9_.]*)(?=[\s"'<>,;(){}\[\]+&]|$)|([^\s"'<>,;(){}\[\]]+)""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*(?=[\"'A-Za-z_])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -72,12 +75,30 @@ def value_score(value: str) -> float:
     return min(1.0, 0.35 + 0.15 * kinds + 0.1 * max(0.0, entropy - 2.5))
 
 
+def _targets(text: str) -> Iterator[tuple[str, int, bool]]:
+    """Name, start of the value, and whether that may be a bare word, of every assignment in order.
+
+    Signs are found first; names and blanks before and after them have any
+    length.  Neither holds a sign, so each stretch of text is looked at once.
+    """
+    before = 0
+    for m in _SIGN.finditer(text):
+        if m[1]:
+            yield m[1], m.end(), False
+        elif v := _BLANKS.match(text, m.end()):
+            left = text[before : m.start()].rstrip(" \t")
+            left = left[:-1] if left.endswith(('"', "'")) else left
+            if name := _NAME.search(left[len(left.rstrip(_NAME_CHARS)) :]):
+                yield name[0], v.end(), text[v.end() - 1] in "=: \t"
+        before = m.end()
+
+
 def _constants(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
     """Every assignment in order: target, value, places of the literals that make the value."""
     known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
     out = []
-    for m in _TARGET.finditer(text):
-        at, value, spans, whole = m.end(), "", (), True
+    for name, at, bare in _targets(text):
+        value, spans, whole = "", (), True
         while t := _TERM.match(text, at):
             if t.lastindex in (1, 2, 4):
                 k = t.lastindex
@@ -85,7 +106,7 @@ def _constants(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
                 value, spans = value + text[t.start(k) : end], (*spans, (t.start(k), end))
             elif t[3] in known:
                 value, spans = value + known[t[3]][0], spans + known[t[3]][1]
-            elif m[0][-1] in "=: \t" and not spans and not _PLUS.match(text, t.end()):
+            elif bare and not spans and not _PLUS.match(text, t.end()):
                 value, spans = t[3], (t.span(3),)  # a bare word, as in configuration files
             else:
                 whole = False
@@ -94,8 +115,8 @@ def _constants(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
                 break
             at = p.end()
         if whole and spans:
-            known[m[1] or m[2]] = (value, spans)
-            out.append((m[1] or m[2], value, spans))
+            known[name] = (value, spans)
+            out.append((name, value, spans))
     return out
 
 

@@ -256,6 +256,27 @@ def test_lexer_finds(text, value):
     assert value in {text[a:b] for a, b in secrets.literals(text)}
 
 
+@pytest.mark.parametrize("sign", ["=", ":", ":=", "=>", "=="])
+@pytest.mark.parametrize("left,right", [(0, 0), (8, 8), (9, 1), (1, 10), (300, 300), (70_000, 70_000)])
+def test_lexer_has_no_bounds(sign, left, right):
+    for name in ("db_pwd", '"client_passphrase"', "n" * 95 + "_pwd_v2", "<a>x.y-" + "k" * 70_000 + "-db_pwd"):
+        text = f'{name}{" " * (left - left // 2)}{"\t" * (left // 2)}{sign}{" " * right}"Tr0ub4dor&3xZ!"\n'
+        assert [text[a:b] for a, b in secrets.literals(text)] == ["Tr0ub4dor&3xZ!"]
+        assert secrets.redacted(text).endswith('"[SECRET]"\n')
+    long = "c" * 200
+    text = f'{long}{" " * 40}= "Zx9kQ27pLw88"\ndb_pwd = {long}\n<{long}_pwd>Zx9!kQ27_pLw</{long}_pwd>'
+    assert [text[a:b] for a, b in secrets.literals(text)] == ["Zx9kQ27pLw88", "Zx9!kQ27_pLw"]
+
+
+def test_lexer_is_linear():
+    import time
+
+    start = time.process_time()
+    for text in ("a." * 500_000 + "=x", "a " * 500_000 + ":", " " * 1_000_000 + "=", ("pwd" + " " * 1000) * 1000 + ": x", "<" + "a" * 1_000_000, ":=" * 500_000):
+        secrets.literals(text)
+    assert time.process_time() - start < 20
+
+
 @pytest.mark.parametrize("text", ['password_file = "/etc/app/Secret9.txt"', 'password = "changeme123"', 'color = "Zx9kQ27pLw88"', "token_count: 1234567890", 'secret = "${VAULT_SECRET}"', "see this: nothing here = fine"])
 def test_lexer_leaves(text):
     assert secrets.literals(text) == []
