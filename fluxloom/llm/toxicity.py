@@ -5,7 +5,8 @@ first PREFIXES letters: in plain spelling a five-letter word saves less than one
 match costs, and the frame's overhead hides it; beginnings catch a stem's forms.  Two dictionaries are trained on labelled texts.  Both begin
 with the prose that all texts share (the most frequent codes of ordinary ones);
 one goes on with the codes that toxic texts have much more often, the other with
-further ordinary codes, as many.  Each window of WINDOW_WORDS words is
+further ordinary codes, as many; at most max_codes, of which the default is far
+more than qualify in texts so few.  Each window of WINDOW_WORDS words is
 compressed with either.  A window is a hit if the toxic dictionary saves at
 least half a code; the text's distance is the sum over its hits for each window,
 counted as if ALLOWANCE further windows had none: in a short text a chance hit
@@ -41,8 +42,8 @@ from fluxloom.llm import common
 
 CODE_BYTES, WINDOW_WORDS, LEVEL = 16, 4, 3
 PREFIXES = (4, 5, 7)
-SHARED_CODES, OWN_CODES, MIN_TEXTS, TIMES_AS_OFTEN = 1024, 192, 4, 8.0
-MAX_TOXIC, MAX_ORDINARY = 1500, 3000
+SHARED_CODES, MIN_TEXTS, TIMES_AS_OFTEN = 1024, 4, 8.0
+MAX_TOXIC, MAX_ORDINARY, MAX_CODES = 1500, 3000, 16_384
 #: Windows without a hit that every text is given besides its own.
 ALLOWANCE = 200
 PREDICTED = 0.7
@@ -89,8 +90,14 @@ class Scorer:
         if m.toxic:
             def compressor(content: bytes):
                 d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=LEVEL)
-                return z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+                # The level's own tables forget places of a large dictionary.
+                usual, log = z.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content)), len(content).bit_length() + 1
+                p = z.ZstdCompressionParameters.from_level(
+                    LEVEL, dict_size=len(content), window_log=max(usual.window_log, log), chain_log=max(usual.chain_log, log), hash_log=max(usual.hash_log, log + 1),
+                    write_content_size=False, write_checksum=False, write_dict_id=False,
+                )
+                d.precompute_compress(compression_params=p)
+                return z.ZstdCompressor(compression_params=p, dict_data=d).compress
 
             self.pair = compressor(m.ordinary), compressor(m.toxic)
 
@@ -147,7 +154,7 @@ def near_copies_out(texts: list[str]) -> list[int]:
     return out
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
+def train(texts: list[str], toxic: list[int], max_codes: int = MAX_CODES) -> Model:
     """A model of labelled texts in a random order, without near copies; every third calibrates."""
     kept = near_copies_out(texts)
     texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
@@ -165,7 +172,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     own = sorted(
         (-k, x) for x, k in seen_toxic.items()
         if x not in base and k >= MIN_TEXTS and k / n_toxic > TIMES_AS_OFTEN * (seen.get(x, 0) + 1) / max(1, n)
-    )[:OWN_CODES]
+    )[:max_codes]
     # What lies last in a dictionary is nearest to the data; a stem's beginnings lie in a row.
     prose = [code(x) for x in shared[::-1]]
     m = Model(
@@ -183,7 +190,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_codes: int = MAX_CODES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Ids are chosen from the labels first, so that texts of the sample alone are moved."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).filter(~held_out())
@@ -191,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     chosen = known.filter("y = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(known.filter("y = 0").orderBy(order, "doc_id").limit(max_ordinary))
     rows = common.id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "y").groupBy("text").agg(F.max("y").alias("y"))
     got = sorted(((_mixed(r.text), r.text, r.y) for r in rows.toLocalIterator()))
-    return train([t for _, t, _ in got], [y for _, _, y in got])
+    return train([t for _, t, _ in got], [y for _, _, y in got], max_codes)
 
 
 def _mixed(text: str) -> int:

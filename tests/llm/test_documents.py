@@ -204,11 +204,25 @@ def test_toxicity_of_long_texts(spark):
     only = spark.createDataFrame([(1000, 0)] + [(i, 1) for i in range(0, 40, 4)], "doc_id long, toxic int")
     with pytest.MonkeyPatch.context() as m:
         seen = []
-        m.setattr(toxicity, "train", lambda texts, toxic: seen.extend(texts))
+        m.setattr(toxicity, "train", lambda texts, *_: seen.extend(texts))
         toxicity.fit(df, only)
     assert long[1000] in seen
 
 
+def test_toxic_dictionary_holds_all_that_qualify():
+    rnd = random.Random(9)
+    bad = ["q" + "".join(rnd.choice("bcdfgkpvwz") for _ in range(7)) for _ in range(400)]
+    texts = [prose(5000 + i, 60) + (" " + " ".join(bad[i % 400 : i % 400 + 30]) if i % 2 else "") for i in range(800)]
+    toxic = [i % 2 for i in range(800)]
+    m = toxicity.train(texts, toxic)
+    held = {m.toxic[i : i + 16] for i in range(0, len(m.toxic), 16)}
+    found = [w for w in bad if all(toxicity.code(x) in held for x in toxicity.beginnings(w))]
+    assert len(found) > 250
+    s = m.scorer()
+    assert all(s.distance(f"{prose(1, 2)} {w} {prose(2, 1)}") > 0 for w in found)
+    assert len(toxicity.train(texts, toxic, 10).toxic) < len(m.toxic) - 16 * 700
+
+
 def test_isotonic_never_falls():
     rnd = random.Random(1)
     x = [float(rnd.randint(0, 30)) for _ in range(300)]
