@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxloom.functions import thermo
+from fluxloom.operators import ordering
 from fluxloom.operators.flux import sides
 from fluxloom.session import ship
 
@@ -63,6 +64,7 @@ def tally(log: DataFrame, above: int = 10) -> DataFrame:
 
 
 def tally_totals(network: DataFrame, log: DataFrame) -> DataFrame:
+    """n_reactions, n_firings, n_species that took part: one row joined to one row."""
     fired = log.filter("reaction_id >= 0").groupBy("reaction_id").agg(F.count("*").alias("firings"))
     species = sides(network).join(fired, "reaction_id", "left_semi").agg(F.countDistinct("species_id").alias("n_species"))
     return fired.agg(F.count("*").alias("n_reactions"), F.sum("firings").alias("n_firings")).join(species)
@@ -94,10 +96,22 @@ def padded_series(series: DataFrame, initial: DataFrame, n_steps: int, seeds: Da
     return d.select("seed", "step", "species_id", F.coalesce(last, "start", F.lit(0)).cast("long").alias("count"))
 
 
-def mean_series(padded: DataFrame, initial: DataFrame, n_seeds: int) -> DataFrame:
-    """species_id, step, mean over all seeds; a seed that never changes a species counts with its initial number."""
-    d = padded.groupBy("species_id", "step").agg(F.sum("count").alias("s"), F.count("*").alias("k")).join(initial, "species_id", "left")
-    return d.select("species_id", "step", ((F.col("s") + (F.lit(n_seeds) - F.col("k")) * F.coalesce("count", F.lit(0))) / F.lit(n_seeds)).alias("mean"))
+def mean_series(network: DataFrame, log: DataFrame, initial: DataFrame, n_steps: int, n_seeds: int) -> DataFrame:
+    """species_id, step, mean over n_seeds of the counts of state_series() held on every step below n_steps.
+
+    The mean's changes are added up over seeds first: sums of changes by species
+    and step, a running sum, and each value held until the next change.
+    """
+    d = firings(network, log).groupBy("species_id", "step").agg(F.sum(F.col("produced") - F.col("consumed")).alias("delta"))
+    d = d.filter(F.col("step") < n_steps)
+    first = d.select("species_id").distinct().select("species_id", F.lit(0).alias("step"), F.lit(0).cast("long").alias("delta"))
+    d = d.unionByName(first).groupBy("species_id", "step").agg(F.sum("delta").alias("delta"))
+    order = Window.partitionBy("species_id").orderBy("step")
+    upto = F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    until = F.coalesce(F.lead("step").over(order), F.lit(n_steps)) - 1
+    d = d.select("species_id", "step", upto.alias("upto"), until.alias("until"))
+    d = d.select("species_id", "upto", F.explode(F.sequence("step", "until")).alias("step")).join(initial, "species_id", "left")
+    return d.select("species_id", "step", (F.coalesce("count", F.lit(0)) + F.col("upto") / F.lit(n_seeds)).alias("mean"))
 
 
 def background(mean: DataFrame, of_interest: list[int], above: float = 0.1) -> DataFrame:
@@ -228,13 +242,22 @@ def edges(network: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, *groups: str) -> DataFrame:
-    """p50, p95, p99 as entries n//2, min(0.95 n, n-1), min(0.99 n, n-1) of the sorted values, without gathering them."""
-    by = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    """p50, p95, p99 as entries n//2, min(0.95 n, n-1), min(0.99 n, n-1) of the sorted values, without gathering them.
+
+    Distinct values are counted, and a running count over ranges of their order
+    gives each one's ranks, so one hot group spreads over tasks as many would.
+    """
     d = rows.filter(F.col(value).isNotNull()).select(*groups, value)
-    ranked = d.groupBy(*groups, value).agg(F.count("*").alias("k"))  # equal values are one row
-    ranked = ranked.withColumn("upto", F.sum("k").over(by.orderBy(value))).withColumn("n", F.sum("k").over(by))
+    counted_ = d.groupBy(*groups, value).agg(F.count("*").alias("k"))
+    ranked = ordering.running(counted_, [*groups, value], "k", "upto")
+    of = ranked.groupBy(*(F.col(g).alias(f"{g}_of") for g in groups)).agg(F.sum("k").alias("n"), F.min(F.col("upto") - F.col("k")).alias("before"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}_of"))
+    ranked = ranked.join(of, same) if groups else ranked.join(F.broadcast(of))  # without groups one row
+    upto = F.col("upto") - F.col("before")
     at = {"p50": F.floor(F.col("n") / 2), "p95": F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1), "p99": F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1)}
-    return ranked.groupBy(*groups).agg(*(F.min(F.when(F.col("upto") > i, F.col(value))).alias(k) for k, i in at.items()))
+    return ranked.groupBy(*groups).agg(*(F.min(F.when(upto > i, F.col(value))).alias(k) for k, i in at.items()))
 
 
 def verdict_stats(cache: DataFrame) -> DataFrame:
