@@ -1,4 +1,4 @@
-"""python -m fluxloom run CONFIG | production CONFIG [N STEPS] | reports CONFIG | status OUT_DIR | seeds SPECIES FORMULA:CHARGE... | map IN_CSV OUT_CSV [SECONDS]"""
+"""python -m fluxloom run CONFIG | production CONFIG [N STEPS] | reports CONFIG | sinks OUT_DIR [SPECIES] | status OUT_DIR | seeds SPECIES FORMULA:CHARGE... | map IN_CSV OUT_CSV [SECONDS]"""
 
 from __future__ import annotations
 
@@ -32,6 +32,8 @@ def main(args: list[str]) -> int:
             print(driver.production(spark, cfg, n, steps).count(), "firings")
         else:
             print(*driver.reports(spark, cfg, readers.species(spark, cfg.species_path)), sep="\n")
+    elif what == "sinks":
+        print(*driver.stand_alone_sinks(spark, *rest), sep="\n")
     elif what == "status":
         print(status.render(status.collect(spark, rest[0])))
     elif what == "seeds":

@@ -36,7 +36,7 @@ def complexes(
     species: DataFrame, core: DataFrame, elements: list[str], new_core: DataFrame | None = None,
     unary: bool = True, pairs_in_core: bool = True, blocks: int = BLOCKS,
 ) -> DataFrame:
-    """s1 <= s2 (or s2 = -1 for single species) and the summed element counts.
+    """s1 <= s2 (or s2 = -1 for single species) and the summed element counts (or whatever columns are named there).
 
     Without new_core: every pair with a member in core; pairs_in_core=False drops
     those with both.  With it: pairs with a member in new_core and none in the

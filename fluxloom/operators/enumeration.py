@@ -12,24 +12,36 @@ from fluxloom.schema import NONE
 KEYS = ["reactant_1", "reactant_2", "product_1", "product_2"]
 
 
-def product_index(species: DataFrame, elements: list[str], wanted: DataFrame | None = None, blocks: int = bucketing.BLOCKS) -> DataFrame:
-    """p1 <= p2 (-1: none) with summed element counts; only compositions that occur in wanted, if given."""
-    one = species.select(F.col("ind").alias("p1"), F.lit(NONE).alias("p2"), *elements)
-    two = bucketing.unordered_pairs(species.select("ind", *elements), blocks).select(
-        F.col("a.ind").alias("p1"), F.col("b.ind").alias("p2"), *((F.col(f"a.{e}") + F.col(f"b.{e}")).alias(e) for e in elements)
+#: What a side's totals are carried for: candidates() turns them into the change over a reaction.
+CARRIED = ["charge", "free_energy", "solvation_free_energy"]
+
+
+def product_index(species: DataFrame, elements: list[str], wanted: DataFrame | None = None, blocks: int = bucketing.BLOCKS, carried: list[str] | None = None) -> DataFrame:
+    """p1 <= p2 (-1: none) with summed element counts, and sums of the carried columns; only compositions that occur in wanted, if given."""
+    summed = [*elements, *(carried or [])]
+    one = species.select(F.col("ind").alias("p1"), F.lit(NONE).alias("p2"), *summed)
+    two = bucketing.unordered_pairs(species.select("ind", *summed), blocks).select(
+        F.col("a.ind").alias("p1"), F.col("b.ind").alias("p2"), *((F.col(f"a.{e}") + F.col(f"b.{e}")).alias(e) for e in summed)
     )
     index = one.unionByName(two)
     # Dropped before the shuffle when the wanted compositions are few.
     return index if wanted is None else index.join(wanted.select(*elements).distinct(), elements, "left_semi")
 
 
-def candidates(complexes: DataFrame, index: DataFrame, elements: list[str]) -> DataFrame:
-    """reactant_1, reactant_2, product_1, product_2: equal compositions, without reactions of a side to itself."""
+def candidates(complexes: DataFrame, index: DataFrame, elements: list[str], carried: list[str] | None = None) -> DataFrame:
+    """reactant_1, reactant_2, product_1, product_2: equal compositions, without reactions of a side to itself.
+
+    Carried sums of both tables become r_<column> and p_<column>, so that rules over
+    totals decide in the join, before any species is looked up.
+    """
+    for c in carried or []:
+        complexes, index = complexes.withColumnRenamed(c, f"r_{c}"), index.withColumnRenamed(c, f"p_{c}")
     # A popular composition makes a large key: as a sort-merge join Spark can split it.
     j = complexes.hint("merge").join(index, elements)
     return j.filter(~((F.col("s1") == F.col("p1")) & (F.col("s2") == F.col("p2")))).select(
-        F.col("s1").alias("reactant_1"), F.col("s2").alias("reactant_2"), F.col("p1").alias("product_1"), F.col("p2").alias("product_2")
-    )
+        F.col("s1").alias("reactant_1"), F.col("s2").alias("reactant_2"), F.col("p1").alias("product_1"), F.col("p2").alias("product_2"),
+        *(f"{s}_{c}" for c in carried or [] for s in "rp"),
+    )
 
 
 def touching(rows: DataFrame, core: DataFrame, a: str = "reactant_1", b: str = "reactant_2") -> DataFrame:
@@ -40,16 +52,16 @@ def touching(rows: DataFrame, core: DataFrame, a: str = "reactant_1", b: str = "
     return joined.filter("yes_1 OR yes_2").select(*rows.columns)
 
 
-def attached(rows: DataFrame, species: DataFrame) -> DataFrame:
-    """The four species of each row as structs r1, r2, p1, p2; null where there is none.
+def attached(rows: DataFrame, species: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The four species of each row as structs r1, r2, p1, p2 of the given columns; null where there is none.
 
-    A join by id for each: the species table is as large as the pool, and Spark
-    broadcasts it by its size.
+    A join by id for each: Spark broadcasts the species table if these columns
+    are small, and shuffles rows otherwise.
     """
     out = rows
     for side, key in zip(("r1", "r2", "p1", "p2"), KEYS, strict=True):
-        s = species.select(F.struct("*").alias(side), F.col("ind").alias(f"{side}_id"))
-        out = out.join(s, F.col(key) == F.col(f"{side}_id"), "inner" if side in ("r1", "p1") else "left").drop(f"{side}_id")
+        s = species.select(F.struct(*(species.columns if columns is None else columns)).alias(side), F.col("ind").alias("id__"))
+        out = out.join(s, F.col(key) == F.col("id__"), "inner" if side in ("r1", "p1") else "left").drop("id__")
     return out
 
 

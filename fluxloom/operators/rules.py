@@ -4,41 +4,68 @@ A rule maps a Context to a boolean Column; a tree is a list of (name, rule,
 outcome), an outcome being KEEP, DISCARD or a tree.  The first rule that holds
 decides; where none does, or a rule is null, the row goes on and is discarded in
 the end.  compiled() gives the verdict and the deciding rule's name.
+
+judge() takes candidates by ids and decides in parts, each written before the
+next, so that no part's generated code grows beyond what the JVM compiles and
+few rows reach the costly ones: rules over charges, energies and hashes; then
+stars and bonds, whose counts are packed in words and compared by arithmetic;
+then sums of hashes of fragmentations; and for rows with a sum in common the
+fragments.  may_keep() is a test over totals alone, for the join that makes
+candidates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom import schema as S
+from fluxloom import shared
 from fluxloom.functions import thermo
+from fluxloom.operators.enumeration import KEYS, attached
 
 KEEP, DISCARD = "KEEP", "DISCARD"
+#: What rules over charges, energies and hashes read, and what rules over graphs do.
+NARROW = ["ind", "charge", "free_energy", "solvation_free_energy", "is_metal", "covalent_hash"]
+GRAPH = ["star_counts", "bond_counts", "ring_fragments"]
+#: Keys of a map of counts that don't count as a change.
+LEFT_OUT = {"star_counts": (), "bond_counts": S.COORDINATE_PAIRS}
+#: Words of packed counts, bytes in each, and the most that one byte may hold so that two add up.
+WORDS, LANES, MOST = 3, 7, 63
+#: Columns of summed().
+SUMS = ["whole", "once", "more"]
 
 
 @dataclass(frozen=True)
 class Context:
+    """packed: maps whose counts with_words() has packed, and whether exactly.  totals: sides are known by carried sums alone.
+    ready: arities and changes are columns already, as with_changes() has them; written out in every rule they make code too long to compile."""
+
     electron_free_energy: float
     temperature: float = S.ROOM_TEMP
+    packed: dict[str, bool] = field(default_factory=dict)
+    totals: bool = False
+    ready: bool = False
 
     r1 = property(lambda self: F.col("r1"))
     p1 = property(lambda self: F.col("p1"))
-    nr = property(lambda self: 1 + F.col("r2").isNotNull().cast("int"))
-    np = property(lambda self: 1 + F.col("p2").isNotNull().cast("int"))
+    nr = property(lambda self: F.col("nr__") if self.ready else 1 + (F.col("reactant_2") >= 0 if self.totals else F.col("r2").isNotNull()).cast("int"))
+    np = property(lambda self: F.col("np__") if self.ready else 1 + (F.col("product_2") >= 0 if self.totals else F.col("p2").isNotNull()).cast("int"))
 
     def total(self, side: str, field: str) -> Column:
+        if self.totals:
+            return F.col(f"{side}_{field}")
         return F.col(f"{side}1.{field}") + F.coalesce(F.col(f"{side}2.{field}"), F.lit(0))
 
     def dq(self) -> Column:
-        return self.total("p", "charge") - self.total("r", "charge")
+        return F.col("dq__") if self.ready else self.total("p", "charge") - self.total("r", "charge")
 
     def dg(self, field: str) -> Column:
-        return self.total("p", field) - self.total("r", field) + self.dq() * F.lit(self.electron_free_energy)
+        return F.col(f"dg__{field}") if self.ready else self.total("p", field) - self.total("r", field) + self.dq() * F.lit(self.electron_free_energy)
 
     def any_metal(self, *sides: str) -> Column:
         return reduce(lambda a, b: a | b, (F.coalesce(F.col(f"{s}.is_metal"), F.lit(False)) for s in sides))
@@ -46,11 +73,12 @@ class Context:
     def arity(self, reactants: int, products: int) -> Column:
         return (self.nr == reactants) & (self.np == products)
 
-    def counts(self, side: str, field: str) -> Column:
+    def counts(self, s: str, field: str) -> Column:
         """The map of one side, both species added."""
         none = F.create_map().cast("map<string,int>")
+        side = lambda n: F.coalesce(F.col(f"{s}{n}.{field}"), none)
         add = lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-        return F.map_zip_with(F.coalesce(F.col(f"{side}1.{field}"), none), F.coalesce(F.col(f"{side}2.{field}"), none), add)
+        return F.map_zip_with(side(1), side(2), add)
 
     def count_change(self, field: str, leave_out: tuple[str, ...] = ()) -> Column:
         """Sum over the map's keys of how much their counts differ between the sides."""
@@ -59,8 +87,13 @@ class Context:
             gap = F.map_filter(gap, lambda k, _: ~k.isin(*leave_out))
         return F.aggregate(F.map_values(gap), F.lit(0), lambda a, b: a + b)
 
-
-Rule = Callable[[Context], Column]
+    def change_above(self, field: str, limit: int) -> Column:
+        """count_change() over limit, by packed counts where these are exact, or else by them first: they never differ more than the maps."""
+        exactly = lambda: self.count_change(field, LEFT_OUT[field]) > limit
+        if field not in self.packed:
+            return exactly()
+        near = F.col(f"change__{field}") > limit
+        return near if self.packed[field] else near | exactly()
 
 
 def metal_metal(c: Context) -> Column:
@@ -90,7 +123,7 @@ def dg_above(threshold: float, field: str) -> Rule:
 
 
 def star_change_above(limit: int) -> Rule:
-    return lambda c: c.count_change("star_counts") > limit
+    return lambda c: c.change_above("star_counts", limit)
 
 
 def covalent_decomposable(c: Context) -> Column:
@@ -117,7 +150,7 @@ def metal_coordination(c: Context) -> Column:
 
 
 def bond_change_above(limit: int = 2) -> Rule:
-    return lambda c: c.count_change("bond_counts", S.COORDINATE_PAIRS) > limit
+    return lambda c: c.change_above("bond_counts", limit)
 
 
 def fragment_match(c: Context) -> Column:
@@ -130,13 +163,14 @@ def fragment_match(c: Context) -> Column:
     frag = "struct<n_frag:int,n_broken:int,hashes:array<string>>"
 
     def side(s: str) -> Column:
-        one = F.transform(F.col(f"{s}1.fragments"), lambda f: F.struct(f["n_frag"].alias("n_frag"), f["n_broken"].alias("n_broken"), F.array_sort(f["hashes"]).alias("hashes")))
+        first, second = F.col(f"{s}1.fragments"), F.col(f"{s}2.fragments")
+        one = F.transform(first, lambda f: F.struct(f["n_frag"].alias("n_frag"), f["n_broken"].alias("n_broken"), F.array_sort(f["hashes"]).alias("hashes")))
 
         def with_second(f: Column) -> Column:
-            fits = F.filter(F.col(f"{s}2.fragments"), lambda g: f["n_broken"] + g["n_broken"] <= 1)
+            fits = F.filter(second, lambda g: f["n_broken"] + g["n_broken"] <= 1)
             return F.transform(fits, lambda g: F.struct((f["n_frag"] + g["n_frag"]).alias("n_frag"), (f["n_broken"] + g["n_broken"]).alias("n_broken"), F.array_sort(F.concat(f["hashes"], g["hashes"])).alias("hashes")))
 
-        two = F.flatten(F.transform(F.col(f"{s}1.fragments"), with_second))
+        two = F.flatten(F.transform(first, with_second))
         return F.coalesce(F.when(F.col(f"{s}2").isNull(), one).otherwise(two), F.array().cast(f"array<{frag}>"))
 
     both_two = c.arity(2, 2)
@@ -165,17 +199,17 @@ def ring_close(c: Context) -> Column:
     return c.arity(1, 2) & _one_each() & (F.col("match.p.n_frag") == 2)
 
 
-def _ring_break(one: str, two: str) -> Callable[[], Column]:
+def _ring_break(one: str, two: str) -> Column:
     want = lambda: F.array_sort(F.array(F.col(f"{two}1.covalent_hash"), F.col(f"{two}2.covalent_hash")))
-    return lambda: F.coalesce(F.exists(F.col(f"{one}1.ring_fragments"), lambda f: F.array_sort(F.array_distinct(f["hashes"])) == F.array_distinct(want())), F.lit(False))
+    return F.coalesce(F.exists(F.col(f"{one}1.ring_fragments"), lambda f: F.array_sort(F.array_distinct(f["hashes"])) == F.array_distinct(want())), F.lit(False))
 
 
 def ring_break_two(c: Context) -> Column:
-    return c.arity(1, 2) & _ring_break("r", "p")()
+    return c.arity(1, 2) & _ring_break("r", "p")
 
 
 def ring_form_two(c: Context) -> Column:
-    return c.arity(2, 1) & _ring_break("p", "r")()
+    return c.arity(2, 1) & _ring_break("p", "r")
 
 
 def always(c: Context) -> Column:
@@ -216,16 +250,112 @@ def default_tree() -> list:
 
 
 TREES: dict[str, Callable[[], list]] = {"default": default_tree}
+#: Names of rules that read graph columns, and of those that read the match of fragments.
+GRAPH_RULES, MATCH_RULES = {"star_change", "bond_change", "ring_break_two", "ring_form_two"}, {"fragments_match", "not_atom_transfer", "ring_close"}
+#: Names of rules that read no more than the sides' totals and arity.
+TOTAL_RULES = {"redox", "redox_arity", "charge_change", "redox_dg", "dg"}
 
 
-def compiled(tree: list, c: Context) -> Column:
-    """struct(verdict, rule) of each row, as one CASE whose branches are tried in order."""
+def compiled(tree: list, c: Context, whole: bool = True) -> Column:
+    """struct(verdict, rule) of each row, as one CASE whose branches are tried in order; undecided rows are null unless the tree is whole."""
     outcome = lambda verdict, name: F.struct(F.lit(verdict).alias("verdict"), F.lit(name).alias("rule"))
     case = None
     for name, rule, then in tree:
         value = outcome(then, name) if isinstance(then, str) else compiled(then, c)
         case = F.when(rule(c), value) if case is None else case.when(rule(c), value)
-    return case.otherwise(outcome(DISCARD, "none"))
+    if case is None:
+        case = F.when(F.lit(False), outcome(DISCARD, "none"))
+    return case.otherwise(outcome(DISCARD, "none")) if whole else case
+
+
+def names(tree: list) -> set[str]:
+    """Of all rules in a tree."""
+    return {n for name, _, then in tree for n in ({name} if isinstance(then, str) else {name} | names(then))}
+
+
+def may_keep(tree: list, c: Context) -> Column:
+    """False only of candidates that the tree discards, whatever its other rules say: a test over carried sums."""
+    c, false = replace(c, totals=True), F.lit(False)
+
+    def some(tree: list) -> Column:
+        out, on = false, F.lit(True)  # on: a row may come as far as here
+        for name, rule, then in tree:
+            known = F.coalesce(rule(c), false) if name in TOTAL_RULES else None
+            if then != DISCARD:
+                inner = some(then) if not isinstance(then, str) else F.lit(True)
+                out = out | (on & inner if known is None else on & known & inner)
+            if known is not None:
+                on = on & ~known
+        return out
+
+    return some(tree)
+
+
+def phases(tree: list, graph_rules: set[str] = GRAPH_RULES) -> tuple[list, list, list]:
+    """The tree cut before its first entry that reads graphs, and before its first that reads the match."""
+    first = lambda kinds: next((i for i, entry in enumerate(tree) if names([entry]) & kinds), len(tree))
+    match = first(MATCH_RULES)
+    graph = min(first(graph_rules), match)
+    return tree[:graph], tree[graph:match], tree[match:]
+
+
+def discards_first(tree: list, graph_rules: set[str]) -> list:
+    """A tree that keeps the same rows: discards that read no graph go before those that do, as long as no other outcome lies between."""
+    n = next((i for i, (_, _, then) in enumerate(tree) if then != DISCARD and i >= len(phases(tree, graph_rules)[0])), len(tree))
+    begin = len(phases(tree, graph_rules)[0])
+    costly = lambda entry: bool(names([entry]) & (graph_rules | MATCH_RULES))
+    return tree[:begin] + sorted(tree[begin:n], key=costly) + tree[n:]
+
+
+def packed(species: DataFrame) -> tuple[DataFrame, dict[str, bool]]:
+    """species with its maps of counts as WORDS words of LANES bytes each, and whether these hold the counts exactly.
+
+    With more keys in the pool than bytes, keys that share a byte are added up.
+    """
+    exact = {}
+    for name, out in LEFT_OUT.items():
+        if name not in species.columns:
+            continue
+        entries = species.select(F.explode(name).alias("k", "n")).filter(~F.col("k").isin(*out) if out else F.lit(True))
+        keys = [r.k for r in entries.select("k").distinct().orderBy("k").limit(WORDS * LANES + 1).collect()]  # two dozen at most
+        if (entries.agg(F.max("n")).first()[0] or 0) > MOST:
+            continue
+        exact[name] = len(keys) <= WORDS * LANES
+        of = (lambda i, name=name, keys=keys: F.try_element_at(name, F.lit(keys[i])) if i < len(keys) else F.lit(0)) if exact[name] else (
+            lambda i, name=name, out=out: F.least(F.lit(MOST), F.aggregate(F.map_values(F.map_filter(name, lambda k, _: (F.pmod(F.hash(k), F.lit(WORDS * LANES)) == i) & ~k.isin("", *out))), F.lit(0), lambda a, x: a + x)))
+        for word in range(WORDS):
+            lanes = (F.shiftleft(F.coalesce(of(LANES * word + i), F.lit(0)).cast("long"), 8 * i) for i in range(LANES))
+            species = species.withColumn(f"{name}_{word}", reduce(lambda a, b: a + b, lanes))
+    return species, exact
+
+
+def summed(species: DataFrame) -> DataFrame:
+    """species with whole, once, more: for the fragmentations that break no bond, one, or more, the sum of the hashes of what is left.
+
+    Equal fragments give equal sums, and the sums of two species add up.
+    """
+    total = lambda f: F.aggregate(f["hashes"], F.lit(0).cast("long"), lambda a, h: a + F.shiftright(F.xxhash64(h), 8))
+    of = lambda test: F.transform(F.filter("fragments", test), total)
+    return species.withColumns(dict(zip(SUMS, (of(lambda f: f["n_broken"] == 0), of(lambda f: f["n_broken"] == 1), of(lambda f: f["n_broken"] > 1)), strict=True)))
+
+
+def sums_meet() -> Column:
+    """False only if no fragmentations of the two sides can be equal."""
+    def side(s: str) -> Column:
+        one, two = ({k: F.col(f"{s}{i}.{k}") for k in SUMS} for i in (1, 2))
+        both = lambda x, y: F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: a + b)))
+        pairs = F.concat(both(one["whole"], two["whole"]), both(one["once"], two["whole"]), both(one["whole"], two["once"]))
+        return F.when(F.col(f"{s}2").isNull(), F.concat(*one.values())).otherwise(pairs)
+
+    return F.coalesce(F.arrays_overlap(side("r"), side("p")), F.lit(False))
+
+
+def _with_energies(d: DataFrame, c: Context) -> DataFrame:
+    """dq, dG, dG_barrier and rate."""
+    d = d.withColumn("dq", c.dq())
+    d = d.withColumn("dG", F.when(F.col("dq") != 0, c.dg("free_energy")).otherwise(c.dg("solvation_free_energy")))
+    barrier = F.when(F.col("dG") < 0, F.lit(0.0)).otherwise(F.col("dG"))
+    return d.withColumn("dG_barrier", barrier).withColumn("rate", thermo.rate(F.col("dG_barrier"), c.temperature))
 
 
 def judged(rows: DataFrame, c: Context, tree: list, fragments: bool = True) -> DataFrame:
@@ -233,13 +363,76 @@ def judged(rows: DataFrame, c: Context, tree: list, fragments: bool = True) -> D
     d = rows
     if fragments:
         d = d.withColumn("match", fragment_match(c))
-    d = d.withColumn("decision", compiled(tree, c)).withColumn("dq", c.dq())
-    dg = F.when(F.col("dq") != 0, c.dg("free_energy")).otherwise(c.dg("solvation_free_energy"))
-    d = d.withColumn("dG", dg)
+    return _with_energies(d.withColumn("decision", compiled(tree, c)), c).select("*", "decision.*").drop("decision")
+
+
+def with_changes(d: DataFrame, c: Context) -> DataFrame:
+    """Arities and changes of attached() rows as columns, each computed once."""
+    d = d.withColumns({"nr__": c.nr, "np__": c.np, "dq__": c.dq()})
+    return d.withColumns({f"dg__{f}": c.total("p", f) - c.total("r", f) + F.col("dq__") * F.lit(c.electron_free_energy) for f in ("free_energy", "solvation_free_energy")})
+
+
+def with_words(d: DataFrame, exact: dict[str, bool]) -> DataFrame:
+    """change__<map>: by how much the packed counts of attached() rows differ between the sides, all bytes of a word at once.
+
+    Bytes hold 126 at most, so their top bits are free: set before a subtraction,
+    they keep it from reaching into the next byte, and tell the sign after it.
+    """
+    words = [f"{m}_{i}" for m in exact for i in range(WORDS)]
+    every = lambda byte: sum(byte << 8 * i for i in range(LANES))
+    side = lambda s, x: F.coalesce(F.col(f"{s}1.{x}"), F.lit(0)) + F.coalesce(F.col(f"{s}2.{x}"), F.lit(0))
+    d = d.withColumns({f"x__{x}": side("r", x).bitwiseOR(F.lit(every(128))) - side("p", x) for x in words})
+    d = d.withColumns({f"n__{x}": F.shiftright(F.bitwise_not(f"x__{x}").bitwiseAND(F.lit(every(128))), 7) for x in words})
+    d = d.withColumns({f"a__{x}": F.col(f"x__{x}").bitwiseAND(F.lit(every(127))).bitwiseXOR(F.col(f"n__{x}") * 127) + F.col(f"n__{x}") for x in words})
+    low = F.lit(sum(255 << 16 * i for i in range(LANES // 2 + 1)))
+    pairs = lambda x: F.col(f"a__{x}").bitwiseAND(low) + F.shiftright(f"a__{x}", 8).bitwiseAND(low)
+    d = d.withColumns({f"s__{m}": reduce(lambda a, b: a + b, (pairs(f"{m}_{i}") for i in range(WORDS))) for m in exact})
+    total = lambda m: reduce(lambda a, b: a + b, (F.shiftright(f"s__{m}", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(LANES // 2 + 1)))
+    return d.withColumns({f"change__{m}": total(m) for m in exact})
+
+
+def judge(rows: DataFrame, species: DataFrame, c: Context, tree: list, keep_only: bool = False) -> DataFrame:
+    """Candidates by ids (KEYS) with verdict, rule, dq, dG, dG_barrier and rate; with keep_only those that are kept."""
+    if keep_only:
+        tree = discards_first(tree, GRAPH_RULES)
+    cheap, graph, match = phases(tree)
+    narrow = [x for x in NARROW if x in species.columns]
+    open_, done = F.col("decision").isNull(), F.col("decision").isNotNull()
+
+    def decide(d: DataFrame, part: list, c: Context, last: bool) -> DataFrame:
+        ready = replace(c, ready=True)
+        dg = F.when(ready.dq() != 0, ready.dg("free_energy")).otherwise(ready.dg("solvation_free_energy"))
+        d = with_changes(d, c).select(*KEYS, compiled(part, ready, last).alias("decision"), ready.dq().alias("dq"), dg.alias("dG"))
+        if last:
+            return d
+        # Written before it is filtered: a filter would evaluate the whole tree once more.
+        d = shared.written(d, "judged")
+        return d.filter(open_ | (F.col("decision.verdict") == KEEP)) if keep_only else d
+
+    d = decide(attached(rows.select(*KEYS), species, narrow), cheap, c, not graph + match)
+    out = [d.filter(done)] if graph + match else [d]
+    if graph:
+        held, exact = packed(species)
+        columns = [f"{m}_{i}" for m in exact for i in range(WORDS)] + [m for m in GRAPH if m in species.columns and not exact.get(m)]
+        d = attached(d.filter(open_).select(*KEYS), held, narrow + columns)
+        d = decide(with_words(d, exact), graph, replace(c, packed=exact), not match)
+        out.append(d.filter(done) if match else d)
+    if match:
+        d = attached(d.filter(open_).select(*KEYS), summed(species), SUMS).select(*KEYS, sums_meet().alias("meet__"))
+        d = shared.written(d, "judged")
+        more = [m for m in (*GRAPH, "fragments") if m in species.columns]
+        far = attached(d.filter("NOT meet__").select(*KEYS), species, narrow + [m for m in more if m != "fragments" and names(match) & GRAPH_RULES])
+        near = attached(d.filter("meet__").select(*KEYS), species, narrow + more)
+        none = F.struct(*(F.struct(F.lit(0).alias("n_frag"), F.lit(0).alias("n_broken"), F.array().cast("array<string>").alias("hashes")).alias(x) for x in "rp"))
+        out.append(decide(far.withColumn("match", F.when(F.lit(False), none)), match, c, True))
+        out.append(decide(near.withColumn("match", fragment_match(c)), match, c, True))
+    d = reduce(DataFrame.unionByName, out)
+    if keep_only:
+        d = d.filter(F.col("decision.verdict") == KEEP)
     barrier = F.when(F.col("dG") < 0, F.lit(0.0)).otherwise(F.col("dG"))
-    return d.withColumn("dG_barrier", barrier).withColumn("rate", thermo.rate(F.col("dG_barrier"), c.temperature)).select("*", "decision.*").drop("decision")
+    return d.withColumn("dG_barrier", barrier).withColumn("rate", thermo.rate(F.col("dG_barrier"), c.temperature)).select(*KEYS, "decision.*", "dq", "dG", "dG_barrier", "rate")
 
 
 def bond_delta_within(c: Context, limit: int = 3) -> Column:
     """The cheap test before the mapper; rows without bond counts pass."""
-    return F.coalesce(c.count_change("bond_counts", S.COORDINATE_PAIRS) <= limit, F.lit(True))
+    return F.coalesce(~c.change_above("bond_counts", limit), F.lit(True))

@@ -2,7 +2,9 @@
 
 Gillespie's direct method: propensities from counts, exponential waiting times,
 a reaction drawn in proportion.  Only reactions that depend on a changed species
-are computed anew.  A seed's result follows from the seed and the network alone.
+are computed anew, and propensities are kept in blocks with their sums, so a draw
+costs the square root of the network's size.  A seed's result follows from the
+seed and the network alone.
 """
 
 from __future__ import annotations
@@ -49,25 +51,37 @@ def trajectory(seed: int, ids: np.ndarray, places: np.ndarray, rates: np.ndarray
             return rates[i] * factors.two * factors.duplicate * n * (n - 1)
         return rates[i] * factors.two * n * count.get(b, 0)
 
-    p = np.array([propensity(i) for i in range(len(ids))])
+    width = max(1, int(len(ids) ** 0.5))
+    blocks = np.zeros((-(-len(ids) // width), width))
+    p = blocks.reshape(-1)
+    p[: len(ids)] = [propensity(i) for i in range(len(ids))]
+    sums = blocks.sum(axis=1)
+
+    def drawn(weights: np.ndarray, at: float) -> int:
+        i = min(int(np.searchsorted(np.cumsum(weights), at, side="right")), len(weights) - 1)
+        while weights[i] <= 0:  # rounding at a step's edge
+            i -= 1
+        return i
+
     time = 0.0
     for step in range(steps):
-        upto = np.cumsum(p)
-        total = upto[-1] if len(upto) else 0.0
+        total = sums.sum()
         if total <= 0:
             return
         time += rng.exponential(1 / total)
-        i = int(np.searchsorted(upto, rng.random() * total, side="right"))
-        i = min(i, len(p) - 1)
-        while p[i] <= 0:  # rounding at a step's edge
-            i -= 1
+        at = rng.random() * total
+        b = drawn(sums, at)
+        i = b * width + drawn(blocks[b], at - sums[:b].sum())
         changed = set()
         for k, s in enumerate(places[i].tolist()):
             if s >= 0:
                 count[s] = count.get(s, 0) + (1 if k > 1 else -1)
                 changed.add(s)
-        for j in {j for s in changed for j in users.get(s, ())}:
+        touched = {j for s in changed for j in users.get(s, ())}
+        for j in touched:
             p[j] = propensity(j)
+        of = list({j // width for j in touched})
+        sums[of] = blocks[of].sum(axis=1)
         yield step, int(ids[i]), time
 
 

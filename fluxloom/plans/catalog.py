@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fluxloom import shared
 from fluxloom.functions import text, thermo
 from fluxloom.operators import analysis, bucketing, enumeration, flux, mapper, rules, simulate
 from fluxloom.operators import species as pool
 from fluxloom.plans import bridge as b
 from fluxloom.plans.bridge import ELEMENTS, sql
 from fluxloom.schema import NONE
+from fluxloom.sources import readers, writers
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -109,46 +111,62 @@ WHEN {_NR} = 2 AND {_NP} = 2 AND {_M('r1', 'r2', 'p1', 'p2')} THEN 'concerted_me
 WHEN {_NR} = 2 AND {_NP} = 1 AND {_M('r1', 'r2')} AND p1.covalent_hash NOT IN (r1.covalent_hash, r2.covalent_hash) THEN 'concerted_metal_one_product'
 WHEN {_NR} = 1 AND {_NP} = 2 AND {_M('p1', 'p2')} AND r1.covalent_hash NOT IN (p1.covalent_hash, p2.covalent_hash) THEN 'concerted_metal_one_reactant'
 WHEN {_M('r1', 'r2', 'p1', 'p2')} THEN 'metal_coordination'
-WHEN {_GAP('n_h', 'n_o')} > 2 THEN 'bond_change' ELSE 'no_match' END"""
+WHEN {_GAP('n_h', 'n_o')} > 2 THEN 'bond_change'
+WHEN m.m IS NOT NULL THEN CASE WHEN {_NR} = 1 AND {_NP} = 1 AND m.m.r.n_broken = 1 AND m.m.p.n_broken = 1 AND NOT list_has_any(m.m.r.hashes, ['{rules.atom_hash("H")}', '{rules.atom_hash("F")}']) THEN 'not_atom_transfer'
+    WHEN {_NR} = 1 AND {_NP} = 2 AND m.m.r.n_broken = 1 AND m.m.p.n_broken = 1 AND m.m.p.n_frag = 2 THEN 'ring_close' ELSE 'matched' END ELSE 'no_match' END"""
+_KEPT = "('redox_kept', 'metal_coordination', 'matched')"
+_MATCHED = f"{_SIDES} JOIN match_b m ON {' AND '.join(f'm.{k} = x.{k}' for k in enumeration.KEYS)}"
 
 
-def _tree():
-    """The default tree up to the fragment rules, which need molecules."""
-    t = rules.default_tree()
-    return [*t[: [n for n, *_ in t].index("fragments_match")], ("no_match", rules.always, rules.DISCARD)]
-
-
-def _judged(spark, sf):
-    rows = enumeration.attached(candidates(spark, sf), b.with_maps(b.species(spark, sf)))
-    return rules.judged(rows, rules.Context(ELECTRON), _tree(), fragments=False)
+def _judged(spark, sf, keep_only=False):
+    c, tree = rules.Context(ELECTRON), rules.default_tree()
+    rows = candidates(spark, sf)
+    if keep_only:  # rules over totals decide in the join
+        carried = enumeration.CARRIED
+        s = b.species(spark, sf).select("ind", *ELEMENTS, *carried)
+        found = bucketing.complexes(s, b.core(spark, sf), [*ELEMENTS, *carried])
+        index = enumeration.product_index(s, ELEMENTS, found, carried=carried)
+        rows = enumeration.candidates(found, index, ELEMENTS, carried).filter(rules.may_keep(tree, c))
+    return rules.judge(rows, b.with_fragments(b.species(spark, sf)), c, tree, keep_only)
 
 
 @query(f"""SELECT {', '.join(f'x.{k}' for k in enumeration.KEYS)}, {_CASCADE} AS rule,
-CASE WHEN {_CASCADE} IN ('redox_kept', 'metal_coordination') THEN 'KEEP' ELSE 'DISCARD' END AS verdict, CAST({_DQ} AS INT) AS dq {_SIDES}""")
+CASE WHEN {_CASCADE} IN {_KEPT} THEN 'KEEP' ELSE 'DISCARD' END AS verdict, CAST({_DQ} AS INT) AS dq {_MATCHED}""")
 def rule_verdicts(spark, sf):
     return _judged(spark, sf).select(*enumeration.KEYS, "rule", "verdict", F.col("dq").cast("int").alias("dq"))
 
 
-@query(f"SELECT rule, count(*) AS n FROM (SELECT {_CASCADE} AS rule {_SIDES}) GROUP BY rule")
+@query(f"SELECT rule, count(*) AS n FROM (SELECT {_CASCADE} AS rule {_MATCHED}) GROUP BY rule")
 def rule_counts(spark, sf):
     return _judged(spark, sf).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT {', '.join(f'x.{k}' for k in enumeration.KEYS)}, CAST({_NR} AS INT) AS number_of_reactants, CAST({_NP} AS INT) AS number_of_products,
 CAST(CASE WHEN {_DQ} <> 0 THEN 1 ELSE 0 END AS INT) AS is_redox,
-round(CASE WHEN {_DQ} <> 0 THEN {_DG('free_energy')} ELSE {_DG('solvation_free_energy')} END, 6) AS dG, CAST(0 AS DOUBLE) AS dG_barrier {_SIDES}
-WHERE {_CASCADE} IN ('redox_kept', 'metal_coordination')""")
+round(CASE WHEN {_DQ} <> 0 THEN {_DG('free_energy')} ELSE {_DG('solvation_free_energy')} END, 6) AS dG, CAST(0 AS DOUBLE) AS dG_barrier {_MATCHED}
+WHERE {_CASCADE} IN {_KEPT}""")
 def kept_reactions(spark, sf):
-    kept = _judged(spark, sf).filter(F.col("verdict") == rules.KEEP)
+    kept = _judged(spark, sf, keep_only=True)
     return enumeration.finished(kept, 298.15).drop("rate").withColumn("dG", F.round("dG", 6))
 
 
 @query(f"SELECT {', '.join(f'x.{k}' for k in enumeration.KEYS)} {_SIDES} WHERE {_GAP('n_h', 'n_o')} <= 3")
 def bond_prefilter(spark, sf):
-    rows = enumeration.attached(candidates(spark, sf), b.with_maps(b.species(spark, sf)))
+    rows = enumeration.attached(candidates(spark, sf), b.with_maps(b.species(spark, sf)), ["ind", "bond_counts"])
     return rows.filter(rules.bond_delta_within(rules.Context(ELECTRON), 3)).select(*enumeration.KEYS)
 
 
+_RING = lambda one, two: f"""len(list_filter({one}1.ring_fragments, lambda f: list_sort(list_distinct(f.hashes)) = list_sort(list_distinct([{two}1.covalent_hash, {two}2.covalent_hash])))) > 0"""
+
+
+@query(f"""SELECT {', '.join(f'x.{k}' for k in enumeration.KEYS)}, {_NR} = 1 AND {_NP} = 2 AND {_RING('r', 'p')} AS breaks, {_NR} = 2 AND {_NP} = 1 AND {_RING('p', 'r')} AS forms
+{_SIDES.replace('species_b', 'species_f')}""")
+def ring_rules(spark, sf):
+    rows = enumeration.attached(candidates(spark, sf), b.with_fragments(b.species(spark, sf)), [*rules.NARROW, "ring_fragments"])
+    c = rules.Context(ELECTRON)
+    return rows.select(*enumeration.KEYS, rules.ring_break_two(c).alias("breaks"), rules.ring_form_two(c).alias("forms"))
+
+
 @query(f"SELECT * FROM (SELECT DISTINCT {_CANON} FROM net_b)")
 def network_dedup(spark, sf):
     d = enumeration.fresh(b.network(spark, sf))
@@ -311,11 +329,16 @@ coalesce(i.count, 0) + CAST(sum(delta) OVER (PARTITION BY seed, species_id ORDER
 FROM (SELECT seed, species_id, step, sum(produced - consumed) AS delta FROM fire_b GROUP BY ALL) d LEFT JOIN init_b i USING (species_id)""").replace("{{", "").replace("}}", "")
 
 
-def _mean(spark, sf):
+@query(f"SELECT seed, step, species_id, CAST(count AS BIGINT) AS count FROM ({_PADDED})")
+def padded_series(spark, sf):
     n, d, i = b.network(spark, sf), b.log(spark, sf), b.initial(spark, sf)
+    return analysis.padded_series(analysis.state_series(n, d, i), i, d.agg(F.max("step")).first()[0] + 1, d.select("seed").distinct()).withColumn("step", F.col("step").cast("long"))
+
+
+def _mean(spark, sf):
+    d = b.log(spark, sf)
     last, seeds = d.agg(F.max("step"), F.countDistinct("seed")).first()
-    padded = analysis.padded_series(analysis.state_series(n, d, i), i, last + 1, d.select("seed").distinct())
-    return analysis.mean_series(padded, i, seeds)
+    return analysis.mean_series(b.network(spark, sf), d, b.initial(spark, sf), last + 1, seeds)
 
 
 _MEAN = f"""SELECT p.species_id, CAST(p.step AS INT) AS step, (sum(p.count) + ((SELECT count(DISTINCT seed) FROM log_b) - count(*)) * coalesce(any_value(i.count), 0))
@@ -337,30 +360,48 @@ def first_producers(spark, sf):
     return analysis.first_producers(b.network(spark, sf), b.log(spark, sf))
 
 
-@query()
+_WAY = "array_to_string({}, '-')"
+
+
+def _way(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), "-").alias(c)
+
+
+@query(f"SELECT seed, species_id, {_WAY.format('pathway')} AS pathway FROM path_b")
 def pathways(spark, sf):
-    """Held against a recursive version in the tests: early returns have no plain SQL."""
-    return analysis.pathways(b.network(spark, sf), b.log(spark, sf), b.initial(spark, sf))
+    return analysis.pathways(b.network(spark, sf), b.log(spark, sf), b.initial(spark, sf)).select("seed", "species_id", _way("pathway"))
 
 
-@query()
+def _ways(spark, sf):
+    n = b.network(spark, sf)
+    return analysis.pathway_table(analysis.pathways(n, b.log(spark, sf), b.initial(spark, sf)), n)
+
+
+_WAYS = f"species_id, {_WAY.format('path_key')} AS path_key, {_WAY.format('pathway')} AS pathway, frequency, round(weight, 2) AS weight"
+
+
+def _written_ways(d):
+    return d.select("species_id", _way("path_key"), _way("pathway"), "frequency", F.round("weight", 2).alias("weight"))
+
+
+@query(f"SELECT {_WAYS} FROM ways_b")
 def pathway_table(spark, sf):
-    return analysis.pathway_table(pathways(spark, sf), b.network(spark, sf))
+    return _written_ways(_ways(spark, sf))
 
 
-@query()
+@query("""SELECT i.species_id, coalesce(CAST(min(len(w.pathway)) AS VARCHAR), 'unreachable') AS length FROM init_b i LEFT JOIN ways_b w ON i.species_id = w.species_id GROUP BY i.species_id""")
 def shortest_pathways(spark, sf):
-    return analysis.shortest(pathway_table(spark, sf), b.initial(spark, sf))
+    return analysis.shortest(_ways(spark, sf), b.initial(spark, sf))
 
 
-@query()
+@query(f"SELECT {_WAYS} FROM (SELECT * FROM ways_b WHERE species_id = 25 ORDER BY weight, frequency DESC, path_key LIMIT 100)")
 def pathway_report(spark, sf):
-    return analysis.pathway_report(pathway_table(spark, sf), 25, 100)
+    return _written_ways(analysis.pathway_report(_ways(spark, sf), 25, 100))
 
 
-@query()
+@query("""SELECT DISTINCT species_id, unnest(path_key) AS reaction_id FROM (SELECT *, row_number() OVER (PARTITION BY species_id ORDER BY weight, path_key) AS n FROM ways_b) WHERE n <= 3""")
 def pathway_reactions(spark, sf):
-    return analysis.pathway_reactions(pathway_table(spark, sf), 3)
+    return analysis.pathway_reactions(_ways(spark, sf), 3)
 
 
 @query("SELECT * FROM net_b WHERE is_redox = 1")
@@ -492,52 +533,233 @@ def windowed_counts(spark, sf):
     return d.select(F.unix_timestamp("window.start").alias("start"), "event_type", "firings")
 
 
-# --- simulation and molecules: results of random draws and graph code, held by tests
+# --- what is written and read back
+
+
+_BATCH = "reactant_1, reactant_2, product_1, product_2, number_of_reactants, number_of_products, rate, dG, 0.0 AS dG_barrier, is_redox"
+
+
+@query(f"""SELECT 1 AS iteration, row_number() OVER (ORDER BY {_KEYS}) - 1 AS reaction_id, {_KEYS} FROM one_each_b WHERE NOT later
+UNION ALL SELECT 2, row_number() OVER (ORDER BY {_KEYS}) - 1 + (SELECT count(*) FROM one_each_b WHERE NOT later), {_KEYS} FROM one_each_b WHERE later""")
+def stored_network(spark, sf):
+    """Reactions of even ids appended in one round, all others in the next, read back."""
+    rows, path = b.network(spark, sf), shared.folder(spark, "network")
+    batch = rows.selectExpr(*_BATCH.split(", "))
+    first = writers.append_reactions(batch.filter(F.col("reactant_1") < 45), path, 1)
+    writers.append_reactions(batch, path, 2, readers.reactions(spark, path), first)
+    return readers.reactions(spark, path).select("iteration", "reaction_id", *enumeration.KEYS)
+
+
+@query("SELECT reaction_id, list_filter([reactant_1, reactant_2], lambda x: x >= 0)[1] AS first_reactant, CAST(len(list_filter([product_1, product_2], lambda x: x >= 0)) AS INT) AS n_products FROM net_b WHERE reaction_id >= 10 AND reaction_id < 500")
+def reactions_in_range(spark, sf):
+    net = readers.Network(b.species(spark, sf), b.network(spark, sf)).in_range(10, 500)
+    return readers.participants(net).select("reaction_id", F.get("reactants", F.lit(0)).alias("first_reactant"), F.size("products").alias("n_products"))
+
+
+@query("SELECT ind AS species_id, CAST(CASE ind WHEN 3 THEN 50 WHEN 7 THEN 20 ELSE 0 END AS INT) AS count FROM species_b")
+def stored_initial_state(spark, sf):
+    path = shared.folder(spark, "initial")
+    writers.initial_state(b.species(spark, sf), {3: 50, 7: 20}, path)
+    return readers.initial_state(spark, path)
+
+
+@query("SELECT CAST(seed AS INT) AS seed, step, reaction_id, CAST(step AS DOUBLE) AS time FROM log_b")
+def stored_log(spark, sf):
+    path = shared.folder(spark, "log")
+    writers.trajectories(b.log(spark, sf).select(F.col("seed").cast("int").alias("seed"), "step", "reaction_id", F.col("step").cast("double").alias("time")), path)
+    return readers.trajectories(spark, path)
+
+
+@query("""SELECT rxn_key, allowed, status FROM (SELECT *, row_number() OVER (PARTITION BY rxn_key ORDER BY ts DESC) AS n FROM verdict_b WHERE mapper_version = '1.0.0') WHERE n = 1""")
+def stored_verdicts(spark, sf):
+    """Verdicts added in two parts, the cache read back and its repeats settled."""
+    path, v = shared.folder(spark, "verdicts"), b.verdicts(spark, sf)
+    for part in (v.filter("allowed = 1"), v.filter("allowed = 0")):
+        writers.verdicts(part, path)
+    found = readers.verdict_cache(spark, path)
+    return mapper.merged(found.limit(0), found).select("rxn_key", "allowed", "status")
+
+
+@query("""SELECT n.reaction_id FROM (SELECT *, 'k' || CAST(reactant_1 AS VARCHAR) AS rxn_key FROM net_b) n
+LEFT JOIN (SELECT rxn_key, arg_max(allowed, ts) AS allowed, arg_max(status, ts) AS status FROM verdict_b GROUP BY rxn_key) v ON n.rxn_key = v.rxn_key
+WHERE CASE WHEN v.status = 'click' THEN v.allowed = 1 ELSE true END""")
+def verdict_application(spark, sf):
+    """Only a verdict rejects (clicks stand for mapped reactions), other statuses keep."""
+    v = b.verdicts(spark, sf).groupBy("rxn_key").agg(F.max_by("allowed", "ts").alias("allowed"), F.max_by("status", "ts").alias("status"))
+    v = v.withColumn("status", F.when(F.col("status") == "click", "allowed").otherwise("timeout"))
+    rows = b.network(spark, sf).withColumn("rxn_key", F.concat(F.lit("k"), F.col("reactant_1").cast("string")))
+    return mapper.verdicts(rows, v).select("reaction_id")
+
+
+@query("SELECT CAST(reaction_id AS BIGINT) AS reaction_id, count(*) AS firings FROM log_b GROUP BY reaction_id HAVING count(*) > 4")
+def exported_tally(spark, sf):
+    """The tally's JSON export, read back."""
+    path = shared.folder(spark, "tally") + "/tally.json"
+    species = b.species(spark, sf).withColumn("entry_id", F.concat(F.lit("s"), F.col("ind").cast("string")))
+    writers.tally_json(analysis.tally(b.log_unordered(spark, sf), 4), b.network(spark, sf), species, path)
+    return spark.createDataFrame([(int(k), v) for k, v in shared.json_or(path)["pathways"].items()], "reaction_id long, firings long")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS reaction_id, CAST(n_nationkey % 3 + 1 AS INT) AS n_reactants, CAST(n_regionkey + 1 AS INT) AS n_atoms FROM nation")
+def mapper_rows(spark, sf):
+    """The mapper's input as CSV, written and read."""
+    n = b.table(spark, sf, "nation")
+    atoms = F.transform(F.sequence(F.lit(0), F.col("n_regionkey")), lambda i: F.lit("C"))
+    none = F.array().cast("array<struct<u:int,v:int,ord:int>>")
+    side = F.to_json(F.transform(F.sequence(F.lit(0), F.col("n_nationkey") % 3), lambda i: F.struct(atoms.alias("symbols"), none.alias("bonds"))))
+    path = shared.folder(spark, "mapper")
+    writers.mapper_csv(n.select(F.col("n_nationkey").cast("long").alias("reaction_id"), side.alias("reactant"), side.alias("product")), path)
+    d = readers.mapper_csv(spark, path)
+    return d.select("reaction_id", F.size("reactants").alias("n_reactants"), F.size(F.get("products", F.lit(0))["symbols"]).alias("n_atoms"))
+
+
+@query("SELECT CAST(n_nationkey % 4 + 1 AS INT) AS n_atoms, CAST(n_nationkey % 4 AS INT) AS n_bonds, count(*) AS n FROM nation GROUP BY ALL")
+def geometries(spark, sf):
+    """Chains of carbons as geometry files, their bonds by distance."""
+    line = "transform(sequence(0, CAST(n_nationkey % 4 AS INT)), i -> concat('C ', CAST(i * 1.5D AS STRING), ' 0.0 0.0'))"
+    files = b.table(spark, sf, "nation").selectExpr(f"concat(CAST(n_nationkey % 4 + 1 AS STRING), '\\n', n_name, '\\n', array_join({line}, '\\n')) AS value")
+    path = shared.folder(spark, "geometry")
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    return readers.xyz_files(spark, path).groupBy(F.size("atoms").alias("n_atoms"), F.size("bonds").alias("n_bonds")).agg(F.count("*").alias("n"))
+
+
+# --- simulation
 
 
 @query()
 def simulation(spark, sf):
+    """Random draws: the tests hold the law."""
     return simulate.simulated(b.network(spark, sf).withColumn("rate", F.lit(1.0)), b.initial(spark, sf), 16, 500)
 
 
-def _molecules(spark, sf):
-    """A chain for each supplier: carbons, an oxygen on the end of some, hydrogens on the first."""
-    s = b.table(spark, sf, "supplier")
-    n_c, n_h = F.col("s_nationkey") % 4 + 1, (F.col("s_suppkey") % 3).cast("int")
-    symbols = F.concat(F.array_repeat(F.lit("C"), n_c), F.array_repeat(F.lit("O"), (F.col("s_suppkey") % 2).cast("int")), F.array_repeat(F.lit("H"), n_h))
-    heavy = (n_c + F.col("s_suppkey") % 2).cast("int")
-    chain = F.when(heavy > 1, F.transform(F.sequence(F.lit(1), F.greatest(heavy - 1, F.lit(1))), lambda i: F.struct((i - 1).alias("u"), i.alias("v"), F.lit(1).alias("ord"))))
-    hs = F.when(n_h > 0, F.transform(F.sequence(F.lit(0), F.greatest(n_h - 1, F.lit(0))), lambda i: F.struct(F.lit(0).alias("u"), (heavy + i).alias("v"), F.lit(1).alias("ord"))))
-    none = F.array().cast("array<struct<u:int,v:int,ord:int>>")
-    atoms = F.transform(symbols, lambda x, i: F.struct(x.alias("symbol"), i.cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
-    charges = F.transform(symbols, lambda x: F.lit(0.1))
-    return s.select(
-        F.col("s_name").alias("molecule_id"), F.size(symbols).alias("number_atoms"), F.lit(1).alias("spin_multiplicity"), (F.col("s_suppkey") % 3 - 1).cast("int").alias("charge"),
-        atoms.alias("atoms"), F.concat(F.coalesce(chain, none), F.coalesce(hs, none)).alias("bonds"),
-        F.struct(F.struct(F.col("s_acctbal").alias("electronic_energy_Ha"), F.lit(0.0).alias("total_enthalpy_kcal/mol"), F.lit(0.0).alias("total_entropy_cal/molK")).alias("raw")).alias("thermo"),
-        F.struct(charges.alias("resp"), charges.alias("mulliken"), charges.alias("nbo")).alias("partial_charges"),
-        F.struct(F.lit(None).cast("array<double>").alias("mulliken"), F.lit(None).cast("array<double>").alias("nbo")).alias("partial_spins"),
-        F.struct(F.lit(None).cast("double").alias("electron_affinity_eV"), F.lit(None).cast("double").alias("ionization_energy_eV")).alias("redox"),
+@query("SELECT CAST(1000 + s.seed AS INT) AS seed, CAST(p_partkey AS INT) AS step, CAST(p_partkey AS BIGINT) AS reaction_id FROM part, (SELECT unnest(range(0, 3)) AS seed) s")
+def chain_simulation(spark, sf):
+    """A network where each reaction alone can follow the one before: every seed fires them in order."""
+    net = b.table(spark, sf, "part").selectExpr("CAST(p_partkey AS BIGINT) AS reaction_id", "CAST(p_partkey AS INT) AS reactant_1", "-1 AS reactant_2", "CAST(p_partkey + 1 AS INT) AS product_1", "-1 AS product_2", "1.0D AS rate")
+    start = spark.createDataFrame([(0, 1)], "species_id int, count int")
+    return simulate.simulated(net, start, 3, net.count() + 5).select("seed", "step", "reaction_id")
+
+
+# --- molecules
+
+
+@query(f"""SELECT entry_id, formula, charge, CAST(CASE WHEN {b.COMPLEX} THEN 3 WHEN {b.ION} THEN 1 ELSE atoms END AS INT) AS num_atoms, round(g, 4) AS free_energy, {b.ION} AS is_metal FROM mol_b""")
+def species_documents(spark, sf):
+    """Raw documents written as JSON, read and flattened."""
+    path = shared.folder(spark, "species")
+    b.molecules(spark, sf).write.json(path)
+    return pool.flattened(readers.raw_species(spark, path)).select("entry_id", "formula", "charge", "num_atoms", F.round("free_energy", 4).alias("free_energy"), "is_metal")
+
+
+def _decided(spark, sf):
+    env = pool.Environment.named("li_ec")
+    return pool.decided(pool.with_graphs(pool.flattened(b.molecules(spark, sf)), env), env)
+
+
+@query("SELECT entry_id, rule, CASE WHEN rule = 'kept' THEN 'KEEP' ELSE 'DISCARD' END AS verdict FROM mol_b")
+def species_verdicts(spark, sf):
+    return _decided(spark, sf).select("entry_id", "rule", "verdict")
+
+
+@query("SELECT rule, count(*) AS n FROM mol_b WHERE rule <> 'kept' GROUP BY rule")
+def species_exclusions(spark, sf):
+    return pool.exclusion_counts(_decided(spark, sf))
+
+
+@query("""SELECT rule, count(*) AS n FROM (SELECT CASE WHEN atoms > 4 THEN 'large' WHEN charge = 2 THEN 'charge' ELSE 'kept' END AS rule FROM mol_b) GROUP BY rule""")
+def own_species_rules(spark, sf):
+    """A caller's own rules in place of the default ones."""
+    env = pool.Environment.named("li_ec")
+    metals = F.size(F.filter("atoms", lambda a: ~a["symbol"].isin("Li", "Na")))
+    tree = [("large", metals > 4), ("charge", F.abs("charge") > 1)]
+    return pool.decided(pool.with_graphs(pool.flattened(b.molecules(spark, sf)), env), env, tree).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT entry_id, CAST(cc AS INT) AS cc, CAST(co AS INT) AS co, CAST(ch AS INT) AS ch, CAST(atoms AS INT) AS n_stars,
+CAST(CASE WHEN atoms = 0 THEN 0 ELSE 1 + cc + co + ch END AS INT) AS n_fragmentations,
+CAST(CASE WHEN atoms = 0 THEN 0 WHEN {b.RING} THEN 1 + cc WHEN kind = 7 THEN 2 ELSE 1 + 2 * (cc + co + ch) END AS INT) AS n_fragments, CAST(ring_pairs AS INT) AS n_ring_pairs,
+NOT (kind = 7 OR {b.COMPLEX} AND odd = 1) AS connected, kind <> 7 AS covalent_connected, {b.RING} OR kind = 7 AS covalent_ring, CAST(near AS INT) AS n_coordination FROM mol_b""")
+def species_graphs(spark, sf):
+    env = pool.Environment.named("li_ec")
+    d = pool.with_graphs(pool.flattened(b.molecules(spark, sf)), env)
+    count = lambda k: F.coalesce(F.try_element_at("bond_counts", F.lit(k)), F.lit(0))
+    return d.select(
+        "entry_id", count("C-C").alias("cc"), count("C-O").alias("co"), count("C-H").alias("ch"), F.aggregate(F.map_values("star_counts"), F.lit(0), lambda a, x: a + x).alias("n_stars"),
+        F.size("fragments").alias("n_fragmentations"), F.aggregate("fragments", F.lit(0), lambda a, f: a + f["n_frag"]).alias("n_fragments"), F.size("ring_fragments").alias("n_ring_pairs"),
+        "connected", "covalent_connected", "covalent_ring", "n_coordination",
     )
 
 
-@query()
+@query(f"SELECT formula, count(DISTINCT (CASE WHEN {b.CHAIN} THEN 'chain' ELSE CAST(kind AS VARCHAR) END)) AS n_hashes FROM mol_b WHERE kind <> 7 GROUP BY formula")
+def graph_hashes(spark, sf):
+    """Graphs of one formula have as many hashes as they have structures."""
+    env = pool.Environment.named("li_ec")
+    d = pool.with_graphs(pool.flattened(b.molecules(spark, sf)), env).filter(F.size("atoms") != 2).unionByName(
+        pool.with_graphs(pool.flattened(b.molecules(spark, sf)), env).filter((F.size("atoms") == 2) & (F.size("bonds") > 0)))
+    return d.groupBy("formula").agg(F.countDistinct("covalent_hash").alias("n_hashes"))
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY entry_id) - 1 AS INT) AS ind, entry_id, formula, charge, CAST(penalty AS INT) AS penalty, round(solvation, 4) AS solvation_free_energy,
+CAST(CASE WHEN atoms = 0 THEN 0 ELSE 1 + cc + co + ch END AS INT) AS n_fragmentations FROM pool_b""")
 def species_pool(spark, sf):
-    return pool.pool(_molecules(spark, sf), "li_ec")[0].select("ind", "entry_id", "formula", "charge", "solvation_free_energy", "covalent_hash", F.size("fragments").alias("n_fragmentations"))
+    d = pool.pool(b.molecules(spark, sf), "li_ec")[0]
+    return d.select("ind", "entry_id", "formula", "charge", "penalty", F.round("solvation_free_energy", 4).alias("solvation_free_energy"), F.size("fragments").alias("n_fragmentations"))
 
 
-@query()
-def species_exclusions(spark, sf):
-    return pool.exclusion_counts(pool.pool(_molecules(spark, sf), "li_ec")[1])
+@query("""SELECT formula, charge, CAST(arg_min(ind, (solvation, ind)) AS INT) AS lowest, CAST(min(ind) AS INT) AS by_entry FROM (SELECT *, row_number() OVER (ORDER BY entry_id) - 1 AS ind FROM pool_b)
+WHERE formula IN ('C1O1', 'C2', 'C3', 'C4O1') GROUP BY formula, charge""")
+def seed_lookup(spark, sf):
+    """Species by formula and charge, and by entry id."""
+    d = shared.written(pool.pool(b.molecules(spark, sf), "li_ec")[0], "pool")
+    first = d.filter(F.col("formula").isin("C1O1", "C2", "C3", "C4O1")).groupBy("formula", "charge").agg(F.min("entry_id").alias("e")).collect()  # eight at most
+    rows = [(r.formula, r.charge, pool.lowest_energy(d, r.formula, r.charge), pool.by_entry_id(d, r.e)) for r in first]
+    return spark.createDataFrame(rows, "formula string, charge int, lowest int, by_entry int")
 
 
-@query()
+@query("""SELECT ind, array_to_string(list_concat(list_concat(CASE WHEN cc + 1 > 0 AND atoms > 0 THEN list_transform(range(0, atoms - co - ch), lambda i: 'C') ELSE [] END,
+list_transform(range(0, ch), lambda i: 'H')), list_transform(range(0, CAST(co AS BIGINT)), lambda i: 'O')), '_') AS comp_key
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY entry_id) - 1 AS INT) AS ind FROM pool_b) WHERE kind <> 5 AND kind <> 6""")
+def composition_keys(spark, sf):
+    d = pool.pool(b.molecules(spark, sf), "li_ec")[0]
+    symbols = F.transform("atoms", lambda a: a["symbol"])
+    return d.filter(~F.array_contains(symbols, "Li")).select("ind", text.composition_key(symbols).alias("comp_key"))
+
+
+@query(f"""SELECT entry_id AS rxn_key, CAST(1 AS INT) AS allowed, 'allowed' AS status, CAST(1 AS INT) AS n_bonds_broken, CAST(0 AS INT) AS n_bonds_formed, CAST(0 AS INT) AS n_bond_order_changes
+FROM mol_b WHERE NOT ({b.ION}) AND kind <> 7 AND cc + co + ch > 0""")
 def mapped_reactions(spark, sf):
     """Each molecule to itself without its last bond."""
-    m = _molecules(spark, sf).filter(F.size("bonds") > 0)
+    m = b.molecules(spark, sf).filter(F.size("bonds") > 0)
     side = lambda bonds: F.array(F.struct(F.transform("atoms", lambda a: a["symbol"]).alias("symbols"), bonds.alias("bonds")))
     rows = m.select(F.col("molecule_id").alias("rxn_key"), side(F.col("bonds")).alias("reactants"), side(F.slice("bonds", 1, F.size("bonds") - 1)).alias("products"))
-    return mapper.map_reactions(rows, 10.0).drop("elapsed")
+    return mapper.map_reactions(rows, 10.0).select("rxn_key", "allowed", "status", "n_bonds_broken", "n_bonds_formed", "n_bond_order_changes")
+
+
+@query("""SELECT entry_id AS rxn_key, CAST(n AS INT) AS n_bonds_broken, CASE WHEN n = 0 OR n = 1 THEN 'allowed' ELSE 'rejected' END AS status FROM (SELECT entry_id, cc // 3 + CASE WHEN cc >= 1 THEN 1 ELSE 0 END AS n FROM mol_b WHERE kind = 4)""")
+def far_edits(spark, sf):
+    """Rings that lose their first bond, and larger ones a bond far from it too: edits without a common atom are not elementary."""
+    m = b.molecules(spark, sf).filter("size(bonds) >= 3 AND size(bonds) = size(atoms)")
+    gone = F.expr("filter(bonds, (x, i) -> i <> 0 AND NOT (i = 2 AND size(bonds) >= 3) AND NOT (i = 4 AND size(bonds) >= 6))")
+    side = lambda bonds: F.array(F.struct(F.transform("atoms", lambda a: a["symbol"]).alias("symbols"), bonds.alias("bonds")))
+    rows = m.select(F.col("molecule_id").alias("rxn_key"), side(F.col("bonds")).alias("reactants"), side(gone).alias("products"))
+    return mapper.map_reactions(rows, 10.0).select("rxn_key", "n_bonds_broken", "status")
+
+
+# --- streaming over both sides of reactions
+
+
+@query("SELECT species_id, CAST(sum(produced) AS BIGINT) AS produced, CAST(sum(consumed) AS BIGINT) AS consumed, count(*) AS touched FROM fire_b GROUP BY species_id")
+def live_flux(spark, sf):
+    """Flux of every species over the log as a stream, as the last trigger leaves it."""
+    import uuid
+
+    from fluxloom.streaming import live
+
+    parts, events, name = b.table(spark, sf, "part").count(), b.table(spark, sf, "events"), f"live_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").select((F.col("event_id") % parts).alias("reaction_id"))
+    q = live.live_flux(stream, b.network(spark, sf)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
 
 
 def queries() -> dict:
