@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fluxloom import schema as S
 from fluxloom.config import RunConfig, load_config
 from fluxloom.functions import graphs, text, thermo
-from fluxloom.operators import analysis, bucketing, enumeration, flux, mapper, rules, simulate
+from fluxloom.operators import analysis, bucketing, enumeration, flux, mapper, ordering, rules, simulate
 from fluxloom.operators import species as sp
 from fluxloom.plans import driver, status
 from fluxloom.sources import readers, writers
@@ -90,6 +90,49 @@ def test_numbering_and_dedup(spark):
     assert enumeration.duplicate_groups(rows).first().n == 2 and enumeration.duplicate_groups(new).count() == 0
 
 
+@pytest.mark.parametrize("advisory", ["64m", "64k"])
+def test_numbers_of_many_wide_rows(spark, advisory):
+    """As many ids as rows, each once, in order, however ranges are merged."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    try:
+        n = 3_000_000 if advisory == "64m" else 200_000
+        rows = spark.range(n).selectExpr("xxhash64(id) AS k", "repeat(hex(xxhash64(id, 1)), 8) AS wide")
+        got = ordering.numbered(rows, ["k"], "no", 5)
+        assert got.columns == ["k", "wide", "no"]
+        assert tuple(got.agg(F.count("*"), F.countDistinct("no"), F.min("no"), F.max("no")).first()) == (n, n, 5, n + 4)
+        # In order: the numbers' ranges and the keys' ranges agree.
+        parts = got.groupBy(F.floor(F.col("no") / 1000).alias("p")).agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy("p").collect()
+        assert all(a.high < b.low for a, b in itertools.pairwise(parts))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_running_totals_and_percentiles(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(None if g == 3 else f"g{g}", float(v)) for g, v in zip(rnd.integers(0, 4, 5000), rnd.integers(0, 700, 5000), strict=True)] + [("g0", None)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    total = ordering.running(d.filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("k")), ["v"], "k", "upto")
+    values = sorted(v for _, v in rows if v is not None)
+    assert {r.v: r.upto for r in total.collect()} == {v: i + 1 for i, v in enumerate(values)}
+
+    def at(v):
+        n = len(v)
+        return v[n // 2], v[min(int(n * 0.95), n - 1)], v[min(int(n * 0.99), n - 1)]
+
+    assert tuple(analysis.percentiles(d, "v").first()) == at(values)
+    got = {r.g: (r.p50, r.p95, r.p99) for r in analysis.percentiles(d, "v", "g").collect()}
+    assert got == {g: at(sorted(v for h, v in rows if h == g and v is not None)) for g in ("g0", "g1", "g2", None)}
+    assert tuple(analysis.percentiles(d.limit(0), "v").first()) == (None, None, None) and analysis.percentiles(d.limit(0), "v", "g").count() == 0
+
+
+def test_appended_ids_are_checked(spark, tmp_path, monkeypatch):
+    rows = spark.range(50).selectExpr("CAST(id AS INT) reactant_1", "-1 reactant_2", "CAST(id + 1 AS INT) product_1", "-1 product_2", "1 number_of_reactants", "1 number_of_products", "1.0D rate", "0.0D dG", "0.0D dG_barrier", "0 is_redox")
+    assert writers.append_reactions(rows, str(tmp_path / "net"), 1, None, 7) == 50
+    monkeypatch.setattr(writers, "numbered", lambda d, offset: d.withColumn("reaction_id", F.lit(offset).cast("long")))
+    with pytest.raises(AssertionError, match="ids"):
+        writers.append_reactions(rows, str(tmp_path / "net"), 2, None, 7)
+
+
 # --- molecules
 
 
@@ -150,6 +193,28 @@ def test_default_tree(spark, pool):
     assert judged(spark, pool, (1, -1, 5, -1), efe=3.0)[(1, -1, 5, -1)].rule == "redox_kept"
 
 
+@pytest.mark.parametrize("most", [63, 0])
+def test_judging_in_parts_is_judging_at_once(spark, pool, monkeypatch, most):
+    """With packed counts (63) and without (0); what is kept is the same when only that is asked for."""
+    monkeypatch.setattr(rules, "MOST", most)
+    sides = [(i, -1) for i in range(len(POOL))] + [(0, 1), (1, 1), (1, 2), (2, 7), (6, 2), (10, 10), (0, 7), (3, 1), (3, 2)]
+    d = spark.createDataFrame([(*a, *b) for a in sides for b in sides if a != b], "reactant_1 int, reactant_2 int, product_1 int, product_2 int")
+    c, tree = rules.Context(-1.4), rules.default_tree()
+    tree = [*tree[:-1], ("ring_break_two", rules.ring_break_two, rules.KEEP), ("ring_form_two", rules.ring_form_two, rules.KEEP), tree[-1]]
+    names = [*enumeration.KEYS, "verdict", "rule", "dq", "dG", "rate"]
+    want = {tuple(r[:4]): tuple(r) for r in rules.judged(enumeration.attached(d, pool), c, tree).select(*names).collect()}
+    got = {tuple(r[:4]): tuple(r) for r in rules.judge(d, pool, c, tree).select(*names).collect()}
+    assert got == want and len({r[5] for r in got.values()}) > 8
+    kept = {tuple(r[:4]): tuple(r) for r in rules.judge(d, pool, c, tree, keep_only=True).select(*names).collect()}
+    assert kept == {k: r for k, r in want.items() if r[4] == rules.KEEP}
+    # The test over totals drops none of them.
+    carried = enumeration.CARRIED
+    total = lambda s, f: F.col(f"{s}1.{f}") + F.coalesce(F.col(f"{s}2.{f}"), F.lit(0))
+    sums = enumeration.attached(d, pool).select(*enumeration.KEYS, *(total(s, f).alias(f"{s}_{f}") for f in carried for s in "rp"))
+    passed = {tuple(r[:4]) for r in sums.filter(rules.may_keep(tree, c)).select(*enumeration.KEYS).collect()}
+    assert set(kept) <= passed and len(passed) < len(want)
+
+
 def brute_match(a, b):
     """First pair of fragmentations by loops."""
     def combos(side):
@@ -268,6 +333,13 @@ def test_species_pool(spark, tmp_path):
     xyz.write_text("3\nwater\nO 0 0 0\nH 0.96 0 0\nH -0.24 0.93 0\n")
     r = readers.xyz_files(spark, str(xyz)).first()
     assert [(b.u, b.v) for b in r.bonds] == [(0, 1), (0, 2)]
+    lines = tmp_path / "lines"
+    spark.createDataFrame([(json.dumps(x),) for x in docs], "value string").coalesce(1).write.text(str(lines))
+    assert readers.raw_species(spark, str(lines)).count() == len(docs)
+    twice = sp.pool(d.unionByName(d).unionByName(d.filter("molecule_id = 'water_a'").withColumn("molecule_id", F.lit("li"))), "li_ec")[0]
+    assert sorted(r.entry_id for r in twice.collect()) == ["coordinated", "li", "radical", "water_b"]
+    own = [("large", F.col("num_atoms") > 2)]
+    assert {r.rule for r in sp.pool(d, "li_ec", tree=own)[1].collect()} == {"large", "kept"}
     with pytest.raises(ValueError):
         sp.Environment.named("water")
     with pytest.raises(Exception, match="required field"):
@@ -453,7 +525,7 @@ def test_analysis(spark, run_log):
     sinks = {r.species_id: r for r in analysis.sinks(network, log, initial).collect()}
     assert all(r.ratio == (1e10 if not r.n_consumed else pytest.approx(r.n_produced / r.n_consumed)) for r in sinks.values())
     padded = analysis.padded_series(analysis.state_series(network, log, initial), initial, 60, log.select("seed").distinct())
-    mean = {(r.species_id, r.step): r["mean"] for r in analysis.mean_series(padded, initial, len(seeds)).collect()}
+    mean = {(r.species_id, r.step): r["mean"] for r in analysis.mean_series(network, log, initial, 60, len(seeds)).collect()}
     assert mean[(3, 59)] == pytest.approx(final[3])
     assert analysis.tally(log, 0).first().firings == max(sum(r[2] == i for r in rows) for i in range(5))
     assert {r.n_reactions for r in analysis.tally_totals(network, log).collect()} == {len({r[2] for r in rows})}
