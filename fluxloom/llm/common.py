@@ -9,8 +9,6 @@ null id is kept and returned as null.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 # The libraries' own thread pools would oversubscribe an executor's cores.
@@ -22,14 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom.session import ship
+from fluxloom.shared import drop, folder, scratch, written  # noqa: F401  (intermediate tables of the operators)
 
 #: Rows in one Arrow batch: with texts of some MB a batch stays far below a Python worker's memory.
 ARROW_ROWS = 512
 #: Bytes in one Arrow batch, the second bound.
 ARROW_BYTES = 32 << 20
 
+
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches and make the package importable in Python workers."""
+    """Bound Arrow batches and make the package importable in Python workers.
+
+    The bounds stay set in the session: plans are lazy, so they must hold when an
+    action runs, and a caller's smaller bound is kept.
+    """
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -37,22 +41,6 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path below the folder the cluster shares (spark.checkpoint.dir), of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="shared-")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
