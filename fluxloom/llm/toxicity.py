@@ -1,37 +1,45 @@
-"""Toxicity by compression distance between two zstandard dictionaries.
-
-A text's words are spelled as codes of CODE_BYTES bytes, the hashes of their
-first PREFIXES letters: in plain spelling a five-letter word saves less than one
-match costs, and the frame's overhead hides it; beginnings catch a stem's forms.  Two dictionaries are trained on labelled texts.  Both begin
-with the prose that all texts share (the most frequent codes of ordinary ones);
-one goes on with the codes that toxic texts have much more often, the other with
-further ordinary codes, as many; at most max_codes, of which the default is far
-more than qualify in texts so few.  Each window of WINDOW_WORDS words is
-compressed with either.  A window is a hit if the toxic dictionary saves at
-least half a code; the text's distance is the sum over its hits for each window,
-counted as if ALLOWANCE further windows had none: in a short text a chance hit
-stays small, and in a long one the steady trickle of chance hits tends to its
-rate, whatever the length.  A text is judged as a whole, so a passage counts by
-its share of the text.  The threshold comes from labelled texts that trained no
-dictionary: isotonic regression of the label on the distance gives the score.
-
-Fitting takes at most max_toxic and max_ordinary labelled texts, whole, those
-whose id hashes lowest; a third of them calibrate.  Scoring takes every window
-of every text.
+"""Toxicity by compression distance between zstandard dictionaries.
+
+A text is cut into windows of at most WINDOW bytes at white space, lower-cased
+and otherwise as they are.  Each window is compressed with a dictionary of
+ordinary text and with one of toxic text; the gain is how many bytes the toxic
+one saves.  As one word costs a few bytes more or less by chance, PAIRS pairs of
+dictionaries are trained on other samples each, and a window has a gain, their
+mean, if every pair gains: at the first that doesn't, the window is done.  It
+counts if its gain is above what all but one of a hundred windows of ordinary
+calibration texts reach; the text's distance is the sum of
+those gains over its windows and ALLOWANCE more, so its length doesn't decide,
+and a passage counts by its share of the text.
+
+A pair shares its base, so that common prose costs the same under both: raw
+windows of ordinary texts, the ordinary dictionary.  The toxic one goes on with
+stretches of toxic texts that the base can't explain.  These are found by
+compression alone, over ROUNDS rounds in two folds: a fold's windows are
+compressed with the other fold's dictionary (at first its raw text, then the
+stretches found so far), windows with a high gain are kept, and of each the
+words without which the gain falls by half.  A stretch stays that was found in
+MIN_TEXTS texts, and more often than in ordinary windows by CONTRAST.  Frequent
+ones lie last, where a match costs least.
+
+The score is an isotonic regression of the label on the distance, over labelled
+texts that trained no dictionary.  Fitting takes at most max_toxic and
+max_ordinary labelled texts, whole, those whose id hashes lowest, without near
+copies; a third of them calibrate.  Scoring takes every window of every text.
 
 Nulls, empties: a null or empty text has distance 0.  A null id is in no fold
 that is held out and has no label.  Labels that are null are no labels; of
 several for an id the highest counts.  Without labels of both kinds every score
-is the share of toxic labels, or 0 without any.  Repeated rows give repeated
-results.
+is the share of toxic labels, or 0 without any; too few toxic texts to find a
+stretch twice give distance 0 everywhere.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,42 +48,47 @@ from pyspark.sql import functions as F
 
 from fluxloom.llm import common
 
-CODE_BYTES, WINDOW_WORDS, LEVEL = 16, 4, 3
-PREFIXES = (4, 5, 7)
-SHARED_CODES, MIN_TEXTS, TIMES_AS_OFTEN = 1024, 4, 8.0
-MAX_TOXIC, MAX_ORDINARY, MAX_CODES = 1500, 3000, 16_384
-#: Windows without a hit that every text is given besides its own.
-ALLOWANCE = 200
+WINDOW, BASE_BYTES, SIDE_BYTES, TOXIC_BYTES = 96, 40_000, 65_536, 16_384
+PAIRS, ROUNDS, MIN_TEXTS, CONTRAST = 4, 3, 3, 4.0
+#: Ordinary windows that a training round is held against (or a sixth of the toxic ones), the share of them that stays below its threshold, and that below the final one.
+REFERENCE, ROUND_SHARE, FINAL_SHARE = 4_000, 0.98, 0.99
+MAX_TOXIC, MAX_ORDINARY = 1500, 3000
+#: Windows without a gain that every text is given besides its own.
+ALLOWANCE = 3
 PREDICTED = 0.7
 #: Words of a shingle and hashes of a sketch, by which near copies are told in the sample.
 SHINGLE, SKETCH = 5, 16
 
 WORD = re.compile(r"\w+")
+_WINDOW = re.compile(rb"(?s).{1,%d}(?:\s|\Z)|.{%d}" % (WINDOW, WINDOW))
 
 
-def beginnings(word: str) -> list[str]:
-    """What a word is spelled by: its first letters; a shorter word is one code."""
-    return [word[:k] for k in PREFIXES if k <= len(word)] or [word]
+def windows(text: str) -> list[bytes]:
+    """The text's bytes in windows that end at white space; a longer word is cut."""
+    return [b" " + w for w in _WINDOW.findall(text.lower().encode("utf-8", "replace"))]
 
 
-def code(letters: str) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(letters)
-
+def compressor(content: bytes):
+    """Bytes -> compressed bytes with a dictionary of this content."""
+    import zstandard as z
 
-@lru_cache(maxsize=60_000)
-def spelled(word: str) -> bytes:
-    return b"".join(map(code, beginnings(word)))
+    log = max(17, len(content).bit_length() + 1)
+    p = z.ZstdCompressionParameters(
+        window_log=log, chain_log=log, hash_log=log, search_log=5, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY2,
+        format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=p)
+    return z.ZstdCompressor(compression_params=p, dict_data=d).compress
 
 
 @dataclass
 class Model:
-    """Two dictionaries' contents, and the score at each distance: that of the last step at or below it."""
+    """Contents of the ordinary and the toxic dictionary of each pair, the threshold of a window's gain, and the score at each distance: that of the last step at or below it."""
 
-    ordinary: bytes = b""
-    toxic: bytes = b""
-    steps: list[float] = field(default_factory=lambda: [0.0])
+    pairs: list[tuple[bytes, bytes]] = field(default_factory=list)
+    threshold: float = 0.0
+    steps: list[float] = field(default_factory=lambda: [-np.inf])
     scores: list[float] = field(default_factory=lambda: [0.0])
 
     def scorer(self) -> Scorer:
@@ -84,34 +97,23 @@ class Model:
 
 class Scorer:
     def __init__(self, m: Model):
-        import zstandard as z
-
-        self.steps, self.scores, self.pair = np.array(m.steps), np.array(m.scores), ()
-        if m.toxic:
-            def compressor(content: bytes):
-                d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-                # The level's own tables forget places of a large dictionary.
-                usual, log = z.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content)), len(content).bit_length() + 1
-                p = z.ZstdCompressionParameters.from_level(
-                    LEVEL, dict_size=len(content), window_log=max(usual.window_log, log), chain_log=max(usual.chain_log, log), hash_log=max(usual.hash_log, log + 1),
-                    write_content_size=False, write_checksum=False, write_dict_id=False,
-                )
-                d.precompute_compress(compression_params=p)
-                return z.ZstdCompressor(compression_params=p, dict_data=d).compress
-
-            self.pair = compressor(m.ordinary), compressor(m.toxic)
+        self.steps, self.scores, self.threshold = np.array(m.steps), np.array(m.scores), m.threshold
+        self.pairs = [(compressor(a), compressor(b)) for a, b in m.pairs]
+
+    def gain(self, window: bytes) -> float:
+        total = 0
+        for pair in self.pairs:
+            g = _gain(pair, window)
+            if g <= 0:
+                return 0.0
+            total += g
+        return total / len(self.pairs)
 
     def distance(self, text: str) -> float:
-        if not self.pair:
+        if not self.pairs:
             return 0.0
-        plain, toxic = self.pair
-        words, total = list(map(spelled, WORD.findall(text.lower()))), 0
-        for i in range(0, len(words), WINDOW_WORDS):
-            w = b"".join(words[i : i + WINDOW_WORDS])
-            gain = len(plain(w)) - len(toxic(w))
-            if 2 * gain >= CODE_BYTES:
-                total += gain
-        return total / (-(-len(words) // WINDOW_WORDS) + ALLOWANCE)
+        gains = list(map(self.gain, windows(text)))
+        return sum(g for g in gains if g > self.threshold) / (len(gains) + ALLOWANCE)
 
     def score(self, texts) -> np.ndarray:
         d = np.array([self.distance(t) for t in texts], np.float64)
@@ -154,33 +156,90 @@ def near_copies_out(texts: list[str]) -> list[int]:
     return out
 
 
-def train(texts: list[str], toxic: list[int], max_codes: int = MAX_CODES) -> Model:
+def _taken(pool: Iterable[bytes], size: int) -> tuple[bytes, int]:
+    """Windows of the pool up to size bytes, and how many."""
+    out, n = [], 0
+    for w in pool:
+        if n + len(w) > size:
+            break
+        out.append(w)
+        n += len(w)
+    return b"".join(out), len(out)
+
+
+def _stretches(pair: tuple, window: bytes, gain: int) -> list[bytes]:
+    """Words in a row of a window without which half its gain is lost."""
+    words, out, row = window.split(b" "), [], []
+    for i, w in enumerate(words):
+        rest = b" ".join(words[:i] + words[i + 1 :])
+        if w and 2 * (gain - _gain(pair, rest)) >= gain:
+            row.append(w)
+        elif row:
+            out.append(b" " + b" ".join(row) + b" ")
+            row = []
+    return out + [b" " + b" ".join(row) + b" "] * bool(row)
+
+
+def _gain(pair: tuple, window: bytes) -> int:
+    return len(pair[0](window)) - len(pair[1](window))
+
+
+def _dictionary(found: Iterable[tuple[int, bytes]], ordinary: Counter, fair: float) -> bytes:
+    """Stretches found in enough texts, and over CONTRAST times as often as by the fair share of ordinary windows; the most frequent last."""
+    texts = defaultdict(set)
+    for text, stretch in found:
+        texts[stretch].add(text)
+    good = [(len(t), s) for s, t in texts.items() if len(t) >= MIN_TEXTS and len(t) > CONTRAST * fair * ordinary[s]]
+    return b"".join(s for _, s in sorted(good))[-TOXIC_BYTES:]
+
+
+def train_pair(toxic: list[list[bytes]], ordinary: list[list[bytes]], seed: int) -> tuple[bytes, bytes]:
+    """Contents of an ordinary and a toxic dictionary, from the windows of each text."""
+    rnd = random.Random(seed)
+    pool = [w for t in ordinary for w in t]
+    rnd.shuffle(pool)
+    n_toxic = sum(map(len, toxic))
+    n = min(max(REFERENCE, n_toxic // 6), len(pool) // 3)
+    reference, pool = pool[:n], pool[n:]
+    base, k = _taken(pool, BASE_BYTES)
+    folds, more = [toxic[0::2], toxic[1::2]], b"".join(pool[k:])
+    sides = []
+    for fold in folds:
+        w = [w for t in fold for w in t]
+        rnd.shuffle(w)
+        sides.append(_taken(w, SIDE_BYTES)[0])
+    found: list[list[tuple[int, bytes]]] = [[], []]
+    for i in range(ROUNDS):
+        usual: Counter = Counter()
+        for f in (0, 1):
+            side = sides[1 - f]
+            # In the first round the toxic side is raw text: the ordinary one gets as much of its own.
+            pair = compressor(base + (more[: len(side)] if i == 0 else b"")), compressor(base + side)
+            gains = [_gain(pair, w) for w in reference]
+            floor = max(1.0, float(np.quantile(gains, ROUND_SHARE))) if gains else 1.0
+            usual.update(s for g, w in zip(gains, reference, strict=True) if g > floor for s in _stretches(pair, w, g))
+            found[f] = [(2 * j + f, s) for j, t in enumerate(folds[f]) for w in t if (g := _gain(pair, w)) > floor for s in _stretches(pair, w, g)]
+        # Ordinary windows are seen twice, once for each fold's pair.
+        fair = n_toxic / max(1, 2 * len(reference))
+        sides = [_dictionary(x, usual, fair / 2) for x in found]
+    return base, base + _dictionary(found[0] + found[1], usual, fair)
+
+
+def train(texts: list[str], toxic: list[int], pairs: int = PAIRS) -> Model:
     """A model of labelled texts in a random order, without near copies; every third calibrates."""
     kept = near_copies_out(texts)
     texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
     if len(set(toxic)) < 2:
-        return Model(scores=[float(toxic[0]) if toxic else 0.0], steps=[-np.inf])
+        return Model(scores=[float(toxic[0]) if toxic else 0.0])
+    cut = [windows(t) for t in texts]
     build = [i for i in range(len(texts)) if i % 3]
-    seen, seen_toxic, n_toxic = Counter(), Counter(), 0
-    for i in build:
-        (seen_toxic if toxic[i] else seen).update({x for w in set(WORD.findall(texts[i].lower())) for x in beginnings(w)})
-        n_toxic += toxic[i]
-    n = len(build) - n_toxic
-    ranked = [x for x, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
-    shared = ranked[:SHARED_CODES]
-    base = set(shared)
-    own = sorted(
-        (-k, x) for x, k in seen_toxic.items()
-        if x not in base and k >= MIN_TEXTS and k / n_toxic > TIMES_AS_OFTEN * (seen.get(x, 0) + 1) / max(1, n)
-    )[:max_codes]
-    # What lies last in a dictionary is nearest to the data; a stem's beginnings lie in a row.
-    prose = [code(x) for x in shared[::-1]]
-    m = Model(
-        b"".join([*prose, *map(code, sorted(ranked[SHARED_CODES : SHARED_CODES + len(own)]))]),
-        b"".join([*prose, *map(code, sorted(x for _, x in own))]) if own else b"",
-    )
-    s = m.scorer()
-    rest = [i for i in range(len(texts)) if i % 3 == 0]
+    sides = [[cut[i] for i in build if toxic[i] == y] for y in (1, 0)]
+    found = [train_pair(*sides, seed) for seed in range(pairs)]
+    m = Model([(a, b) for a, b in found if a != b])
+    s, rest = m.scorer(), [i for i in range(len(texts)) if i % 3 == 0]
+    if m.pairs:
+        gains = [s.gain(w) for i in rest if not toxic[i] for w in cut[i]]
+        m.threshold = s.threshold = max(1.0, float(np.quantile(gains, FINAL_SHARE))) if gains else 1.0
     m.steps, m.scores = isotonic([s.distance(texts[i]) for i in rest], [toxic[i] for i in rest])
     return m
 
@@ -190,7 +249,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_codes: int = MAX_CODES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Ids are chosen from the labels first, so that texts of the sample alone are moved."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).filter(~held_out())
@@ -198,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     chosen = known.filter("y = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(known.filter("y = 0").orderBy(order, "doc_id").limit(max_ordinary))
     rows = common.id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "y").groupBy("text").agg(F.max("y").alias("y"))
     got = sorted(((_mixed(r.text), r.text, r.y) for r in rows.toLocalIterator()))
-    return train([t for _, t, _ in got], [y for _, _, y in got], max_codes)
+    return train([t for _, t, _ in got], [y for _, _, y in got])
 
 
 def _mixed(text: str) -> int:
@@ -220,7 +279,7 @@ _scorers: dict[bytes, Scorer] = {}
 
 def _scorer(model: Model) -> Scorer:
     """A worker's scorer of a model, set up once."""
-    key = model.toxic + repr(model.scores).encode()
+    key = b"".join(b for _, b in model.pairs) + repr((model.threshold, model.scores)).encode()
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = model.scorer()
