@@ -165,9 +165,11 @@ class WordEncoder:
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        other = [i for i, t in enumerate(texts) if self.OTHER.search(t)]
+        # Some capitals of these blocks have their small letter beyond them, so the test comes after the change.
+        lower = [t.lower() for t in texts]
+        other = [i for i, t in enumerate(lower) if self.OTHER.search(t) or self.OTHER.search(texts[i])]
         whole = dict(zip(other, self.lib.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True))
-        cache, pieces = self.cache, [self.split(t.lower()) if i not in whole else [] for i, t in enumerate(texts)]
+        cache, pieces = self.cache, [self.split(t) if i not in whole else [] for i, t in enumerate(lower)]
         missed = set().union(*pieces).difference(cache)
         if len(cache) + len(missed) > CACHE_ENTRIES:
             cache.clear()
