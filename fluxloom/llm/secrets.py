@@ -6,7 +6,11 @@ values.  A value is a sum of terms: quoted literals, bare words, and names whose
 value is already known, so constants are propagated through later assignments
 and concatenations.  A target name is split into its words, and these and the
 value's form give a score; a value at or over the threshold marks each literal
-it is made of, where that literal stands.  Names and the blanks around a sign have any length.
+it is made of, where that literal stands.  Names and the blanks around a sign
+have any length.  A value is held as what its score needs (length, ends, counts
+of its characters) and as the two it was joined from, never written out: names
+that double each other's values cost no more than others.  Characters beyond
+ASCII count as one kind.
 
 Nulls, empties: a null text is an empty text, without spans.  Repeated rows give
 repeated results.  Offsets are code points, ends exclusive.
@@ -14,12 +18,12 @@ repeated results.  Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +48,9 @@ HARMLESS = {
     "file": 0.6, "path": 0.6, "url": 0.5, "uri": 0.5, "name": 0.5, "field": 0.6, "label": 0.6, "hint": 0.6, "policy": 0.6,
     "count": 0.7, "length": 0.7, "size": 0.7, "max": 0.6, "min": 0.6, "type": 0.5, "expires": 0.6, "ttl": 0.7, "public": 0.6,
 }
-PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*|\{\{.*|%.*%|changeme.*|example.*|your[_-].*|none|null|true|false|undefined|todo.*|placeholder.*|redacted.*)$")
+#: Beginnings and whole values that stand for a secret to be filled in.
+_TO_FILL = re.compile(r"(?i)\$\{|\{\{|changeme|example|your[_-]|todo|placeholder|redacted")
+_NO_VALUE = re.compile(r"(?i)none|null|true|false|undefined")
 
 MIN_LITERAL, SCORE = 8, 0.8
 
@@ -65,14 +71,60 @@ def name_score(name: str) -> float:
     return max(0.0, plus - max((HARMLESS.get(w, 0.0) for w in words), default=0.0))
 
 
+@dataclass(frozen=True, eq=False)
+class Value:
+    """What is known of a value: its length, first and last characters, counts of characters, and where its literals stand."""
+
+    n: int
+    head: str
+    tail: str
+    counts: dict[str, int]
+    space: bool
+    url: bool
+    spans: tuple[tuple[int, int], ...] = ()
+    parts: tuple[Value, ...] = ()
+
+    @classmethod
+    def of(cls, text: str, *spans: tuple[int, int]) -> Value:
+        counts = Counter(c if c < "\x80" else "\x80" for c in text)
+        return cls(len(text), text[:16], text[-2:], counts, bool(re.search(r"\s", text)), "://" in text, spans)
+
+    def __add__(self, other: Value) -> Value:
+        counts = dict(self.counts)
+        for c, k in other.counts.items():
+            counts[c] = counts.get(c, 0) + k
+        return Value(
+            self.n + other.n, (self.head + other.head)[:16] if self.n < 16 else self.head, (self.tail + other.tail)[-2:], counts,
+            self.space or other.space, self.url or other.url or "://" in self.tail + other.head[:2], (), (self, other),
+        )
+
+    def places(self, seen: set[int]) -> Iterator[tuple[int, int]]:
+        """Spans of all literals below that are not below a value seen before."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if id(v) not in seen:
+                seen.add(id(v))
+                yield from v.spans
+                todo += v.parts
+
+    def score(self) -> float:
+        """How much it looks like a secret, 0 to 1: length, kinds of characters, entropy."""
+        if self.n < MIN_LITERAL or self.space or self.url or self._stands_for_another():
+            return 0.0
+        entropy = -sum(k / self.n * math.log2(k / self.n) for k in self.counts.values())
+        kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in self.counts}
+        return min(1.0, 0.35 + 0.15 * len(kinds) + 0.1 * max(0.0, entropy - 2.5))
+
+    def _stands_for_another(self) -> bool:
+        ends = self.head[0] + self.tail[-1]
+        return bool(
+            _TO_FILL.match(self.head) or self.n <= 16 and _NO_VALUE.fullmatch(self.head) or ends in ("<>", "%%") or set(self.counts) in ({"x"}, {"X"}, {"x", "X"}, {"*"}, {"."})
+        )
+
+
 def value_score(value: str) -> float:
-    """How much a value looks like a secret, 0 to 1: length, kinds of characters, entropy."""
-    if len(value) < MIN_LITERAL or re.search(r"\s", value) or PLACEHOLDER.match(value) or "://" in value:
-        return 0.0
-    n = Counter(value)
-    entropy = -sum(k / len(value) * math.log2(k / len(value)) for k in n.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, 0.35 + 0.15 * kinds + 0.1 * max(0.0, entropy - 2.5))
+    return Value.of(value).score()
 
 
 def _targets(text: str) -> Iterator[tuple[str, int, bool]]:
@@ -93,41 +145,43 @@ def _targets(text: str) -> Iterator[tuple[str, int, bool]]:
         before = m.end()
 
 
-def _constants(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
-    """Every assignment in order: target, value, places of the literals that make the value."""
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
-    out = []
+def _constants(text: str) -> Iterator[tuple[str, Value]]:
+    """Every assignment in order: target and value."""
+    known: dict[str, Value] = {}
     for name, at, bare in _targets(text):
-        value, spans, whole = "", (), True
+        value, whole = None, True
         while t := _TERM.match(text, at):
+            more = None
             if t.lastindex in (1, 2, 4):
                 k = t.lastindex
                 end = t.end(k) - (len(t[k]) - len(t[k].rstrip(".:"))) if k == 4 else t.end(k)
-                value, spans = value + text[t.start(k) : end], (*spans, (t.start(k), end))
+                more = Value.of(text[t.start(k) : end], (t.start(k), end))
             elif t[3] in known:
-                value, spans = value + known[t[3]][0], spans + known[t[3]][1]
-            elif bare and not spans and not _PLUS.match(text, t.end()):
-                value, spans = t[3], (t.span(3),)  # a bare word, as in configuration files
+                more = known[t[3]]
+            elif bare and value is None and not _PLUS.match(text, t.end()):
+                more = Value.of(t[3], t.span(3))  # a bare word, as in configuration files
             else:
                 whole = False
+            if more is not None:
+                value = more if value is None else value + more
             at = t.end()
             if not (p := _PLUS.match(text, at)):
                 break
             at = p.end()
-        if whole and spans:
-            known[name] = (value, spans)
-            out.append((name, value, spans))
-    return out
+        if whole and value is not None:
+            known[name] = value
+            yield name, value
 
 
 def literals(text: str) -> list[tuple[int, int]]:
     """Places of literals that reach a sensitive name."""
     if "=" not in text and ":" not in text and "</" not in text:
         return []
-    found = {}
-    for name, value, spans in _constants(text):
-        if (s := name_score(name)) and s * value_score(value) >= SCORE * 0.6 and s >= 0.5:
-            found.update(dict.fromkeys(spans))
+    found, seen, held = set(), set(), []
+    for name, value in _constants(text):
+        if (s := name_score(name)) and s * value.score() >= SCORE * 0.6 and s >= 0.5:
+            held.append(value)  # alive, so that no other value takes its place in seen
+            found.update(value.places(seen))
     return sorted(s for s in found if s[1] > s[0])
 
 
@@ -182,6 +236,3 @@ def redact(docs: DataFrame, text_col: str = "text", sign: str = "[SECRET]") -> D
 
     return docs.withColumn(text_col, clean(F.col(text_col)))
 
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
