@@ -1,14 +1,16 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
 Texts of at most chunk_chars code points are one chunk.  Longer texts are cut
-into chunks that overlap by overlap_chars.  Every chunk is split into
-pre-tokens by itself, in parallel.  Two splits of the same text that share one
-boundary agree from there on, so a chunk takes over from its predecessor at the
-first boundary that both found in their overlap.  Where they share none (one
-pre-token longer than the overlap), the chunk is glued to its predecessor and
-the two are split again as one text.  Then the stretches between the stitches
-are encoded, each starting and ending at a true boundary.  Decoding joins the
-tokens' raw bytes.
+into chunks that overlap by overlap_chars, in one pass over the text.  Every
+chunk is split into pre-tokens by itself, in parallel.  Two splits of the same
+text that share one boundary agree from there on, so a chunk takes over from its
+predecessor at the first boundary that both found in their overlap.  Where they
+share none (a pre-token longer than the overlap), the two are glued and split
+again as one text, and the next chunk takes over as before; as its boundaries
+were found without knowing where the glued text begins, the place is proved by
+the glued split, and where that has no boundary there, more is glued, twice as
+many chunks each time.  Then the stretches between the stitches are encoded, each
+starting and ending at a true boundary.  Decoding joins the tokens' raw bytes.
 
 Nulls, empties: a null text is an empty text, of no ids.  Repeated rows give
 repeated results.  A null id stays null.
@@ -22,7 +24,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxloom.llm import common, tokenizers_
@@ -40,63 +42,117 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int) -> tuple
     return d.filter(F.length("text") <= chunk_chars), d.filter(F.length("text") > chunk_chars)
 
 
-def stitched(long: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """Encoded stretches of long texts: KEY, copies, run (ascending from 1), ids binary (unsigned, 32 bits, little-endian).
+def _columns(b: pa.RecordBatch) -> list[list]:
+    return [c.to_pylist() for c in b.columns]
+
+
+def _boundaries(words, text: str, whole: bool) -> list[int]:
+    """Ends of the text's pre-tokens that hold whatever follows; whole: nothing does.
 
-    Equal rows (id and text) are encoded once; copies says how many there are.
+    A pre-token that touches the end may go on behind it.  White space is split by
+    what follows it, which a stretch that ends there would not see: no stitch after it.
     """
-    key = "doc_id long, text_hash long, text_len int, copies long"
-    texts = long.groupBy("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("text_len")).agg(
-        F.first("text").alias("text"), F.count("*").alias("copies")
-    )
-    n_chunks = F.ceil(F.col("text_len") / chunk_chars).cast("int")
-    chunks = texts.select(
-        *KEY, "copies", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"), "text"
-    ).select(
-        *KEY, "copies", "chunk",
-        F.substring(F.col("text"), F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars + overlap_chars)).alias("text"),
-    )
+    return [e for m in words.finditer(text) if ((e := m.end()) < len(text) or whole) and not text[e - 1].isspace()]
+
+
+def split_chunks(long: DataFrame, path: str, pattern: str, chunk_chars: int, overlap_chars: int) -> DataFrame:
+    """KEY, copies, chunk, text, head, tail: chunks with their boundaries in the overlaps before and after them; a written table.
+
+    Equal rows (id and text) are one, copies says how many there are.
+    """
+    cut_schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text_len", pa.int32()), ("chunk", pa.int32()), ("text", pa.string())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, text_hash, t in zip(*_columns(b), strict=True):
+                starts = range(0, len(t), chunk_chars)
+                for i in range(0, len(starts), common.ARROW_ROWS):
+                    some = starts[i : i + common.ARROW_ROWS]
+                    k = len(some)
+                    columns = [[doc_id] * k, [text_hash] * k, [len(t)] * k, [x // chunk_chars for x in some], [t[x : x + chunk_chars + overlap_chars] for x in some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, cut_schema, strict=True)], schema=cut_schema)
+
+    chunks = long.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(cut, "doc_id long, text_hash long, text_len int, chunk int, text string")
     # Long texts' chunks go to tasks of their own; the key spreads them.
-    chunks = chunks.repartition(*KEY, "chunk")
+    chunks = chunks.repartition(*KEY, "chunk").sortWithinPartitions(*KEY, "chunk")
+    out_schema = pa.schema([
+        ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text_len", pa.int32()), ("copies", pa.int64()), ("chunk", pa.int32()), ("text", pa.string()),
+        ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32())),
+    ])
 
-    def splitter():
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizers_.byte_bpe(path, pattern).words
+        for (doc_id, text_hash, n, no), rows in _groups(batches, (*KEY, "chunk")):
+            t = next(rows)["text"]
+            ends = _boundaries(words, t, no * chunk_chars + len(t) >= n)
+            head, tail = [0, *(e for e in ends if e <= overlap_chars)], [e - chunk_chars for e in ends if e >= chunk_chars]  # where a chunk starts, it may be stitched
+            yield _row(out_schema, (doc_id, text_hash, n, 1 + sum(1 for _ in rows), no, t, head, tail))
+
+    return common.written(chunks.mapInArrow(split, "doc_id long, text_hash long, text_len int, copies long, chunk int, text string, head array<int>, tail array<int>"), "chunks")
+
 
-        def split(b: dict) -> dict:
-            heads, tails = [], []
-            for no, t, n in zip(b["chunk"], b["text"], b["text_len"], strict=True):
-                last = no * chunk_chars + len(t) >= n
-                # A pre-token that touches the chunk's end may go on behind it.  White space is split by
-                # what follows it, which a stretch that ends there would not see: no stitch after it.
-                ends = [e for m in words.finditer(t) if ((e := m.end()) < len(t) or last) and not t[e - 1].isspace()]
-                heads.append([0, *(e for e in ends if e <= overlap_chars)])  # where a chunk starts, it may be stitched
-                tails.append([e - chunk_chars for e in ends if e >= chunk_chars])
-            return b | {"head": heads, "tail": tails}
+def _same(a: str, b: str, *names: str) -> Column:
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}"))
+    return same
 
-        return split
 
-    split = common.by_batch(chunks, f"{key}, chunk int, text string, head array<int>, tail array<int>", splitter)
+def _with_runs(seams: DataFrame) -> DataFrame:
+    """seams with run (ascending from 1) and next_cut, where the next run begins in this chunk's overlap; null within a run."""
+    order = Window.partitionBy(*KEY).orderBy("chunk")
+    return seams.withColumn("run", F.count("cut").over(order)).withColumn("next_cut", F.lead("cut").over(order))
+
+
+def stitches(chunks: DataFrame, path: str, pattern: str, chunk_chars: int, overlap_chars: int) -> DataFrame:
+    """KEY, chunk, cut: the boundary in each chunk at which it takes over from the one before; null where it is glued to that."""
     order = Window.partitionBy(*KEY).orderBy("chunk")
     met = F.array_min(F.array_intersect(F.lag("tail").over(order), F.col("head")))
-    cut = split.withColumn("cut", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(met))
-    # Boundaries of a chunk that did not meet its predecessor prove nothing: from there on the text is one run.
-    cut = cut.withColumn("cut", F.when(F.min(F.col("cut").isNotNull()).over(order), F.col("cut")))
-    runs = (
-        cut.withColumn("run", F.sum(F.when(F.col("cut").isNull(), 0).otherwise(1)).over(order))
-        .withColumn("next_cut", F.lead("cut").over(order))
-        .withColumn("core", F.substring(F.col("text"), F.lit(1), F.lit(chunk_chars)))
-        .withColumn("over", F.when(F.col("next_cut").isNotNull(), F.substring(F.col("text"), F.lit(chunk_chars + 1), F.col("next_cut"))).otherwise(F.lit("")))
-        .select(*KEY, "copies", "chunk", "run", "cut", F.concat("core", "over").alias("text"))
-    )
-    runs = runs.repartition(*KEY, "run").sortWithinPartitions(*KEY, "run", "chunk")
+    seams = common.written(chunks.select(*KEY, "chunk", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(met).alias("cut")), "seams")
+    key = "doc_id long, text_hash long, text_len int"
+    out_schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text_len", pa.int32()), ("chunk", pa.int32())])
+
+    def disproved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = tokenizers_.byte_bpe(path, pattern).words
+        for (doc_id, text_hash, n, _), rows in _groups(batches, (*KEY, "run")):
+            parts, size, last = [], 0, None
+            for r in rows:
+                parts.append(r["text"][(r["cut"] or 0) : chunk_chars])
+                size, last = size + len(parts[-1]), r
+            ends = _boundaries(words, "".join([*parts, last["text"][chunk_chars:]]), False)
+            if size + last["next_cut"] not in ends:
+                yield _row(out_schema, (doc_id, text_hash, n, last["chunk"] + 1))
+
+    glue = 1
+    while True:
+        runs = _with_runs(seams)
+        several = runs.groupBy(*KEY, "run").agg(F.count("*").alias("n"), F.max("next_cut").alias("end")).filter("n > 1 AND end IS NOT NULL")
+        todo = runs.alias("r").join(several.alias("s"), _same("r", "s", *KEY, "run"), "left_semi").alias("t")
+        found = chunks.alias("c").join(todo, _same("c", "t", *KEY, "chunk")).select(*(f"c.{k}" for k in KEY), "t.run", "t.chunk", "t.cut", "t.next_cut", "c.text")
+        found = found.repartition(*KEY, "run").sortWithinPartitions(*KEY, "run", "chunk")
+        wrong = common.written(found.mapInArrow(disproved, f"{key}, chunk int"), "wrong")
+        if wrong.isEmpty():
+            return seams
+        gone = wrong.select(*KEY, F.explode(F.sequence(F.col("chunk"), F.col("chunk") + (glue - 1))).alias("chunk")).distinct().withColumn("gone", F.lit(True))
+        joined = seams.alias("s").join(gone.alias("g"), _same("s", "g", *KEY, "chunk"), "left")
+        seams = common.written(joined.select(*(f"s.{k}" for k in (*KEY, "chunk")), F.when(F.col("g.gone").isNull(), F.col("s.cut")).alias("cut")), "seams")
+        glue *= 2
+
+
+def stitched(long: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """Encoded stretches of long texts: KEY, copies, run (ascending from 1), ids binary (unsigned, 32 bits, little-endian)."""
+    chunks = split_chunks(long, path, pattern, chunk_chars, overlap_chars)
+    runs = _with_runs(stitches(chunks, path, pattern, chunk_chars, overlap_chars)).alias("t")
+    found = chunks.alias("c").join(runs, _same("c", "t", *KEY, "chunk")).select(*(f"c.{k}" for k in (*KEY, "copies")), "t.run", "t.chunk", "t.cut", "t.next_cut", "c.text")
+    found = found.repartition(*KEY, "run").sortWithinPartitions(*KEY, "run", "chunk")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizers_.byte_bpe(path, pattern)
         for key, rows in _groups(batches, (*KEY, "copies", "run")):
-            ids = enc.encode("".join(r["text"][r["cut"] or 0 :] for r in rows))
+            ids = enc.encode("".join(r["text"][r["cut"] or 0 : chunk_chars + (r["next_cut"] or 0)] for r in rows))
             yield _row(ENCODED, (*key, tokenizers_.packed(ids)))
 
-    return runs.mapInArrow(pieces, f"{key}, run long, ids binary")
+    return found.mapInArrow(pieces, "doc_id long, text_hash long, text_len int, copies long, run long, ids binary")
 
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text_len", pa.int32()), ("copies", pa.int64()), ("run", pa.int64()), ("ids", pa.binary())])
