@@ -4,10 +4,10 @@ A pre-token is a run of spaces with the run of other characters behind it; no
 piece of the vocabulary crosses the start of such a run (checked when the model
 loads).  Tier one is a broadcast table of the corpus's frequent pre-tokens and
 their token counts.  Its words come from summaries: each task counts its
-pre-tokens in bounded memory (entries seen least are dropped and the bound on
-their error kept), and summaries are merged as in a tree, so what reaches the
-driver is bounded by the table.  The table decides speed alone: a miss goes to
-the worker's own cache, and then to the library.
+pre-tokens in bounded memory, dropping entries seen least, so a summary's counts
+are lower bounds.  Summaries are merged FAN_IN at a time, level by level, and the
+driver gets FAN_IN at most.  The table decides speed alone: a miss goes to the
+worker's own cache, and then to the library.
 
 Nulls, empties: a null or empty text has 0 bytes and 0 tokens.  Repeated rows
 give repeated results.  A null id stays null.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ TABLE_ENTRIES = 65_536
 TASK_ENTRIES, SUMMARY_ENTRIES = 200_000, 16_384
 #: Longest pre-token that is counted or cached, in characters.
 WORD_CHARS = 48
-#: Groups in which summaries are merged before the driver merges the rest.
-MERGE_GROUPS = 16
+#: Summaries that one task, or the driver, merges.
+FAN_IN = 16
 
 _SPACES = "▁"  # the library's own sign for a space
 _UNITS = re.compile(r"[ ▁]*[^ ▁]+|[ ▁]+")
@@ -104,18 +105,19 @@ def frequent(docs: DataFrame, entries: int = TABLE_ENTRIES) -> list[str]:
                     seen = _pruned(seen, TASK_ENTRIES)
         if seen:
             top = _pruned(Counter({w: k for w, k in seen.items() if k > 1 and len(w) <= WORD_CHARS}), SUMMARY_ENTRIES)
-            yield pa.RecordBatch.from_pydict({"summary": [pickle.dumps(dict(top))]})
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pickle.dumps(dict(top))])], names=["part", "summary"])
 
     def merged(table: pa.Table) -> pa.Table:
         total: Counter = Counter()
         for s in table.column("summary"):
             total = _pruned(total + Counter(pickle.loads(s.as_py())), 4 * entries)
-        return pa.table({"summary": [pickle.dumps(dict(_pruned(total, entries)))]})
+        return pa.table({"part": pa.array([table.column("part")[0].as_py() // FAN_IN], pa.int64()), "summary": [pickle.dumps(dict(_pruned(total, entries)))]})
 
-    rows = (
-        docs.select("text").mapInArrow(summary, "summary binary")
-        .groupBy((F.spark_partition_id() % MERGE_GROUPS).alias("g")).applyInArrow(merged, "summary binary")
-    )
+    rows = common.written(docs.select("text").mapInArrow(summary, "part long, summary binary"), "summaries")
+    tasks = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    while tasks > FAN_IN:
+        rows = rows.groupBy(F.floor(F.col("part") / FAN_IN).alias("g")).applyInArrow(merged, "part long, summary binary")
+        tasks = -(-tasks // FAN_IN)
     total: Counter = Counter()
     for r in rows.toLocalIterator():
         total = _pruned(total + Counter(pickle.loads(r.summary)), 4 * entries)
