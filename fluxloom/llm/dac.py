@@ -10,17 +10,20 @@ bitmap: any id can be read without decoding others.
 A shard's bytes: magic, ids, levels; for each level its length, chunks, and but
 for the last bitmap and directory.  Numbers are little-endian.
 
-write() orders documents by id with a range partitioning, encodes them, and
-writes shards through Spark's writer, so any store that Spark reaches will do
-and a lost task leaves nothing.  Nulls, empties: a null or empty text is its end
-id alone; null ids come first.  Equal ids follow by the text's hash.  An empty
-table gives no shards.
+write() encodes documents where they lie, deals the ids (two bytes each where
+they fit) into ranges of document ids, and writes shards through Spark's writer,
+so any store that Spark reaches will do and a lost task leaves nothing.  The
+ranges' bounds come from a sample of SAMPLE documents a range, those whose hash
+is least.  Nulls, empties: a null or empty text is its end id alone; null ids
+come first.  Equal ids follow by the text's hash, and rows equal in both are
+spread over the ranges that they fill.  An empty table gives no shards.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ MAGIC, CHUNK_BITS, BLOCK_BITS = b"DAC1", 8, 512
 END_ID = 2
 #: Ids after which a task starts a new shard.
 SHARD_TOKENS = 1_000_000
+#: Documents for each range that decide its bounds.
+SAMPLE = 20
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -122,24 +127,47 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, sha
 
     part ascends with the ids; first counts the ids of earlier shards of the part.
     """
-    d = common.id_text(docs, id_col, text_col)
-    common.prepare(d.sparkSession)
-    d = d.withColumn("text_hash", F.xxhash64("text")).repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    d = common.id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    spark = d.sparkSession
+    common.prepare(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = lambda doc_id, h: (doc_id is not None, doc_id or 0, h)
+    sample = d.select("doc_id", "text_hash").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(7))).limit(SAMPLE * n).collect()
+    pairs = sorted(order(r.doc_id, r.text_hash) for r in sample)
+    bounds = [pairs[len(pairs) * i // n] for i in range(1, n)] if pairs else []
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end, seen = tokenizers_.byte_bpe_json(vocabulary), end_id.to_bytes(4, "little"), 0
+        for b in batches:
+            ids, hashes = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
+            coded = [np.frombuffer(x + end, "<u4") for x in enc.encode_all(b.column("text").to_pylist())]
+            parts = []
+            for doc_id, h in zip(ids, hashes, strict=True):
+                at = order(doc_id, h)
+                low, high = bisect_left(bounds, at), bisect_right(bounds, at)
+                parts.append(low + seen % (high - low + 1))
+                seen += 1
+            narrow = [bool(x.max() < 1 << 16) for x in coded]
+            data = [x.astype("<u2").tobytes() if small else x.tobytes() for x, small in zip(coded, narrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(parts, pa.int32()), pa.array(narrow), pa.array(data, pa.binary())], names=["doc_id", "text_hash", "part", "narrow", "ids"])
+
+    d = d.select("doc_id", "text_hash", "text").mapInArrow(encoded, "doc_id long, text_hash long, part int, narrow boolean, ids binary")
+    d = d.repartitionById(n, "part").sortWithinPartitions("doc_id", "text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, part = tokenizers_.byte_bpe_json(vocabulary), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         first, held, ids, n = 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
-            values = (part, first, n, ids, [len(b) // 4 for b in held], encode(np.frombuffer(b"".join(held), "<u4")))
+            values = (part, first, n, ids, list(map(len, held)), encode(np.concatenate(held)))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["part", "first", "tokens", "doc_ids", "lengths", "shard"])
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                held.append(enc.encode(text) + end)
+            for doc_id, narrow, data in zip(*(b.column(x).to_pylist() for x in ("doc_id", "narrow", "ids")), strict=True):
+                held.append(np.frombuffer(data, "<u2" if narrow else "<u4").astype(np.uint32))
                 ids.append(doc_id)
-                n += len(held[-1]) // 4
+                n += len(held[-1])
                 if n >= shard_tokens:
                     yield shard()
                     first, held, ids, n = first + n, [], [], 0
@@ -165,7 +193,7 @@ def read(spark, path: str) -> DataFrame:
 def digests(docs: DataFrame, vocabulary: str, **more) -> DataFrame:
     """The contract's columns: write shards to the shared folder, and read every document back from them."""
     spark = docs.sparkSession
-    path = common.shared_dir(spark, "shards")
+    path = common.folder(spark, "shards")
     write(docs, path, vocabulary, **more)
 
     def make():
