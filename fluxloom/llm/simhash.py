@@ -35,6 +35,8 @@ from fluxloom.llm import common, graph
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 BUCKET_MEMBERS = 2048
 HOT_SHARE = 2000
+#: Hashes of an id in the filter of dropped ids, and its largest size: 16 MB, for which some 8 million ids are few.
+FILTER_HASHES, MAX_FILTER_BITS = 4, 1 << 27
 
 
 def fingerprint(text: str) -> int:
@@ -147,14 +149,17 @@ def star_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def labelled(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", bucket_members: int = BUCKET_MEMBERS) -> tuple[DataFrame, DataFrame]:
     """doc_id, fp of each row; and fp, component_id, root (the component's first fingerprint) of each class."""
     common.prepare(docs.sparkSession)
-    rows = common.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")), "fingerprints")
-    classes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
-    nodes = common.written(graph.components(links(classes.select("fp"), radius, bucket_members)), "components")
-    linked = nodes.join(classes, F.col("node") == F.col("fp")).select("node", "root", "first")
-    named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = nodes.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    labels = classes.join(label, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"), "copies")
-    return rows, common.written(labels, "labels")
+    with common.scratch() as stay:
+        rows = common.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")), "fingerprints")
+        classes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
+        nodes = common.written(graph.components(links(classes.select("fp"), radius, bucket_members)), "components")
+        linked = nodes.join(classes, F.col("node") == F.col("fp")).select("node", "root", "first")
+        named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+        label = nodes.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id")
+        labels = classes.join(label, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"), "copies")
+        labels = common.written(labels, "labels")
+        stay += [rows, labels]
+    return rows, labels
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,23 +181,57 @@ def components(docs: DataFrame, **more) -> DataFrame:
     return with_labels(rows, labels).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _positions(bits: int) -> Column:
+    """Places of an id in a filter of so many bits, a power of two."""
+    return F.array(*(F.xxhash64("doc_id", F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(FILTER_HASHES)))
+
+
+def _filter(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the ids: its words, and its bits.  MAX_FILTER_BITS bound it, however many there are."""
+    bits = min(MAX_FILTER_BITS, max(64, 1 << (16 * max(1, n) - 1).bit_length()))
+    at = ids.select(F.explode(_positions(bits)).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b"))
+    words = np.zeros(bits // 64, np.int64)
+    for r in at.toLocalIterator():
+        words[r.w] = r.b
+    return words.view(np.uint64), bits
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs with one row of each component: the smallest id's; of rows that share it, the first by text hash."""
+    """docs with one row of each component: the smallest id's; of rows that share it, the first by text hash.
+
+    Rows whose id a filter of the dropped ids doesn't know are kept where they
+    lie.  The others (those dropped, and the few that the filter takes for them)
+    are decided by a join with the kept ids; with more dropped ids than the filter
+    has room for, ever more rows go that way, and all results stay the same.
+    """
     rows, labels = labelled(docs, id_col=id_col, text_col=text_col, **more)
-    kept = with_labels(rows, labels).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = common.written(kept, "kept")
-    d, key = docs.alias("d"), F.col(f"d.`{id_col}`").cast("long")
-    one = kept.filter("n = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).alias("o")
+    decided = with_labels(rows, labels).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays"))
+    # For each id: rows that stay, and rows in all.
+    ids = common.written(decided.groupBy("doc_id").agg(F.count_if("stays").alias("n"), F.count("*").alias("rows")), "ids")
+    kept, unsure = ids.filter("n > 0").select("doc_id", "n", "rows"), ids.filter("n = 0 OR rows > 1").filter("doc_id IS NOT NULL").select("doc_id")
+    spark = docs.sparkSession
+    words, bits = _filter(unsure, unsure.count())
+    held = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def known(p: pd.Series) -> pd.Series:
+        at, w = np.array(p.tolist(), np.int64).reshape(-1, FILTER_HASHES), held.value
+        return pd.Series((w[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=1))
+
+    key = F.col(f"`{id_col}`").cast("long")
+    flagged = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), key.alias("doc_id"))
+    flagged = flagged.withColumn("known", F.col("doc_id").isNull() | known(_positions(bits)))
+    sure = flagged.filter("NOT known").select("row.*")
+    rest = flagged.filter("known").select("row", F.col("doc_id").alias("kept_id"))
+    one = kept.filter("rows = 1 AND doc_id IS NOT NULL").select("doc_id")
     # As a merge join at every size: broadcasting ids would be bound to the corpus' growth.
-    single = d.join(one.hint("merge"), key == F.col("o.kept_id"), "left_semi")
+    single = sure.unionByName(rest.join(one.hint("merge"), F.col("kept_id") == F.col("doc_id"), "left_semi").select("row.*"))
     # Ids on several rows, and null ids, are rare: one row for each id and component.
-    many = kept.filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("kept_id")).alias("m")
+    many = kept.filter("rows > 1 OR doc_id IS NULL").select("doc_id")
     if many.isEmpty():
         return single
-    again = d.join(many, key.eqNullSafe(F.col("m.kept_id")), "left_semi").select(
-        F.struct(*(F.col(f"d.`{n}`") for n in docs.columns)).alias("row"), key.alias("kept_id"),
-        fingerprints(F.col(f"d.`{text_col}`")).alias("fp"), F.xxhash64(F.col(f"d.`{text_col}`")).alias("h"),
-    )
+    again = rest.join(many, F.col("kept_id").eqNullSafe(F.col("doc_id")), "left_semi")
+    again = again.select("row", "kept_id", fingerprints(F.col(f"row.`{text_col}`")).alias("fp"), F.xxhash64(F.col(f"row.`{text_col}`")).alias("h"))
     again = again.join(labels, "fp").filter(F.col("kept_id").eqNullSafe(F.col("component_id")))
     first = F.row_number().over(Window.partitionBy("root", "kept_id").orderBy("h", F.xxhash64(F.to_json("row"))))
     return single.unionByName(again.withColumn("n", first).filter("n = 1").select("row.*"))
