@@ -61,6 +61,41 @@ def test_chunks_give_the_librarys_ids(df, rows, chunk, overlap):
     assert got == sorted((key(i), tuple(lib.encode_ordinary(t or ""))) for i, t in rows)
 
 
+def runs_of(spark, text, chunk, overlap):
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    path, lib = tok.vocabulary("byte_bpe_50k.tiktoken"), ranked()
+    got = bpe.stitched(d, path, tok.pattern(), chunk, overlap).orderBy("run").collect()
+    assert b"".join(r.ids for r in got) == np.array(lib.encode_ordinary(text), "<u4").tobytes()
+    return len(got)
+
+
+def test_stitches_go_on_after_a_long_run(spark):
+    words = "some words of usual length, " * 100
+    plain = runs_of(spark, words * 2, 200, 40)
+    assert plain == -(-len(words * 2) // 200)
+    # A run longer than the overlap glues what it touches, and no more.
+    for run in ("x" * 300, "0123456789" * 31, "=" * 90):
+        n = runs_of(spark, words + run + " " + words, 200, 40)
+        assert plain - 2 <= n <= plain + 3
+    # Digits are grouped by threes from where they begin: chunks inside agree with each other, but not with the whole.
+    digits = "".join(map(str, range(1500)))
+    n = runs_of(spark, words + "a" + digits + " " + words, 201, 60)
+    assert n >= 2 * len(words) // 201 - 3
+
+
+def test_cutting_is_one_pass(spark):
+    import time
+
+    def took(n):
+        d = spark.createDataFrame([(1, "word " * n)], "doc_id long, text string")
+        began = time.time()
+        bpe.split_chunks(d, tok.vocabulary("byte_bpe_50k.tiktoken"), tok.pattern(), 4096, 64)
+        return time.time() - began
+
+    took(1000)
+    assert took(800_000) < 8 * max(1.0, took(200_000))
+
+
 def test_digests_and_decoding(df, rows, spark):
     path, lib = tok.vocabulary("byte_bpe_50k.tiktoken"), ranked()
     got = sorted((key(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(df, path, tok.pattern(), chunk_chars=64, overlap_chars=16).collect())
@@ -89,6 +124,34 @@ def test_json_encoders(name, make):
     assert enc.encode_all(t) == [np.array(lib.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in t]
 
 
+LETTERS = [chr(c) for c in range(0x250)]
+
+
+def latin(seed=5, n=1500):
+    rnd = random.Random(seed)
+    pairs = [a + b for a in LETTERS for b in ("", "a", "Z", "1", "'s", "!", " x")] + [b + a for a in LETTERS for b in ("a", "9", " ", "-")]
+    return pairs + ["".join(rnd.choice(LETTERS) for _ in range(rnd.randint(1, 30))) for _ in range(n)] + ["ƏMƏK Əli ve", "Ɓaɓa Ɗan ȺⱥȾⱦ"]
+
+
+def test_latin_letters_give_the_librarys_tokens():
+    import sentencepiece
+
+    for name, make in (("word_bpe_49k.json", tok.word_bpe_json), ("byte_bpe_50k.json", tok.byte_bpe_json)):
+        lib, t = library(name), latin()
+        assert make(tok.vocabulary(name)).encode_all(t) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(t, add_special_tokens=False)]
+    path = tok.vocabulary("piece_bpe_32k.model")
+    lib, c = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PieceCounter(path)
+    assert [c.count(t, {}) for t in latin()] == [len(lib.encode(t)) for t in latin()]
+
+
+def test_summaries_are_merged_level_by_level(spark):
+    docs = spark.range(0, 4000, 1, 70).selectExpr("id doc_id", "concat('every word', CAST(id % 7 AS STRING), ' every ', CAST(id AS STRING)) text")
+    got = token_counts.frequent(docs, 9)
+    assert got == ["every", *(f"word{i}" for i in range(7))]  # words that a task sees once are in no summary
+    assert token_counts.frequent(docs, 1) == ["every"]
+    assert token_counts.frequent(docs.limit(0)) == []
+
+
 def test_token_counts(df, rows):
     import sentencepiece
 
@@ -156,7 +219,12 @@ def test_token_file(df, rows, spark):
         assert r.start == at and (r.n_tokens, r.ids_crc32) in want[key(r.doc_id)]
         at += r.n_tokens
     assert dac.digests(df.limit(0), path).count() == 0
+    # Rows that are equal in id and text fill several ranges.
+    same = spark.createDataFrame([(7, "one text")] * 300 + [(9, "another")] * 5 + [(None, "x")], "doc_id long, text string")
+    got = dac.digests(same, path, shard_tokens=20).orderBy("start").collect()
+    n = len(lib.encode("one text", add_special_tokens=False).ids) + 1
+    assert [r.doc_id for r in got] == [None] + [7] * 300 + [9] * 5 and got[300].start == got[0].n_tokens + 299 * n
 
 
-def test_shared_dir_is_the_clusters(spark):
-    assert common.shared_dir(spark, "x") != common.shared_dir(spark, "x")
+def test_shared_folders_are_the_clusters(spark):
+    assert common.folder(spark, "x") != common.folder(spark, "x")
