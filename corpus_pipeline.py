@@ -51,10 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what each keeps is written to the shared folder and read again."""
-    docs = common.documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.written(docs, "stage")
-    return docs
+    """All stages in order; what each keeps is written to the shared folder and read again, and goes once the next stage is written."""
+    docs, read = common.documents(spark, sf_dir), None
+    for _, stage in STAGES[:-1]:
+        with common.scratch() as stay:
+            docs = common.written(stage(spark, docs, sf_dir), "stage")
+            stay.append(docs)
+        if read is not None:
+            common.drop(read)
+        read = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
