@@ -136,7 +136,11 @@ def quantiles(sketch: DataFrame, at: dict[str, float]) -> DataFrame:
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """lang, source, <measure>_limit for each, chars_per_word_least, and by_fence, how many of the limits are fences."""
+    """lang, source, <measure>_limit for each, chars_per_word_least, and by_fence, how many of the limits are fences; a written table.
+
+    Its size is known when it is joined, so the optimizer broadcasts it while it
+    is small, and shuffles no texts for it.
+    """
     # Some thousand rows a group, used several times.
     sketch = common.written(sketches(measured.filter(~base_failed())), "sketches")
     q = quantiles(shrunk(sketch), {"lower": 0.25, "middle": 0.5, "upper": 0.75})
@@ -147,7 +151,9 @@ def thresholds(measured: DataFrame) -> DataFrame:
     # A quantile may lie this far from the value it stands for.
     limits = {m: (F.greatest(fence(m), least[m]) if m in least else fence(m)) * (1 + RELATIVE_ERROR) for m in MEASURES}
     by_fence = sum((F.when(fence(m) > least[m], 1).otherwise(0) for m in SHARES), F.lit(2))
-    return wide.select("lang", "source", *(x.alias(f"{m}_limit") for m, x in limits.items()), (fence("chars_per_word", "lower") * (1 - RELATIVE_ERROR)).alias("chars_per_word_least"), by_fence.alias("by_fence"))
+    least_chars = fence("chars_per_word", "lower") * (1 - RELATIVE_ERROR)
+    found = wide.select("lang", "source", *(x.alias(f"{m}_limit") for m, x in limits.items()), least_chars.alias("chars_per_word_least"), by_fence.alias("by_fence"))
+    return common.written(found, "limits")
 
 
 def within_limits():
