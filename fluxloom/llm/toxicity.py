@@ -51,7 +51,7 @@ from fluxloom.llm import common
 WINDOW, BASE_BYTES, SIDE_BYTES, TOXIC_BYTES = 96, 40_000, 65_536, 16_384
 PAIRS, ROUNDS, MIN_TEXTS, CONTRAST = 4, 3, 3, 4.0
 #: Ordinary windows that a training round is held against (or a sixth of the toxic ones), the share of them that stays below its threshold, and that below the final one.
-REFERENCE, ROUND_SHARE, FINAL_SHARE = 4_000, 0.98, 0.99
+REFERENCE, ROUND_SHARE, FINAL_SHARE = 4_000, 0.9, 0.99
 MAX_TOXIC, MAX_ORDINARY = 1500, 3000
 #: Windows without a gain that every text is given besides its own.
 ALLOWANCE = 3
