@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from fluxloom.llm import bpe, common, dac, license_scan, media, packing, quality, secrets, simhash, token_counts, toxicity
+from pyspark.sql import functions as F
+
+from fluxloom.llm import bpe, common, dac, hard_negatives, license_scan, media, packing, quality, reputation, secrets, simhash, token_counts, toxicity
 from fluxloom.llm import tokenizers_ as tok
 
 
@@ -47,9 +49,20 @@ def op10_secret_scans(spark, sf_dir):
     return secrets.digests(common.documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(e.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+def op12_url_filters(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return reputation.judge(pages, reputation.outcomes(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql():
-    return {"op2_license_scans": license_scan.oracle_sql()}
+    return {"op2_license_scans": license_scan.oracle_sql(), "op11_hard_negatives": hard_negatives.oracle_sql(), "op12_url_filters": reputation.oracle_sql()}
