@@ -54,3 +54,23 @@ def size(n: float) -> str:
             return f"{n:.1f} {unit}"
         n /= 1024
     return f"{n:.1f} TB"
+
+
+def formula_words(text: Column, symbols: list[str]) -> Column:
+    """Runs of ASCII letters and digits that symbols and counts of four digits at most spell out; none of a null text."""
+    one = "|".join(sorted(symbols, key=lambda s: (-len(s), s)))
+    words = F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+")
+    return F.filter(words, lambda w: w.rlike(f"^(?:(?:{one})[0-9]{{0,4}})+$"))
+
+
+def canonical_formula(word: Column, symbols: list[str], least_atoms: int = 1) -> Column:
+    """'CH3OH' -> 'C1H4O1', symbols in alphabetical order; null of fewer atoms."""
+
+    def count(symbol: str) -> Column:
+        numbers = F.regexp_extract_all(word, F.lit(f"{symbol}(?![a-z])([0-9]*)"), F.lit(1))
+        return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, n: a + F.when(n == "", 1).otherwise(n.cast("long")))
+
+    counts = F.array(*(F.struct(F.lit(s).alias("s"), count(s).alias("n")) for s in sorted(symbols)))
+    there = F.filter(counts, lambda c: c["n"] > 0)
+    atoms = F.aggregate(there, F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    return F.when(atoms >= least_atoms, F.array_join(F.transform(there, lambda c: F.concat(c["s"], c["n"].cast("string"))), ""))
