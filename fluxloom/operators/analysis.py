@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxloom import shared
 from fluxloom.functions import thermo
 from fluxloom.operators import ordering
 from fluxloom.operators.flux import sides
-from fluxloom.session import ship
 
 
 def firings(network: DataFrame, log: DataFrame) -> DataFrame:
@@ -132,50 +131,55 @@ def pathways(network: DataFrame, log: DataFrame, initial: DataFrame) -> DataFram
     those of its reactants that were not there initially.  Where the last
     reaction of a reactant's pathway makes just the reactants, that pathway alone
     precedes.  A producer must fire before its consumer, or it is not followed.
-    Each seed's first producers, one row for each species it makes, fit a task.
+
+    By pointer doubling: a pathway is a list of pointers to species, followed by
+    reactions.  Each round puts the list that a pointed species has by then in
+    place of the pointer, so a chain of n reactions takes log2(n) rounds.  A seed's
+    species are rows of their own, spread over all tasks.
     """
     from fluxloom.operators.enumeration import KEYS
 
-    ship(network.sparkSession)
-    first = first_producers(network, log).join(network.select("reaction_id", *KEYS), "reaction_id")
-    absent = initial.filter("count = 0").select(F.col("species_id").alias("x"))
-    for k in ("reactant_1", "reactant_2"):
-        first = first.join(absent.withColumnRenamed("x", f"{k}_absent"), F.col(k) == F.col(f"{k}_absent"), "left")
-    rows = first.select("seed", "species_id", "step", "reaction_id", *KEYS, F.col("reactant_1_absent").isNotNull().alias("a1"), F.col("reactant_2_absent").isNotNull().alias("a2"))
-
-    def of_seed(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = {r.species_id: r for r in pdf.itertuples(index=False)}
-        done: dict[int, list[int]] = {}
-
-        def path(s: int, before: float) -> list[int]:
-            r = made.get(s)
-            if r is None or r.step >= before:
-                return []
-            if s in done:
-                return done[s]
-            own, heads = [int(r.reaction_id)], []
-            wanted = sorted(x for x in (r.reactant_1, r.reactant_2) if x >= 0)
-            for x, is_absent in ((r.reactant_1, r.a1), (r.reactant_2, r.a2)):
-                if x < 0 or not is_absent:
-                    continue
-                head = path(int(x), r.step)
-                if head:
-                    heads.append(head)
-                    q = made[x]
-                    if wanted == sorted(y for y in (q.product_1, q.product_2) if y >= 0):
-                        done[s] = head + own
-                        return done[s]
-            for h in heads:
-                own = h + own
-            done[s] = own
-            return own
-
-        # In order of steps every reactant's pathway is there before it is needed: no deep recursion.
-        for r in sorted(made.values(), key=lambda r: r.step):
-            path(int(r.species_id), float("inf"))
-        return pd.DataFrame({"seed": pdf.seed.iloc[0], "species_id": list(made), "pathway": [done[s] for s in made]})
-
-    return rows.groupBy("seed").applyInPandas(of_seed, "seed long, species_id int, pathway array<long>")
+    with shared.scratch() as stay:
+        first = first_producers(network, log).join(network.select("reaction_id", *KEYS), "reaction_id")
+        side = lambda *c: F.array_sort(F.filter(F.array(*c), lambda x: x >= 0))
+        first = shared.written(first.select("seed", "species_id", "step", "reaction_id", *KEYS[:2], side(*KEYS[:2]).alias("used"), side(*KEYS[2:]).alias("made")), "first")
+        absent = initial.filter("count = 0").select(F.col("species_id").alias("x")).distinct()
+        made = first.select(F.col("seed").alias("s"), F.col("species_id").alias("x"), F.col("step").alias("before"), F.col("made").alias("head_made")).join(absent, "x", "left_semi")
+        # Its heads: producers of an absent reactant that fired before it; place 0 is the second reactant's, whose pathway comes first.
+        place = F.explode(F.array(*(F.struct(F.lit(1 - i).alias("place"), F.col(k).alias("x")) for i, k in enumerate(KEYS[:2])))).alias("r")
+        asks = first.select("seed", "species_id", "step", "used", place).select("*", "r.place", "r.x").filter("x >= 0")
+        heads = asks.join(made.withColumnRenamed("s", "seed"), ["seed", "x"]).filter("before < step")
+        head = F.struct("place", "x", (F.col("head_made") == F.col("used")).alias("alone"))
+        heads = heads.groupBy("seed", "species_id").agg(F.array_sort(F.collect_list(head)).alias("heads"))
+        token = lambda r, p: F.struct(r.cast("long").alias("reaction_id"), p.cast("int").alias("at"))
+        own = F.array(token(F.col("reaction_id"), F.lit(None)))
+        # The first reactant's head decides first whether it stands alone.
+        alone = F.get(F.filter(F.reverse("heads"), lambda h: h["alone"]), F.lit(0))
+        taken = F.when(alone.isNotNull(), F.array(alone)).otherwise(F.coalesce("heads", F.array().cast("array<struct<place:int,x:int,alone:boolean>>")))
+        rows = first.join(heads, ["seed", "species_id"], "left")
+        now = shared.written(rows.select("seed", "species_id", F.concat(F.transform(taken, lambda h: token(F.lit(None), h["x"])), own).alias("way")), "ways")
+        done = []
+        while True:
+            open_ = F.exists("way", lambda t: t["at"].isNotNull())
+            done.append(now.filter(~open_))
+            left = now.filter(open_)
+            if left.isEmpty():
+                break
+            steps = left.select("seed", "species_id", F.posexplode("way").alias("i", "t")).select("seed", "species_id", "i", F.col("t.at").alias("at"), F.array("t").alias("own"))
+            every = done[0]
+            for d in [*done[1:], left]:
+                every = every.unionByName(d)
+            lists = every.join(left.select("seed").distinct(), "seed", "left_semi").select("seed", F.col("species_id").alias("at"), F.col("way").alias("below"))
+            full = steps.filter("at IS NOT NULL").join(lists, ["seed", "at"]).select("seed", "species_id", "i", "below")
+            full = full.unionByName(steps.filter("at IS NULL").select("seed", "species_id", "i", F.col("own").alias("below")))
+            way = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "below"))), lambda x: x["below"]))
+            now = shared.written(full.groupBy("seed", "species_id").agg(way.alias("way")), "ways")
+        out = done[0]
+        for d in done[1:]:
+            out = out.unionByName(d)
+        out = shared.written(out.select("seed", "species_id", F.transform("way", lambda t: t["reaction_id"]).alias("pathway")), "pathways")
+        stay.append(out)
+    return out
 
 
 def pathway_table(paths: DataFrame, network: DataFrame) -> DataFrame:

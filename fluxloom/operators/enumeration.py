@@ -10,7 +10,7 @@ from fluxloom.operators import bucketing, ordering
 from fluxloom.schema import NONE
 
 KEYS = ["reactant_1", "reactant_2", "product_1", "product_2"]
-
+CANONICAL = ["k1", "k2", "k3", "k4"]
 
 #: What a side's totals are carried for: candidates() turns them into the change over a reaction.
 CARRIED = ["charge", "free_energy", "solvation_free_energy"]
@@ -28,16 +28,17 @@ def product_index(species: DataFrame, elements: list[str], wanted: DataFrame | N
     return index if wanted is None else index.join(wanted.select(*elements).distinct(), elements, "left_semi")
 
 
-def candidates(complexes: DataFrame, index: DataFrame, elements: list[str], carried: list[str] | None = None) -> DataFrame:
+def candidates(complexes: DataFrame, index: DataFrame, keys: list[str], carried: list[str] | None = None) -> DataFrame:
     """reactant_1, reactant_2, product_1, product_2: equal compositions, without reactions of a side to itself.
 
-    Carried sums of both tables become r_<column> and p_<column>, so that rules over
-    totals decide in the join, before any species is looked up.
+    keys: the elements, and the part where both sides are dealt in parts.  Carried
+    sums of both tables become r_<column> and p_<column>, so that rules over totals
+    decide in the join, before any species is looked up.
     """
     for c in carried or []:
         complexes, index = complexes.withColumnRenamed(c, f"r_{c}"), index.withColumnRenamed(c, f"p_{c}")
     # A popular composition makes a large key: as a sort-merge join Spark can split it.
-    j = complexes.hint("merge").join(index, elements)
+    j = complexes.hint("merge").join(index, keys)
     return j.filter(~((F.col("s1") == F.col("p1")) & (F.col("s2") == F.col("p2")))).select(
         F.col("s1").alias("reactant_1"), F.col("s2").alias("reactant_2"), F.col("p1").alias("product_1"), F.col("p2").alias("product_2"),
         *(f"{s}_{c}" for c in carried or [] for s in "rp"),
@@ -73,13 +74,22 @@ def canonical(df: DataFrame) -> list[Column]:
     ]
 
 
-def fresh(batch: DataFrame, network: DataFrame | None = None) -> DataFrame:
-    """One row of each reaction, the least by columns, and none that the network has."""
+def fresh(batch: DataFrame, network: DataFrame | None = None, stored: list[DataFrame] | None = None, buckets: int = 0) -> DataFrame:
+    """One row of each reaction, the least by columns, and none that the network has.
+
+    stored: the canonical keys of the network's rounds, bucketed by them.  The
+    batch is then dealt to as many buckets and the network's keys are read where
+    they lie, so what is shuffled follows the batch.
+    """
     names = batch.columns
     keyed = batch.select(F.struct(*names).alias("row"), *canonical(batch))
-    one = keyed.groupBy("k1", "k2", "k3", "k4").agg(F.min("row").alias("row"))
+    if stored:
+        keyed = keyed.repartition(buckets, *CANONICAL)
+    one = keyed.groupBy(*CANONICAL).agg(F.min("row").alias("row"))
     if network is not None:
-        one = one.join(network.select(*canonical(network)).distinct(), ["k1", "k2", "k3", "k4"], "left_anti")
+        one = one.join(network.select(*canonical(network)).distinct(), CANONICAL, "left_anti")
+    for keys in stored or []:
+        one = one.join(keys.hint("merge"), CANONICAL, "left_anti")
     return one.select("row.*")
 
 

@@ -11,7 +11,7 @@ from fluxloom.operators import species as pool
 from fluxloom.plans import bridge as b
 from fluxloom.plans.bridge import ELEMENTS, sql
 from fluxloom.schema import NONE
-from fluxloom.sources import readers, writers
+from fluxloom.sources import keyed, readers, writers
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -82,6 +82,18 @@ def candidates(spark, sf):
     return enumeration.candidates(c, enumeration.product_index(s, ELEMENTS, c), ELEMENTS)
 
 
+@query(f"SELECT {_KEYS} FROM cand_b")
+def keyed_candidates(spark, sf):
+    """Candidates from a stored product index that is bucketed by composition, popular compositions in parts."""
+    path, buckets = shared.folder(spark, "index"), keyed.buckets_of(spark)
+    index = enumeration.product_index(b.species(spark, sf), ELEMENTS)
+    writers.index(index, path, ELEMENTS, buckets, 500)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
+    table, parts = readers.index(spark, path, schema, ELEMENTS, buckets)
+    keys = [*ELEMENTS, keyed.PART]
+    return enumeration.candidates(keyed.to_parts(complexes(spark, sf), parts, ELEMENTS).repartition(buckets, *keys), table, keys)
+
+
 @query("SELECT count(*) AS n, CAST(sum(reactant_1 + reactant_2 + product_1 + product_2) AS BIGINT) AS checksum FROM cand_b")
 def candidate_checksum(spark, sf):
     c = candidates(spark, sf)
@@ -184,6 +196,16 @@ def duplicate_groups(spark, sf):
     return enumeration.duplicate_groups(b.network(spark, sf))
 
 
+@query(f"SELECT DISTINCT {_CANON} FROM cand_b EXCEPT SELECT {_CANON} FROM net_b")
+def new_to_stored_network(spark, sf):
+    """The same against the network's keys in two bucketed tables, a round each, which are not moved."""
+    path, n, buckets = shared.folder(spark, "keys"), b.network(spark, sf), keyed.buckets_of(spark)
+    for i, part in ((1, n.filter("reaction_id % 2 = 0")), (2, n.filter("reaction_id % 2 = 1"))):
+        keyed.write(part.select(*enumeration.canonical(part)), f"{path}/iteration={i}", enumeration.CANONICAL, buckets)
+    d = enumeration.fresh(candidates(spark, sf), stored=writers.stored_keys(spark, "", path, 2, buckets), buckets=buckets)
+    return d.select(*enumeration.canonical(d))
+
+
 @query(f"SELECT {_KEYS}, row_number() OVER (ORDER BY {_KEYS}) - 1 + 100 AS reaction_id FROM cand_b")
 def dense_ids(spark, sf):
     return enumeration.numbered(candidates(spark, sf), 100)
@@ -520,7 +542,7 @@ def live_counts(spark, sf):
     events = b.table(spark, sf, "events")
     name = f"live_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
-    q = live.live_firings(stream.select("event_type"), "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = live.live_firings(stream.select("event_type"), "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared.folder(spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
@@ -533,6 +555,21 @@ def windowed_counts(spark, sf):
     return d.select(F.unix_timestamp("window.start").alias("start"), "event_type", "firings")
 
 
+@query("""SELECT CAST(seed AS BIGINT) AS seed, step, species_id, count, false AS late FROM (SELECT seed, step, species_id, coalesce(i.count, 0) + CAST(sum(delta) OVER (PARTITION BY seed, species_id ORDER BY step) AS BIGINT) AS count
+FROM (SELECT seed, species_id, step, sum(produced - consumed) AS delta FROM fire_b GROUP BY ALL) d LEFT JOIN init_b i USING (species_id))""")
+def live_state_series(spark, sf):
+    """State series over the log as a stream that stops in the middle and goes on from its checkpoint."""
+    from fluxloom.streaming import live, state
+
+    path, log = shared.folder(spark, "stream"), shared.written(b.log(spark, sf), "log")
+    middle = log.agg(F.max("step")).first()[0] // 3
+    for part in ("step <= {}", "step > {}"):
+        log.filter(part.format(middle)).write.mode("append").parquet(f"{path}/log")
+        stream = live.firing_stream(spark, f"{path}/log", schema=log.schema)
+        live.append_batches(state.live_state(stream, b.network(spark, sf), b.initial(spark, sf)), lambda rows: rows, f"{path}/series", f"{path}/checkpoint")
+    return live.read_batches(spark, f"{path}/series", f"{state.OUT}, batch long").drop("batch")
+
+
 # --- what is written and read back
 
 
@@ -550,6 +587,19 @@ def stored_network(spark, sf):
     return readers.reactions(spark, path).select("iteration", "reaction_id", *enumeration.KEYS)
 
 
+@query(f"""SELECT reaction_id, {_KEYS} FROM (SELECT row_number() OVER (ORDER BY {_KEYS}) - 1 AS reaction_id, {_KEYS} FROM (
+SELECT * FROM net_k_b QUALIFY row_number() OVER (PARTITION BY k1, k2, k3, k4 ORDER BY {_KEYS}) = 1))
+WHERE reaction_id IN (SELECT event_id * 7 % (SELECT count(*) FROM part) FROM events WHERE event_type = 'error')""")
+def reactions_by_id(spark, sf):
+    """A table of ids looked up at once in a stored network, whose folders are blocks of ids."""
+    net, path = b.network(spark, sf), shared.folder(spark, "network")
+    n = net.count()
+    writers.append_reactions(net.selectExpr(*_BATCH.split(", ")), path, 1)
+    found = readers.Network(b.species(spark, sf), readers.reactions(spark, path), blocks=readers.reactions_in_blocks(spark, path))
+    ids = b.table(spark, sf, "events").filter("event_type = 'error'").select((F.col("event_id") * 7 % n).alias("reaction_id"))
+    return found.lookup(ids).select("reaction_id", *enumeration.KEYS)
+
+
 @query("SELECT reaction_id, list_filter([reactant_1, reactant_2], lambda x: x >= 0)[1] AS first_reactant, CAST(len(list_filter([product_1, product_2], lambda x: x >= 0)) AS INT) AS n_products FROM net_b WHERE reaction_id >= 10 AND reaction_id < 500")
 def reactions_in_range(spark, sf):
     net = readers.Network(b.species(spark, sf), b.network(spark, sf)).in_range(10, 500)
@@ -757,7 +807,7 @@ def live_flux(spark, sf):
 
     parts, events, name = b.table(spark, sf, "part").count(), b.table(spark, sf, "events"), f"live_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").select((F.col("event_id") % parts).alias("reaction_id"))
-    q = live.live_flux(stream, b.network(spark, sf)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = live.live_flux(stream, b.network(spark, sf)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared.folder(spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 

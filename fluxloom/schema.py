@@ -46,5 +46,6 @@ ENVIRONMENTS = {
     "li_ec": {"correction": -0.68, "radius": 2.4, "max_bonds": 4, "metal": "Li"},
     "na_ec": {"correction": -0.44, "radius": 2.4, "max_bonds": 5, "metal": "Na"},
 }
+BLOCK_IDS = 1 << 20  # reactions whose ids share a folder of the network
 NONE = -1  # stands for no second reactant or product
 MAPPER_VERSION = "1.0.0"

@@ -14,11 +14,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _held: dict[str, SparkSession] = {}
-_scopes: list[list[str]] = []
+#: The innermost scratch() of each thread comes last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 _local: dict[str, str] = {}
 
 
@@ -42,8 +44,8 @@ def folder(spark: SparkSession, what: str) -> str:
     if not _held:
         atexit.register(_end)
     _held[path] = spark
-    if _scopes:
-        _scopes[-1].append(path)
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
     return path
 
 
@@ -67,15 +69,17 @@ def drop(*tables: DataFrame) -> None:
 def scratch() -> Iterator[list[DataFrame]]:
     """Tables written inside are deleted at the end, but for those that the list then holds."""
     kept: list[DataFrame] = []
-    _scopes.append([])
+    outer, made = _scopes.get(), []
+    _scopes.set((*outer, made))
     try:
         yield kept
     finally:
-        stay, made = {t.shared_path_ for t in kept}, _scopes.pop()
+        _scopes.set(outer)
+        stay = {t.shared_path_ for t in kept}
         for path in made:
             if path in stay:
-                if _scopes:
-                    _scopes[-1].append(path)
+                if outer:
+                    outer[-1].append(path)
             elif path in _held:
                 _delete(path)
 
@@ -112,6 +116,12 @@ def exists(path: str) -> bool:
     return fs.exists(at)
 
 
+def remove(path: str) -> None:
+    """Deletes a file or a folder with all in it."""
+    fs, at = _fs(_spark(), path)
+    fs.delete(at, True)
+
+
 def read_text(path: str) -> str:
     """The text of a small file; FileNotFoundError without one."""
     spark = _spark()
@@ -174,3 +184,15 @@ def json_or(path: str, default=None):
         return json.loads(read_text(path))
     except (OSError, ValueError):
         return default
+
+
+def json_if_there(path: str):
+    """A JSON file's value, or None without one; a file that is no JSON raises."""
+    try:
+        text = read_text(path)
+    except FileNotFoundError:
+        return None
+    try:
+        return json.loads(text)
+    except ValueError as e:
+        raise ValueError(f"{path} is there but is no JSON: {e}") from e

@@ -13,9 +13,9 @@ from fluxloom import schema as S
 from fluxloom.operators.flux import sides
 
 
-def firing_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+def firing_stream(spark: SparkSession, path: str, files_per_trigger: int = 16, schema=S.TRAJECTORIES) -> DataFrame:
     """Firings as files arrive below path."""
-    return spark.readStream.schema(S.TRAJECTORIES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def live_firings(stream: DataFrame, key: str = "reaction_id") -> DataFrame:
