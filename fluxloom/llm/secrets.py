@@ -9,8 +9,9 @@ value's form give a score; a value at or over the threshold marks each literal
 it is made of, where that literal stands.  Names and the blanks around a sign
 have any length.  A value is held as what its score needs (length, ends, counts
 of its characters) and as the two it was joined from, never written out: names
-that double each other's values cost no more than others.  Characters beyond
-ASCII count as one kind.
+that double each other's values cost no more than others, as counts beyond
+EXACT are kept as shares with an exponent.  Characters beyond ASCII count as one
+kind.
 
 Nulls, empties: a null text is an empty text, without spans.  Repeated rows give
 repeated results.  Offsets are code points, ends exclusive.
@@ -21,6 +22,8 @@ from __future__ import annotations
 import math
 import re
 import string
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,6 +56,8 @@ _TO_FILL = re.compile(r"(?i)\$\{|\{\{|changeme|example|your[_-]|todo|placeholder
 _NO_VALUE = re.compile(r"(?i)none|null|true|false|undefined")
 
 MIN_LITERAL, SCORE = 8, 0.8
+#: Lengths up to which counts of characters are exact.
+EXACT = 2.0**53
 
 _SIGN = re.compile(r":=|=>|==?|:|<([A-Za-z_][A-Za-z0-9_.\-]*+)>(?=[^<\s])")
 _BLANKS = re.compile(r"""[ \t]*+(?=["'A-Za-z0-9_+/$])""")
@@ -71,31 +76,48 @@ def name_score(name: str) -> float:
     return max(0.0, plus - max((HARMLESS.get(w, 0.0) for w in words), default=0.0))
 
 
-@dataclass(frozen=True, eq=False)
+@dataclass(frozen=True, eq=False, slots=True)
 class Value:
-    """What is known of a value: its length, first and last characters, counts of characters, and where its literals stand."""
+    """What is known of a value: its length, first and last characters, counts of characters, and where its literals stand.
 
-    n: int
+    Length and counts are to be multiplied by 2^exponent; values of the same
+    characters share the string that names them.
+    """
+
+    n: float
     head: str
     tail: str
-    counts: dict[str, int]
+    chars: str
+    counts: array
     space: bool
     url: bool
     spans: tuple[tuple[int, int], ...] = ()
     parts: tuple[Value, ...] = ()
+    exponent: int = 0
 
     @classmethod
     def of(cls, text: str, *spans: tuple[int, int]) -> Value:
         counts = Counter(c if c < "\x80" else "\x80" for c in text)
-        return cls(len(text), text[:16], text[-2:], counts, bool(re.search(r"\s", text)), "://" in text, spans)
+        chars = sys.intern("".join(sorted(counts)))
+        return cls(len(text), text[:16], text[-2:], chars, array("d", (counts[c] for c in chars)), bool(re.search(r"\s", text)), "://" in text, spans)
 
     def __add__(self, other: Value) -> Value:
-        counts = dict(self.counts)
-        for c, k in other.counts.items():
-            counts[c] = counts.get(c, 0) + k
+        exponent = max(self.exponent, other.exponent)
+        a, b = (2.0 ** max(-2000, v.exponent - exponent) if v.exponent < exponent else 1.0 for v in (self, other))
+        n, chars = a * self.n + b * other.n, self.chars
+        if chars == other.chars:
+            counts = array("d", (a * x + b * y for x, y in zip(self.counts, other.counts, strict=True)))
+        else:
+            both = dict.fromkeys(sorted({*chars, *other.chars}), 0.0)
+            for v, f in ((self, a), (other, b)):
+                for c, k in zip(v.chars, v.counts, strict=True):
+                    both[c] += f * k
+            chars, counts = sys.intern("".join(both)), array("d", both.values())
+        if n > EXACT:
+            n, counts, exponent = n / EXACT, array("d", (k / EXACT for k in counts)), exponent + 53
         return Value(
-            self.n + other.n, (self.head + other.head)[:16] if self.n < 16 else self.head, (self.tail + other.tail)[-2:], counts,
-            self.space or other.space, self.url or other.url or "://" in self.tail + other.head[:2], (), (self, other),
+            n, self.head if self.exponent or self.n >= 16 else (self.head + other.head)[:16], (self.tail + other.tail)[-2:], chars, counts,
+            self.space or other.space, self.url or other.url or "://" in self.tail + other.head[:2], (), (self, other), exponent,
         )
 
     def places(self, seen: set[int]) -> Iterator[tuple[int, int]]:
@@ -110,16 +132,16 @@ class Value:
 
     def score(self) -> float:
         """How much it looks like a secret, 0 to 1: length, kinds of characters, entropy."""
-        if self.n < MIN_LITERAL or self.space or self.url or self._stands_for_another():
+        if self.exponent == 0 and self.n < MIN_LITERAL or self.space or self.url or self._stands_for_another():
             return 0.0
-        entropy = -sum(k / self.n * math.log2(k / self.n) for k in self.counts.values())
-        kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in self.counts}
+        entropy = -sum(k / self.n * math.log2(k / self.n) for k in self.counts if k > 0)
+        kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in self.chars}
         return min(1.0, 0.35 + 0.15 * len(kinds) + 0.1 * max(0.0, entropy - 2.5))
 
     def _stands_for_another(self) -> bool:
         ends = self.head[0] + self.tail[-1]
         return bool(
-            _TO_FILL.match(self.head) or self.n <= 16 and _NO_VALUE.fullmatch(self.head) or ends in ("<>", "%%") or set(self.counts) in ({"x"}, {"X"}, {"x", "X"}, {"*"}, {"."})
+            _TO_FILL.match(self.head) or self.exponent == 0 and self.n <= 16 and _NO_VALUE.fullmatch(self.head) or ends in ("<>", "%%") or self.chars in ("x", "X", "Xx", "*", ".")
         )
 
 
