@@ -528,3 +528,81 @@ def test_pipeline(spark, sf_dir):
     pieces = c.run(spark, sf_dir).collect()
     tokens = {r.doc_id: r.doc_tokens for r in pieces}
     assert sum(r.length for r in pieces) == sum(tokens.values()) and set(tokens) <= set(start)
+
+
+@pytest.mark.parametrize("max_literals", [license_scan.MAX_LITERALS, 0])
+def test_licenses_that_are_interrupted_or_spread_are_found(spark, max_literals):
+    """At every offset in its window, with foreign words in the middle, and a shingle at a time over a long text."""
+    foreign = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
+    rows, names = [], ["mpl-2.0-header", "apache-2.0-warranty", "isc-grant"]
+    for name in names:
+        words = license_scan.template_words(license_scan.TEMPLATES[name])
+        half = len(words) // 2
+        rows += [(name, f"{foreign(at, 1)} {' '.join(words[:half])} {foreign(gap, 2)} {' '.join(words[half:])} {foreign(3, 3)}") for gap in (10, 20, 40, 300) for at in range(0, 33, 4)]
+    many = license_scan.template_words(license_scan.TEMPLATES["apache-2.0-header"])
+    spread = " ".join(f"{' '.join(many[i : i + 5])} {foreign(90, i)}" for i in range(len(many) - 4))
+    got = license_scan.scan(frame(spark, [(i, t, "en", "s") for i, (_, t) in enumerate([*rows, ("apache-2.0-header", spread)])]), max_literals=max_literals).collect()
+    found = {(r.doc_id, r.license_id) for r in got}
+    assert not [i for i, (name, _) in enumerate(rows) if (i, name) not in found]
+    assert (len(rows), "apache-2.0-header") in found and all(r.matched >= 0.8 * r.shingles for r in got)
+
+
+def test_doubled_values_take_memory_linear_in_the_text():
+    import tracemalloc
+
+    n = 60_000
+    text = 'a0 = "aB3dE9xYz!q"\n' + "".join(f"a{i} = a{i - 1} + a{i - 1}\n" for i in range(1, n)) + f"password = a{n - 1}\n"
+    tracemalloc.start()
+    assert secrets.literals(text) == [(6, 17)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_counts_beyond_the_exact_ones_keep_their_shares():
+    v = secrets.Value.of("aB3dE9xY")
+    for _ in range(200):
+        v = v + v
+    assert v.exponent > 0 and v.score() == pytest.approx(secrets.value_score("aB3dE9xY" * 4))
+    w = v + secrets.Value.of("!")
+    assert w.chars == "!39BEYadx" and w.score() == pytest.approx(secrets.value_score("aB3dE9xY" * 4) + 0.15)
+
+
+def brute_literals(text):
+    """name = value lines with quoted literals, names and + alone: places of the literals that reach a sensitive name, values written out."""
+    known, found = {}, set()
+    at = 0
+    for line in text.split("\n"):
+        name, _, rest = line.partition(" = ")
+        value, places, pos, whole = "", [], at + len(name) + 3, bool(rest)
+        for term in rest.split(" + "):
+            if term.startswith('"'):
+                value, places = value + term[1:-1], [*places, (pos + 1, pos + len(term) - 1)]
+            elif term in known:
+                value, places = value + known[term][0], places + known[term][1]
+            else:
+                whole = False
+            pos += len(term) + 3
+        if whole:
+            known[name] = value, places
+            s = secrets.name_score(name)
+            if s >= 0.5 and s * secrets.value_score(value) >= secrets.SCORE * 0.6:
+                found.update(places)
+        at += len(line) + 1
+    return sorted(p for p in found if p[1] > p[0])
+
+
+def test_literals_as_by_writing_values_out():
+    rnd = random.Random(8)
+    names = ["a", "b_x", "host", "db_password", "api_key", "token_max", "client_secret", "note"]
+    some = 0
+    for _ in range(400):
+        lines = []
+        for _ in range(rnd.randint(1, 12)):
+            terms = [f'"{"".join(rnd.choice("abXY019!-:/ ") for _ in range(rnd.randint(0, 9)))}"' if rnd.random() < 0.6 else rnd.choice(names) for _ in range(rnd.randint(1, 3))]
+            # A single name could be a bare word, as in configuration files.
+            terms = terms if len(terms) > 1 or terms[0].startswith('"') else ['""', *terms]
+            lines.append(f"{rnd.choice(names)} = {' + '.join(terms)}")
+        text = "\n".join(lines)
+        assert secrets.literals(text) == brute_literals(text), text
+        some += bool(brute_literals(text))
+    assert some > 50
