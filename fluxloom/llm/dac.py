@@ -12,9 +12,11 @@ for the last bitmap and directory.  Numbers are little-endian.
 
 write() encodes documents where they lie, deals the ids (two bytes each where
 they fit) into ranges of document ids, and writes shards through Spark's writer,
-so any store that Spark reaches will do and a lost task leaves nothing.  The
-ranges' bounds come from a sample of SAMPLE documents a range, those whose hash
-is least.  Nulls, empties: a null or empty text is its end id alone; null ids
+so any store that Spark reaches will do and a lost task leaves nothing.  There are
+as many ranges as a shuffle has partitions, or more where a range would hold over
+RANGE_BYTES of text, up to MAX_RANGES; beyond these a range grows, but is still
+sorted and written as a stream.  Their bounds cut a sample of SAMPLE documents a
+range, those whose hash is least, into equal sizes of text.  Nulls, empties: a null or empty text is its end id alone; null ids
 come first.  Equal ids follow by the text's hash, and rows equal in both are
 spread over the ranges that they fill.  An empty table gives no shards.
 """
@@ -38,8 +40,8 @@ MAGIC, CHUNK_BITS, BLOCK_BITS = b"DAC1", 8, 512
 END_ID = 2
 #: Ids after which a task starts a new shard.
 SHARD_TOKENS = 1_000_000
-#: Documents for each range that decide its bounds.
-SAMPLE = 20
+#: Documents for each range that decide its bounds; text of a range; and how many there are at most.
+SAMPLE, RANGE_BYTES, MAX_RANGES = 20, 256 << 20, 20_000
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -122,7 +124,36 @@ class Shard:
 SHARDS = "part int, first long, tokens long, doc_ids array<long>, lengths array<long>, shard binary"
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
+def _order(doc_id: int | None, text_hash: int) -> tuple:
+    return doc_id is not None, doc_id or 0, text_hash
+
+
+def ranges(d: DataFrame, least: int, range_bytes: int = RANGE_BYTES, sample: int = SAMPLE) -> list[tuple]:
+    """Bounds of so many ranges of doc_id and text_hash, or more of a larger table, of about equal size of text."""
+
+    def drawn(n: int) -> list[tuple[tuple, int]]:
+        rows = d.select("doc_id", "text_hash", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id", "text_hash", F.lit(7)), "doc_id", "text_hash").limit(sample * n)
+        return sorted((_order(r.doc_id, r.text_hash), r.n + 1) for r in rows.collect())
+
+    rows = drawn(least)
+    if not rows:
+        return []
+    size = d.count() * sum(n for _, n in rows) / len(rows)
+    n = min(MAX_RANGES, max(least, -int(-size // range_bytes)))
+    rows = drawn(n) if n > least else rows
+    whole, upto, last, bounds = sum(k for _, k in rows), 0, 0, []
+    for at, k in rows:
+        # A document that fills several ranges ends one.
+        if (now := int((upto + k / 2) * n / whole)) > last:
+            bounds.append(at)
+            last = now
+        upto += k
+    return bounds
+
+
+def write(
+    docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES
+) -> None:
     """Shards of all documents in ascending id order below path.
 
     part ascends with the ids; first counts the ids of earlier shards of the part.
@@ -130,11 +161,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, sha
     d = common.id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     spark = d.sparkSession
     common.prepare(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = lambda doc_id, h: (doc_id is not None, doc_id or 0, h)
-    sample = d.select("doc_id", "text_hash").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(7))).limit(SAMPLE * n).collect()
-    pairs = sorted(order(r.doc_id, r.text_hash) for r in sample)
-    bounds = [pairs[len(pairs) * i // n] for i in range(1, n)] if pairs else []
+    bounds = ranges(d, int(spark.conf.get("spark.sql.shuffle.partitions")), range_bytes)
+    n = len(bounds) + 1
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, seen = tokenizers_.byte_bpe_json(vocabulary), end_id.to_bytes(4, "little"), 0
@@ -143,7 +171,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, sha
             coded = [np.frombuffer(x + end, "<u4") for x in enc.encode_all(b.column("text").to_pylist())]
             parts = []
             for doc_id, h in zip(ids, hashes, strict=True):
-                at = order(doc_id, h)
+                at = _order(doc_id, h)
                 low, high = bisect_left(bounds, at), bisect_right(bounds, at)
                 parts.append(low + seen % (high - low + 1))
                 seen += 1
