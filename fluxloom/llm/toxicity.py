@@ -18,13 +18,16 @@ compression alone, over ROUNDS rounds in two folds: a fold's windows are
 compressed with the other fold's dictionary (at first its raw text, then the
 stretches found so far), windows with a high gain are kept, and of each the
 words without which the gain falls by half.  A stretch stays that was found in
-MIN_TEXTS texts, and more often than in ordinary windows by CONTRAST.  Frequent
-ones lie last, where a match costs least.
+MIN_TEXTS texts, and more often than in ordinary windows by CONTRAST; all that
+do are kept, whatever their size.  Frequent ones lie last, where a match costs
+least.
 
 The score is an isotonic regression of the label on the distance, over labelled
-texts that trained no dictionary.  Fitting takes at most max_toxic and
-max_ordinary labelled texts, whole, those whose id hashes lowest, without near
-copies; a third of them calibrate.  Scoring takes every window of every text.
+texts that trained no dictionary.  What bounds fitting are parameters of fit():
+at most max_toxic and max_ordinary labelled texts, whole, those whose id hashes
+lowest, without near copies, a third of which calibrate; base_bytes of ordinary
+windows, drawn at random, in every dictionary; and side_bytes of the other fold's
+in the first round.  Scoring takes every window of every text.
 
 Nulls, empties: a null or empty text has distance 0.  A null id is in no fold
 that is held out and has no label.  Labels that are null are no labels; of
@@ -48,7 +51,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.llm import common
 
-WINDOW, BASE_BYTES, SIDE_BYTES, TOXIC_BYTES = 96, 40_000, 65_536, 16_384
+WINDOW, BASE_BYTES, SIDE_BYTES = 96, 40_000, 65_536
 PAIRS, ROUNDS, MIN_TEXTS, CONTRAST = 4, 3, 3, 4.0
 #: Ordinary windows that a training round is held against (or a sixth of the toxic ones), the share of them that stays below its threshold, and that below the final one.
 REFERENCE, ROUND_SHARE, FINAL_SHARE = 4_000, 0.9, 0.99
@@ -190,10 +193,10 @@ def _dictionary(found: Iterable[tuple[int, bytes]], ordinary: Counter, fair: flo
     for text, stretch in found:
         texts[stretch].add(text)
     good = [(len(t), s) for s, t in texts.items() if len(t) >= MIN_TEXTS and len(t) > CONTRAST * fair * ordinary[s]]
-    return b"".join(s for _, s in sorted(good))[-TOXIC_BYTES:]
+    return b"".join(s for _, s in sorted(good))
 
 
-def train_pair(toxic: list[list[bytes]], ordinary: list[list[bytes]], seed: int) -> tuple[bytes, bytes]:
+def train_pair(toxic: list[list[bytes]], ordinary: list[list[bytes]], seed: int, base_bytes: int = BASE_BYTES, side_bytes: int = SIDE_BYTES) -> tuple[bytes, bytes]:
     """Contents of an ordinary and a toxic dictionary, from the windows of each text."""
     rnd = random.Random(seed)
     pool = [w for t in ordinary for w in t]
@@ -201,13 +204,13 @@ def train_pair(toxic: list[list[bytes]], ordinary: list[list[bytes]], seed: int)
     n_toxic = sum(map(len, toxic))
     n = min(max(REFERENCE, n_toxic // 6), len(pool) // 3)
     reference, pool = pool[:n], pool[n:]
-    base, k = _taken(pool, BASE_BYTES)
+    base, k = _taken(pool, base_bytes)
     folds, more = [toxic[0::2], toxic[1::2]], b"".join(pool[k:])
     sides = []
     for fold in folds:
         w = [w for t in fold for w in t]
         rnd.shuffle(w)
-        sides.append(_taken(w, SIDE_BYTES)[0])
+        sides.append(_taken(w, side_bytes)[0])
     found: list[list[tuple[int, bytes]]] = [[], []]
     for i in range(ROUNDS):
         usual: Counter = Counter()
@@ -225,7 +228,7 @@ def train_pair(toxic: list[list[bytes]], ordinary: list[list[bytes]], seed: int)
     return base, base + _dictionary(found[0] + found[1], usual, fair)
 
 
-def train(texts: list[str], toxic: list[int], pairs: int = PAIRS) -> Model:
+def train(texts: list[str], toxic: list[int], pairs: int = PAIRS, base_bytes: int = BASE_BYTES, side_bytes: int = SIDE_BYTES) -> Model:
     """A model of labelled texts in a random order, without near copies; every third calibrates."""
     kept = near_copies_out(texts)
     texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
@@ -234,7 +237,7 @@ def train(texts: list[str], toxic: list[int], pairs: int = PAIRS) -> Model:
     cut = [windows(t) for t in texts]
     build = [i for i in range(len(texts)) if i % 3]
     sides = [[cut[i] for i in build if toxic[i] == y] for y in (1, 0)]
-    found = [train_pair(*sides, seed) for seed in range(pairs)]
+    found = [train_pair(*sides, seed, base_bytes, side_bytes) for seed in range(pairs)]
     m = Model([(a, b) for a, b in found if a != b])
     s, rest = m.scorer(), [i for i in range(len(texts)) if i % 3 == 0]
     if m.pairs:
@@ -249,7 +252,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, base_bytes: int = BASE_BYTES, side_bytes: int = SIDE_BYTES,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> Model:
     """Ids are chosen from the labels first, so that texts of the sample alone are moved."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).filter(~held_out())
@@ -257,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     chosen = known.filter("y = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(known.filter("y = 0").orderBy(order, "doc_id").limit(max_ordinary))
     rows = common.id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "y").groupBy("text").agg(F.max("y").alias("y"))
     got = sorted(((_mixed(r.text), r.text, r.y) for r in rows.toLocalIterator()))
-    return train([t for _, t, _ in got], [y for _, _, y in got])
+    return train([t for _, t, _ in got], [y for _, _, y in got], PAIRS, base_bytes, side_bytes)
 
 
 def _mixed(text: str) -> int:
