@@ -259,7 +259,7 @@ def test_scores_are_those_of_plain_compression():
 
     texts, toxic = labelled_texts()
     m = toxicity.train(texts, toxic)
-    assert len(m.pairs) == toxicity.PAIRS and all(b.startswith(a) and len(a) < len(b) <= len(a) + toxicity.TOXIC_BYTES for a, b in m.pairs)
+    assert len(m.pairs) == toxicity.PAIRS and all(b.startswith(a) and len(a) < len(b) for a, b in m.pairs)
     assert all(w.encode() in b[len(a) :] for a, b in m.pairs for w in ("grolfink", "smadgewort", "vilebast"))
 
     def size(content, data):
@@ -606,3 +606,25 @@ def test_literals_as_by_writing_values_out():
         assert secrets.literals(text) == brute_literals(text), text
         some += bool(brute_literals(text))
     assert some > 50
+
+
+def test_all_that_qualifies_is_in_the_dictionary():
+    """Beyond 16 KB too, and sizes of the sides are parameters."""
+    found = [(text, f" stretch number {i} ".encode()) for i in range(2000) for text in range(3)]
+    from collections import Counter
+
+    content = toxicity._dictionary(found, Counter(), 1.0)
+    assert len(content) > 16_384 and all(f" stretch number {i} ".encode() in content for i in range(2000))
+    rnd = random.Random(3)
+    texts = [[f" {prose(rnd.randrange(10**6), 12)} ".encode() for _ in range(30)] for _ in range(60)]
+    assert len(toxicity.train_pair(texts[:20], texts[20:], 1, base_bytes=3000)[0]) <= 3000 < len(toxicity.train_pair(texts[:20], texts[20:], 1, base_bytes=9000)[0])
+
+
+def test_no_rows_of_empty_tables(spark):
+    from fluxloom.llm import packing
+    from fluxloom.llm import tokenizers_ as tok
+
+    none = frame(spark, [])
+    assert packing.pack(none, tok.vocabulary("word_bpe_49k.json")).count() == 0
+    assert media.digests(none).count() == 0
+    assert toxicity.judge(none, toxicity.Model()).count() == 0 and toxicity.rejected(none, toxicity.Model()).count() == 0

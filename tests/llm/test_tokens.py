@@ -228,3 +228,34 @@ def test_token_file(df, rows, spark):
 
 def test_shared_folders_are_the_clusters(spark):
     assert common.folder(spark, "x") != common.folder(spark, "x")
+
+
+def test_ranges_follow_the_sizes_of_texts(spark):
+    """A tenth of the documents holds most of the text: ranges are within 2x in tokens, and as many as the text needs."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choice(["the", "of", "reaction", "species"]) for _ in range(400 if i < 400 else 10))) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    for least, range_bytes, some in ((8, dac.RANGE_BYTES, 8), (4, 40_000, 20)):
+        bounds = dac.ranges(d, least, range_bytes, 200)
+        assert some <= len(bounds) + 1 <= 3 * some and bounds == sorted(bounds)
+        sizes = np.zeros(len(bounds) + 1)
+        for i, t in rows:
+            sizes[sum(b[:2] < (True, i) for b in bounds)] += len(t)
+        assert sizes.max() < 2 * sizes.mean() and sizes.min() > sizes.mean() / 2
+    # Rows that are all the same fill every range.
+    same = spark.createDataFrame([(7, "one text")] * 300, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    assert len(dac.ranges(same, 6)) == 5 and len(set(dac.ranges(same, 6))) == 1
+    assert dac.ranges(d.limit(0), 4) == []
+
+
+def test_more_ranges_than_partitions_are_written(df, rows, spark, tmp_path):
+    path = tok.vocabulary("byte_bpe_50k.json")
+    dac.write(df, str(tmp_path / "few"), path)
+    dac.write(df, str(tmp_path / "many"), path, range_bytes=5000)
+    few, many = (dac.read(spark, str(tmp_path / x)) for x in ("few", "many"))
+    assert few.select("part").distinct().count() <= 4 < many.select("part").distinct().count()
+    ids = lambda d: [(x, y) for r in d.orderBy("start").collect() for x, y in zip(r.doc_ids, r.lengths, strict=True)]
+    assert sorted(ids(few), key=str) == sorted(ids(many), key=str) and [key(x) for x, _ in ids(many)] == sorted(key(i) for i, _ in rows)
+
