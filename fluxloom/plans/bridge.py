@@ -136,6 +136,22 @@ def molecules(spark, sf_dir) -> DataFrame:
     )
 
 
+def sodium(spark, sf_dir) -> DataFrame:
+    """Raw documents with a sodium beside carbon alone, between two oxygens, or beside one; half of the first are too weakly charged to be bound."""
+    d = table(spark, sf_dir, "supplier").selectExpr("s_name AS molecule_id", "CAST(s_suppkey % 3 AS INT) AS kind", "s_nationkey % 2 = 1 AS weak", "s_acctbal AS energy")
+    d = d.withColumn("symbols", F.expr("CASE kind WHEN 0 THEN array('Na', 'C') WHEN 1 THEN array('Na', 'O', 'O') ELSE array('Na', 'O', 'C') END"))
+    bonds = F.expr("if(kind = 2, array(named_struct('u', 1, 'v', 2, 'ord', 1)), CAST(array() AS array<struct<u:int,v:int,ord:int>>))")
+    charges = F.expr("transform(symbols, x -> CASE x WHEN 'Na' THEN 0.9D WHEN 'O' THEN -0.5D ELSE if(kind = 0 AND NOT weak, -0.5D, 0.1D) END)")
+    zero, none = F.expr("transform(symbols, x -> 0.0D)"), F.lit(None).cast("double")
+    raw = F.struct(F.col("energy").cast("double").alias("electronic_energy_Ha"), F.lit(0.0).alias("total_enthalpy_kcal/mol"), F.lit(0.0).alias("total_entropy_cal/molK"))
+    return d.select(
+        "molecule_id", F.size("symbols").alias("number_atoms"), F.lit(1).alias("spin_multiplicity"), F.lit(0).alias("charge"),
+        F.expr("transform(symbols, (x, i) -> named_struct('symbol', x, 'x', CAST(i AS DOUBLE), 'y', 0.0D, 'z', 0.0D))").alias("atoms"), bonds.alias("bonds"),
+        F.struct(raw.alias("raw")).alias("thermo"), F.struct(charges.alias("resp"), charges.alias("mulliken"), charges.alias("nbo")).alias("partial_charges"),
+        F.struct(zero.alias("mulliken"), zero.alias("nbo")).alias("partial_spins"), F.struct(none.alias("electron_affinity_eV"), none.alias("ionization_energy_eV")).alias("redox"),
+    )
+
+
 _KEYS = ", ".join(KEYS)
 _SUM = ", ".join(f"a.{e} + b.{e} AS {e}" for e in ELEMENTS)
 _EL = ", ".join(ELEMENTS)

@@ -606,6 +606,16 @@ def reactions_in_range(spark, sf):
     return readers.participants(net).select("reaction_id", F.get("reactants", F.lit(0)).alias("first_reactant"), F.size("products").alias("n_products"))
 
 
+@query(f"""SELECT row_number() OVER (ORDER BY {_KEYS}) - 1 + 5 AS reaction_id, {_KEYS}, 3 AS iteration FROM (SELECT * FROM net_k_b WHERE reaction_id % 3 = 0
+QUALIFY row_number() OVER (PARTITION BY k1, k2, k3, k4 ORDER BY {_KEYS}) = 1)""")
+def stored_candidates(spark, sf):
+    """Candidates whose ids a mapper has allowed, appended to a network as its third round."""
+    path, net = shared.folder(spark, "network"), b.network(spark, sf)
+    rows = net.selectExpr("reaction_id", *_BATCH.split(", "))
+    writers.append_candidates(rows, path, 3, net.filter("reaction_id % 3 = 0").select("reaction_id"), offset=5)
+    return readers.reactions(spark, path).select("reaction_id", *enumeration.KEYS, "iteration")
+
+
 @query("SELECT ind AS species_id, CAST(CASE ind WHEN 3 THEN 50 WHEN 7 THEN 20 ELSE 0 END AS INT) AS count FROM species_b")
 def stored_initial_state(spark, sf):
     path = shared.folder(spark, "initial")
@@ -622,10 +632,12 @@ def stored_log(spark, sf):
 
 @query("""SELECT rxn_key, allowed, status FROM (SELECT *, row_number() OVER (PARTITION BY rxn_key ORDER BY ts DESC) AS n FROM verdict_b WHERE mapper_version = '1.0.0') WHERE n = 1""")
 def stored_verdicts(spark, sf):
-    """Verdicts added in two parts, the cache read back and its repeats settled."""
+    """Verdicts added in two parts with a compaction between them, the cache read back and its repeats settled."""
     path, v = shared.folder(spark, "verdicts"), b.verdicts(spark, sf)
     for part in (v.filter("allowed = 1"), v.filter("allowed = 0")):
         writers.verdicts(part, path)
+        if not shared.exists(f"{path}/whole.json"):
+            writers.compact_verdicts(spark, path)
     found = readers.verdict_cache(spark, path)
     return mapper.merged(found.limit(0), found).select("rxn_key", "allowed", "status")
 
@@ -711,6 +723,14 @@ def species_verdicts(spark, sf):
     return _decided(spark, sf).select("entry_id", "rule", "verdict")
 
 
+@query("""SELECT s_name AS entry_id, CASE WHEN s_suppkey % 3 = 0 AND s_nationkey % 2 = 1 THEN 'bad_coordination' WHEN s_suppkey % 3 = 0 THEN 'carbon_only'
+WHEN s_suppkey % 3 = 1 THEN 'metal_complex' ELSE 'kept' END AS rule FROM supplier""")
+def sodium_verdicts(spark, sf):
+    """Sodium's own rule, a metal on carbon alone, and parts that only a metal holds together."""
+    env = pool.Environment.named("na_ec")
+    return pool.decided(pool.with_graphs(pool.flattened(b.sodium(spark, sf)), env), env).select("entry_id", "rule")
+
+
 @query("SELECT rule, count(*) AS n FROM mol_b WHERE rule <> 'kept' GROUP BY rule")
 def species_exclusions(spark, sf):
     return pool.exclusion_counts(_decided(spark, sf))
@@ -795,6 +815,36 @@ def far_edits(spark, sf):
     return mapper.map_reactions(rows, 10.0).select("rxn_key", "n_bonds_broken", "status")
 
 
+_CASCADE_SOURCE = "CASE WHEN odd = 1 AND cc + co + ch > 3 THEN 'prefilter' WHEN kind < 4 AND has_o = 1 THEN 'cache' ELSE 'mapper' END"
+
+
+@query(f"SELECT entry_id, {_CASCADE_SOURCE} AS decided_by, {_CASCADE_SOURCE} = 'mapper' AS kept FROM mol_b WHERE ({b.CHAIN} OR {b.RING}) AND cc + co + ch > 0")
+def mapper_cascade(spark, sf):
+    """Molecules to themselves less a bond, or less all of four and more: bond counts, then the cache, then the mapper decide.
+
+    The cache rejects what holds oxygen; what it says of rings is another version's, and void.
+    """
+    env, none = pool.Environment.named("li_ec"), F.array().cast("array<struct<u:int,v:int,ord:int>>")
+    m = b.molecules(spark, sf).join(b.table(spark, sf, "supplier").selectExpr(*b.MOLECULES).selectExpr("entry_id AS molecule_id", "kind", "odd", "has_o"), "molecule_id")
+    m = m.filter(f"({b.CHAIN} OR {b.RING}) AND size(bonds) > 0")
+    less = F.when((F.col("odd") == 1) & (F.size("bonds") > 3), none).otherwise(F.slice("bonds", 1, F.size("bonds") - 1))
+    names = ["charge", "is_metal", "atoms", "bonds", "full_hash", "bond_counts"]
+    side = lambda d, name: pool.with_graphs(pool.flattened(d), env).select("entry_id", F.struct(*names).alias(name))
+    rows = side(m, "r1").join(side(m.withColumn("bonds", less), "p1"), "entry_id").join(m.select(F.col("molecule_id").alias("entry_id"), "kind", "has_o"), "entry_id")
+    rows = rows.withColumns({k: F.lit(NONE) for k in enumeration.KEYS} | {s: F.lit(None).cast(rows.schema["r1"].dataType) for s in ("r2", "p2")})
+    rows = shared.written(rows, "reactions")
+    void = F.when(F.col("kind") == 4, "0.9").otherwise(mapper.S.MAPPER_VERSION)
+    cache = mapper.reaction_keys(rows.filter("kind = 4 OR has_o = 1")).groupBy("rxn_key").agg(F.min(void).alias("mapper_version"))
+    cache = shared.written(cache.selectExpr("rxn_key", "0 AS allowed", "'rejected' AS status", "0.0D AS elapsed", "0.0D AS ts", "mapper_version"), "cache")
+    staged, new = mapper.mapper_stage(rows, rules.Context(ELECTRON), cache, 10.0, 3)
+    new = shared.written(new, "verdicts")
+    known = mapper.current(cache).select("rxn_key", "allowed", "status", F.lit("cache").alias("decided_by"))
+    every = known.unionByName(new.select("rxn_key", "allowed", "status", F.lit("mapper").alias("decided_by")))
+    kept = mapper.verdicts(staged, every).select("entry_id", F.lit(True).alias("kept"))
+    by = staged.join(every.select("rxn_key", "decided_by"), "rxn_key").select("entry_id", "decided_by")
+    return rows.select("entry_id").join(by, "entry_id", "left").join(kept, "entry_id", "left").select("entry_id", F.coalesce("decided_by", F.lit("prefilter")).alias("decided_by"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 # --- streaming over both sides of reactions
 
 

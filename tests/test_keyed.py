@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from fluxloom import schema as S
 from fluxloom import shared
 from fluxloom.config import RunConfig
 from fluxloom.operators import bucketing, enumeration
@@ -278,3 +279,51 @@ def test_pathways_of_one_long_and_many_short_seeds(spark):
     want = plain_pathways(net, [x for x in log if x[2] >= 0], absent)
     assert {(r.seed, r.species_id): r.pathway for r in d.collect()} == want
     assert max(map(len, want.values())) > 290 and analysis.pathways(network, spark.createDataFrame([], "seed long, step int, reaction_id long"), initial).count() == 0
+
+
+def verdict_rows(spark, *rows):
+    return spark.createDataFrame([(k, a, "allowed" if a else "rejected", 0.1, float(ts), v) for k, a, ts, v in rows], S.VERDICTS)
+
+
+def test_compaction_keeps_the_latest_of_each_key_and_what_is_added_meanwhile(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cache")
+    seen = lambda: sorted((r.rxn_key, r.allowed, r.ts) for r in readers.verdict_cache(spark, path).collect())
+    assert writers.compact_verdicts(spark, path) == 0 and seen() == []
+    writers.verdicts(verdict_rows(spark, ("a", 1, 1, "1.0.0"), ("b", 1, 1, "0.9")), path)
+    writers.verdicts(verdict_rows(spark, ("a", 0, 2, "1.0.0"), ("c", 1, 1, "1.0.0")), path)
+    early = readers.verdict_cache(spark, path)
+    assert writers.compact_verdicts(spark, path) == 2 and seen() == [("a", 0, 2.0), ("c", 1, 1.0)]  # b is another version's
+    assert early.count() == 4  # who began before reads on
+    # Added between the compaction's reading and its record.
+    own = writers.record
+    with monkeypatch.context() as m:
+        m.setattr(writers, "record", lambda *a: (writers.verdicts(verdict_rows(spark, ("d", 1, 5, "1.0.0")), path), own(*a)))
+        assert writers.compact_verdicts(spark, path) == 2
+    assert seen() == [("a", 0, 2.0), ("c", 1, 1.0), ("d", 1, 5.0)]
+    # Cut off before the record: the cache is as it was, and the next compaction goes through.
+    with monkeypatch.context() as m:
+        m.setattr(writers, "record", lambda *a: (_ for _ in ()).throw(RuntimeError("cut off")))
+        with pytest.raises(RuntimeError, match="cut off"):
+            writers.compact_verdicts(spark, path)
+    assert seen() == [("a", 0, 2.0), ("c", 1, 1.0), ("d", 1, 5.0)]
+    assert writers.compact_verdicts(spark, path) == 3 and len(readers.verdict_parts(path)) == 1
+
+
+def test_appends_and_compactions_at_once_lose_nothing(spark, tmp_path):
+    path, failed = str(tmp_path / "cache"), []
+
+    def add():
+        try:
+            for i in range(6):
+                writers.verdicts(verdict_rows(spark, (f"k{i}", 1, i, "1.0.0")), path)
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    t = threading.Thread(target=add)
+    t.start()
+    while t.is_alive():
+        writers.compact_verdicts(spark, path)
+    t.join()
+    assert not failed and {r.rxn_key for r in readers.verdict_cache(spark, path).collect()} == {f"k{i}" for i in range(6)}
+    assert writers.compact_verdicts(spark, path) == 6
+
