@@ -44,6 +44,7 @@ def test_imports_without_the_training_data_subpackage(tmp_path):
 
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "fluxloom", tmp_path / "fluxloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert 'flux' in e.queries() and not any(k.startswith('op') for k in e.queries())"
+    code = "import __spark_entry__ as e; assert {'flux', 'job1_firing_ledger'} <= set(e.queries()) and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})

@@ -160,3 +160,16 @@ def test_settings_that_are_none(tmp_path):
     (tmp_path / "c.json").write_text('{"colour": 1}')
     with pytest.raises(ValueError, match="colour"):
         settings(seed_evidence.__file__, str(tmp_path / "c.json"))
+
+
+@pytest.mark.parametrize("job", [firing_ledger, seed_evidence])
+def test_registered_query_equals_its_sql(spark, sf_dir, job):
+    con = duckdb.connect()
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    d = con.sql(job.SQL)
+    want = sorted((tuple(r) for r in d.select(*(duckdb.ColumnExpression(c) for c in sorted(d.columns))).fetchall()), key=str)
+    settings_before = {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql")}
+    assert rows_of(job.query(spark, sf_dir)) == want and want
+    assert {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql")} == settings_before
+
