@@ -53,7 +53,13 @@ def path(url: Column) -> Column:
 
 def _name(host_: Column) -> Column:
     """The host without user, port and dots at the end."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host_, r"(?s)^.*@", ""), r":[0-9]*$", ""), r"\.+$", "")
+    return F.rtrim(F.regexp_replace(F.regexp_replace(host_, r"(?s)^.*@", ""), r":[0-9]*$", ""), F.lit("."))
+
+
+def _last(name: Column, k: int) -> Column:
+    """The last k labels, in time linear in the name; empty of a name with fewer."""
+    labels = F.split(name, r"\.")
+    return F.when(F.size(labels) >= k, F.array_join(F.slice(labels, -k, k), ".")).otherwise("")
 
 
 def _address(name: Column) -> Column:
@@ -62,14 +68,14 @@ def _address(name: Column) -> Column:
 
 def suffix(host_: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     name = _name(host_)
-    two = F.regexp_extract(name, r"(?s)([^.]*\.[^.]*)$", 1)
-    return F.when(_address(name), F.lit("")).when(two.isin(*suffixes), two).otherwise(F.regexp_extract(name, r"(?s)([^.]*)$", 1))
+    two = _last(name, 2)
+    return F.when(_address(name), F.lit("")).when(two.isin(*suffixes), two).otherwise(_last(name, 1))
 
 
 def domain(host_: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """The registered domain: a suffix and the label before it; the name itself if it has no more."""
     name = _name(host_)
-    two, three = (F.regexp_extract(name, rf"(?s)((?:[^.]*\.){{{k}}}[^.]*)$", 1) for k in (1, 2))
+    two, three = _last(name, 2), _last(name, 3)
     own = F.when(two.isin(*suffixes), three).otherwise(two)
     return F.when(_address(name) | (own == ""), name).otherwise(own)
 
@@ -175,7 +181,7 @@ def oracle_sql() -> str:
 ), o AS (
   SELECT host, bad FROM (SELECT host, TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.html)?/?$', 1) AS BIGINT) AS shown FROM p) JOIN l ON shown = doc_id WHERE bad IS NOT NULL
 ), named AS (
-  SELECT host, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS name,
+  SELECT host, rtrim(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '.') AS name,
     CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS y
   FROM (SELECT DISTINCT host FROM p) LEFT JOIN o USING (host) GROUP BY host
 ), parts AS (

@@ -104,6 +104,7 @@ URLS = [
     None, "", "no scheme", "mailto:a@b.c", "http://", "HTTP://Example.COM/de/1", "http://example.com/de", "http://example.com/de/?x=/fr/", "http://a.b.example.net/en/5", "http://example.net/fr/2", "http://net/", "http://net",
     "http://org/fr/x", "http://x.org/fr/", "http://x.org/FR/", "http://notexample.com/de/9", "http://ÉCOLE.org/fr/#a/b", "http://x.net?/en/", "http://x.net#/en/", "a://b://c.net/d", "http://u:p@x.net:80/q", "http://x.net:80/",
     "http://x.com./y\nz?q", "://x.org/fr/\nfr", "http://" + "a" * 70_000 + ".net/en/", "http://example.net/en/" + "x" * 70_000 + "/12",
+    "http://" + "." * 50_000 + "x", "http://" + "a.b" * 30_000 + "@c.org:1" + "." * 9,
 ]
 
 
