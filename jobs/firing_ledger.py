@@ -57,7 +57,8 @@ def run(spark: SparkSession, events: str, network: str, out: str, checkpoint: st
     net, size = parts.selectExpr(*bridge.NETWORK), parts.count()
     schema = spark.read.parquet(events).schema
     # A pattern that matches the path alone: the source takes a single file then, too.
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", c["files_per_batch"]).parquet(f"{events[:-1]}[{events[-1]}]")
+    path = events.rstrip("/")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", c["files_per_batch"]).parquet(f"{path[:-1]}[{path[-1]}]")
     firings = stream.select(F.date_format(c["time"], "yyyy-MM-dd").alias("day"), F.col(c["seed"]).cast("long").alias("seed"), (F.col("event_id") % max(1, size)).alias("reaction_id"))
     at = out.rstrip("/")
     query = live.append_batches(firings, lambda rows: additions(rows, net), f"{at}/ledger", checkpoint)

@@ -108,7 +108,7 @@ def test_ledger_of_odd_firings(spark, tmp_path):
     parts.write.parquet(str(tmp_path / "part.parquet"))
     events = spark.createDataFrame([(1, None, 1, 0, 0, 0.0), (1, None, 1, 0, 0, 0.0), (None, None, 2, 0, 0, 0.0), (2, None, None, 0, 0, 0.0)], FIRINGS)
     events.limit(0).write.parquet(str(tmp_path / "e.parquet"))
-    run = lambda: firing_ledger.run(spark, str(tmp_path / "e.parquet"), str(tmp_path / "part.parquet"), str(tmp_path / "out"), str(tmp_path / "c"))
+    run = lambda: firing_ledger.run(spark, str(tmp_path / "e.parquet") + "/", str(tmp_path / "part.parquet"), str(tmp_path / "out"), str(tmp_path / "c"))
     assert run().count() == 0
     events.write.mode("append").parquet(str(tmp_path / "e.parquet"))
     got = run()
