@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.llm import common, graph
@@ -35,8 +35,8 @@ from fluxloom.llm import common, graph
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 BUCKET_MEMBERS = 2048
 HOT_SHARE = 2000
-#: Hashes of an id in the filter of dropped ids, and its largest size: 16 MB, for which some 8 million ids are few.
-FILTER_HASHES, MAX_FILTER_BITS = 4, 1 << 27
+#: Blocks of 4,096 positions whose kept rows are applied at once: some 40 MB where files have long paths.
+GROUP_BLOCKS = 1 << 16
 
 
 def fingerprint(text: str) -> int:
@@ -146,11 +146,13 @@ def star_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(centres, "v").filter("fp != c").select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct()
 
 
-def labelled(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", bucket_members: int = BUCKET_MEMBERS) -> tuple[DataFrame, DataFrame]:
-    """doc_id, fp of each row; and fp, component_id, root (the component's first fingerprint) of each class."""
+def labelled(
+    docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", bucket_members: int = BUCKET_MEMBERS, carried: tuple[Column, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp and the carried columns of each row; and fp, component_id, root (the component's first fingerprint) of each class."""
     common.prepare(docs.sparkSession)
     with common.scratch() as stay:
-        rows = common.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")), "fingerprints")
+        rows = common.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"), *carried), "fingerprints")
         classes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
         nodes = common.written(graph.components(links(classes.select("fp"), radius, bucket_members)), "components")
         linked = nodes.join(classes, F.col("node") == F.col("fp")).select("node", "root", "first")
@@ -181,57 +183,54 @@ def components(docs: DataFrame, **more) -> DataFrame:
     return with_labels(rows, labels).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _positions(bits: int) -> Column:
-    """Places of an id in a filter of so many bits, a power of two."""
-    return F.array(*(F.xxhash64("doc_id", F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(FILTER_HASHES)))
+def _kept_blocks(kept: DataFrame) -> DataFrame:
+    """path, at of rows -> path, block, words: a bit for each of a block's 4,096 positions, set where a row is kept."""
+    words = kept.groupBy("path", F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    held = words.groupBy("path", F.shiftright("w", 6).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("w").bitwiseAND(F.lit(63)), "bits"))).alias("m"))
+    return held.select("path", "block", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0).cast("long"))).alias("words"))
 
 
-def _filter(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the ids: its words, and its bits.  MAX_FILTER_BITS bound it, however many there are."""
-    bits = min(MAX_FILTER_BITS, max(64, 1 << (16 * max(1, n) - 1).bit_length()))
-    at = ids.select(F.explode(_positions(bits)).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b"))
-    words = np.zeros(bits // 64, np.int64)
-    for r in at.toLocalIterator():
-        words[r.w] = r.b
-    return words.view(np.uint64), bits
+def at_positions(table: DataFrame, kept: DataFrame, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
+    """The rows of a table in Parquet files that lie at the kept positions (path, at; none twice).
 
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs with one row of each component: the smallest id's; of rows that share it, the first by text hash.
-
-    Rows whose id a filter of the dropped ids doesn't know are kept where they
-    lie.  The others (those dropped, and the few that the filter takes for them)
-    are decided by a join with the kept ids; with more dropped ids than the filter
-    has room for, ever more rows go that way, and all results stay the same.
+    A row is decided where its file is read, by the bits of its block: no row of
+    the table is moved.  The bits are broadcast.  Beyond group_blocks blocks they go
+    out group by group, each with its own files alone, and each group's rows are
+    written before the next one begins, so what is broadcast and what the driver
+    holds is bounded whatever the table's size.
+    """
+    spark = table.sparkSession
+    blocks = common.written(_kept_blocks(kept), "blocks")
+    groups = max(1, -(-blocks.count() // group_blocks))
+    place = table.metadataColumn("_metadata")
+    rows = table.select(F.struct(*(F.col(f"`{n}`") for n in table.columns)).alias("row"), place.getField("file_path").alias("path"), place.getField("row_index").alias("at"))
+    group = F.pmod(F.xxhash64("path"), F.lit(groups))
+
+    def of(g: int) -> DataFrame:
+        some, own = (rows, blocks) if groups == 1 else (rows.filter(group == g), blocks.filter(group == g))
+        found = some.withColumn("block", F.shiftright("at", 12)).join(F.broadcast(own), ["path", "block"])
+        return found.filter("shiftright(words[CAST(shiftright(at, 6) & 63 AS INT)], CAST(at & 63 AS INT)) & 1 = 1").select("row.*")
+
+    if groups == 1:
+        return of(0)
+    path = common.folder(spark, "positions")
+    for g in range(groups):
+        of(g).write.mode("append").parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, group_blocks: int = GROUP_BLOCKS, **more) -> DataFrame:
+    """docs with one row of each component: the smallest id's; of rows that share it, the first by text hash, then by the other columns'.
+
+    What is decided about a row goes by its place (file and position), so texts
+    stay where they lie however many are dropped.  docs that aren't one table in
+    Parquet files as it stands are written first: stored says that they are, as a
+    table from common.written() is.
     """
-    rows, labels = labelled(docs, id_col=id_col, text_col=text_col, **more)
-    decided = with_labels(rows, labels).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays"))
-    # For each id: rows that stay, and rows in all.
-    ids = common.written(decided.groupBy("doc_id").agg(F.count_if("stays").alias("n"), F.count("*").alias("rows")), "ids")
-    kept, unsure = ids.filter("n > 0").select("doc_id", "n", "rows"), ids.filter("n = 0 OR rows > 1").filter("doc_id IS NOT NULL").select("doc_id")
-    spark = docs.sparkSession
-    words, bits = _filter(unsure, unsure.count())
-    held = spark.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def known(p: pd.Series) -> pd.Series:
-        at, w = np.array(p.tolist(), np.int64).reshape(-1, FILTER_HASHES), held.value
-        return pd.Series((w[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=1))
-
-    key = F.col(f"`{id_col}`").cast("long")
-    flagged = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), key.alias("doc_id"))
-    flagged = flagged.withColumn("known", F.col("doc_id").isNull() | known(_positions(bits)))
-    sure = flagged.filter("NOT known").select("row.*")
-    rest = flagged.filter("known").select("row", F.col("doc_id").alias("kept_id"))
-    one = kept.filter("rows = 1 AND doc_id IS NOT NULL").select("doc_id")
-    # As a merge join at every size: broadcasting ids would be bound to the corpus' growth.
-    single = sure.unionByName(rest.join(one.hint("merge"), F.col("kept_id") == F.col("doc_id"), "left_semi").select("row.*"))
-    # Ids on several rows, and null ids, are rare: one row for each id and component.
-    many = kept.filter("rows > 1 OR doc_id IS NULL").select("doc_id")
-    if many.isEmpty():
-        return single
-    again = rest.join(many, F.col("kept_id").eqNullSafe(F.col("doc_id")), "left_semi")
-    again = again.select("row", "kept_id", fingerprints(F.col(f"row.`{text_col}`")).alias("fp"), F.xxhash64(F.col(f"row.`{text_col}`")).alias("h"))
-    again = again.join(labels, "fp").filter(F.col("kept_id").eqNullSafe(F.col("component_id")))
-    first = F.row_number().over(Window.partitionBy("root", "kept_id").orderBy("h", F.xxhash64(F.to_json("row"))))
-    return single.unionByName(again.withColumn("n", first).filter("n = 1").select("row.*"))
+    table = docs if stored or hasattr(docs, "shared_path_") else common.written(docs, "texts")
+    place = table.metadataColumn("_metadata")
+    others = F.struct(*(F.col(f"`{n}`") for n in table.columns if n != text_col))
+    carried = (F.xxhash64(f"`{text_col}`").alias("h"), F.xxhash64(F.to_json(others)).alias("more"), place.getField("file_path").alias("path"), place.getField("row_index").alias("at"))
+    rows, labels = labelled(table, id_col=id_col, text_col=text_col, carried=carried, **more)
+    first = with_labels(rows, labels).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("h", "more", "path", "at")).alias("row"))
+    return at_positions(table, first.select("row.path", "row.at"), group_blocks)

@@ -91,15 +91,41 @@ def test_near_copies(spark):
     assert simhash.components(df.limit(0)).count() == 0 and simhash.near_dedup(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bits", [64, 1 << 27])
-def test_filter_of_any_size_drops_the_same(spark, monkeypatch, bits):
-    monkeypatch.setattr(simhash, "MAX_FILTER_BITS", bits)
+@pytest.mark.parametrize("group_blocks", [1, 1 << 16])
+def test_positions_in_groups_of_any_size_drop_the_same(spark, group_blocks):
     texts = [prose(i, 60) for i in range(60)]
     rows = [(i, texts[i % 60], "en", "s") for i in range(200)] + [(500, texts[1], "en", "s"), (500, prose(999, 70), "en", "s"), (None, prose(998, 70), None, None)]
-    got = simhash.near_dedup(frame(spark, rows))
+    got = simhash.near_dedup(frame(spark, rows).repartition(7), group_blocks=group_blocks)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([*((i, texts[i]) for i in range(60)), (500, prose(999, 70)), (None, prose(998, 70))], key=str)
 
 
+def test_rows_of_one_id_are_chosen_by_hashes_not_by_place(spark):
+    text = prose(5, 80)
+    rows = [(4, text, "en", f"source {i}") for i in range(9)] + [(8, text, "en", "s")]
+    chosen = {tuple(simhash.near_dedup(frame(spark, r).coalesce(n)).select("doc_id", "source").first()) for r in (rows, rows[::-1]) for n in (1, 3)}
+    assert len(chosen) == 1 and chosen.pop()[0] == 4
+
+
+@pytest.mark.parametrize("group_blocks", [3, 1 << 16])
+def test_places_in_files_of_many_blocks(spark, tmp_path, group_blocks):
+    path = str(tmp_path / "t")
+    spark.range(0, 30_000, 1, 3).selectExpr("id AS at", "cast(id % 7 AS string) AS path", "'x' AS `row`").write.partitionBy("path").parquet(path)
+    table = spark.read.parquet(path)
+    place = table.metadataColumn("_metadata")
+    every = table.select("at", place.getField("file_path").alias("p"), place.getField("row_index").alias("i"))
+    wanted = every.filter("at % 3 = 1 OR at BETWEEN 9000 AND 14000")
+    got = simhash.at_positions(table, wanted.selectExpr("p AS path", "i AS at"), group_blocks)
+    assert got.columns == table.columns and sorted(r.at for r in got.collect()) == [i for i in range(30_000) if i % 3 == 1 or 9000 <= i <= 14_000]
+    assert simhash.at_positions(table, wanted.selectExpr("p AS path", "i AS at").limit(0)).count() == 0
+
+
+def test_near_dedup_moves_no_text(spark):
+    docs = simhash.common.written(frame(spark, [(i, prose(i // 5, 60), "en", "s") for i in range(100)]), "texts")
+    plan = simhash.near_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moved) == 1 and "BroadcastExchange" in moved[0] and "SortMergeJoin" not in plan
+
+
 # --- quality
 
 
