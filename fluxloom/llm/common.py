@@ -16,6 +16,7 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_places(df: DataFrame) -> bool:
+    """Whether df is a table of Parquet files as it stands, so that a row's file and position in it name the row."""
+    try:
+        df.select(df.metadataColumn("_metadata").getField("row_index"))
+    except AnalysisException:
+        return False
+    return df._jdf.queryExecution().analyzed().children().isEmpty()
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone, null text as empty."""
     return docs.select(

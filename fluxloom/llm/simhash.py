@@ -219,15 +219,14 @@ def at_positions(table: DataFrame, kept: DataFrame, group_blocks: int = GROUP_BL
     return spark.read.schema(table.schema).parquet(path)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, group_blocks: int = GROUP_BLOCKS, **more) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_blocks: int = GROUP_BLOCKS, **more) -> DataFrame:
     """docs with one row of each component: the smallest id's; of rows that share it, the first by text hash, then by the other columns'.
 
     What is decided about a row goes by its place (file and position), so texts
-    stay where they lie however many are dropped.  docs that aren't one table in
-    Parquet files as it stands are written first: stored says that they are, as a
-    table from common.written() is.
+    stay where they lie however many are dropped.  docs that aren't a table of
+    Parquet files as it stands are written first.
     """
-    table = docs if stored or hasattr(docs, "shared_path_") else common.written(docs, "texts")
+    table = docs if common.with_places(docs) else common.written(docs, "texts")
     place = table.metadataColumn("_metadata")
     others = F.struct(*(F.col(f"`{n}`") for n in table.columns if n != text_col))
     carried = (F.xxhash64(f"`{text_col}`").alias("h"), F.xxhash64(F.to_json(others)).alias("more"), place.getField("file_path").alias("path"), place.getField("row_index").alias("at"))

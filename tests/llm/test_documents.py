@@ -119,6 +119,13 @@ def test_places_in_files_of_many_blocks(spark, tmp_path, group_blocks):
     assert simhash.at_positions(table, wanted.selectExpr("p AS path", "i AS at").limit(0)).count() == 0
 
 
+def test_tables_with_places(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    assert simhash.common.with_places(docs)
+    others = [docs.filter("doc_id > 0"), docs.unionByName(docs), docs.join(labels, "doc_id"), spark.range(3), docs.selectExpr("doc_id AS _metadata"), docs.groupBy("lang").count()]
+    assert not any(map(simhash.common.with_places, others))
+
+
 def test_near_dedup_moves_no_text(spark):
     docs = simhash.common.written(frame(spark, [(i, prose(i // 5, 60), "en", "s") for i in range(100)]), "texts")
     plan = simhash.near_dedup(docs)._jdf.queryExecution().executedPlan().toString()
