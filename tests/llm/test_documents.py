@@ -119,6 +119,13 @@ def test_places_in_files_of_many_blocks(spark, tmp_path, group_blocks):
     assert simhash.at_positions(table, wanted.selectExpr("p AS path", "i AS at").limit(0)).count() == 0
 
 
+def test_near_dedup_beside_columns_of_its_own_names(spark):
+    names = ["_metadata", "path", "at", "block", "words", "h", "root"]
+    rows = [(1, "a b c d", *range(7)), (2, "a b c d", *range(7)), (3, "other words here now", *range(7))]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)))
+    assert got.columns == ["doc_id", "text", *names] and sorted(got.collect()) == [rows[0], rows[2]]
+
+
 def test_tables_with_places(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
     assert simhash.common.with_places(docs)
