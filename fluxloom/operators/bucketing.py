@@ -14,6 +14,8 @@ from fluxloom.operators import ordering
 from fluxloom.schema import NONE
 
 BLOCKS, GROUP_SIZE = 32, 1000
+#: Ranges of s1 that a composition's rows are numbered in.
+CHUNKS = 256
 
 
 def tasks_of(spark: SparkSession) -> int:
@@ -68,12 +70,26 @@ def complexes(
     return out
 
 
-def grouped(rows: DataFrame, elements: list[str], group_size: int = GROUP_SIZE) -> DataFrame:
-    """composition_id by order of composition, group_id counting each group_size rows of one."""
-    order = Window.partitionBy(*elements).orderBy("s1", "s2")
+def grouped(rows: DataFrame, elements: list[str], group_size: int = GROUP_SIZE, chunks: int = CHUNKS) -> DataFrame:
+    """composition_id by order of composition, group_id counting each group_size rows of one in order of s1, s2.
+
+    A popular composition is numbered in ranges of s1, each in a task of its own:
+    their sizes are counted first and added up.
+    """
+    low, high = rows.agg(F.min("s1"), F.max("s1")).first()
+    if low is None:
+        low, high = 0, 0
+    width = (high - low) // chunks + 1
+    d = rows.withColumn("chunk", F.floor((F.col("s1") - F.lit(low)) / F.lit(width)).cast("int"))
+    keys = [*elements, "chunk"]
+    sizes = d.groupBy(*keys).agg(F.count("*").alias("n"))
+    # At most chunks rows for each composition.
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(*elements).orderBy("chunk")) - F.col("n"))
     ids = ordering.numbered(rows.select(*elements).distinct(), elements, "composition_id", kind="int")
-    g = F.floor((F.row_number().over(order) - 1) / F.lit(group_size)).cast("int")
-    return rows.withColumn("group_id", g).join(ids, elements)
+    at = before.join(ids, elements).select(*keys, "before", "composition_id")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("s1", "s2")) - 1
+    group = F.floor((F.col("before") + F.col("number")) / F.lit(group_size)).cast("int").alias("group_id")
+    return d.withColumn("number", number).join(at, keys).select(*elements, *(c for c in rows.columns if c not in elements), group, "composition_id")
 
 
 def group_counts(rows: DataFrame, group_size: int = GROUP_SIZE) -> DataFrame:

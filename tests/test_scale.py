@@ -28,3 +28,17 @@ def test_rows_of_species_with_one_id_pair_as_often_as_in_sql(spark):
     d = species(spark, 3).unionByName(species(spark, 1))
     index = Counter(tuple(r) for r in enumeration.product_index(d, E).select("p1", "p2").collect())
     assert index == {(0, -1): 2, (1, -1): 1, (2, -1): 1, (0, 0): 4, (0, 1): 2, (0, 2): 2, (1, 1): 1, (1, 2): 1, (2, 2): 1}
+
+
+@pytest.mark.parametrize("chunks", [1, 7, 256])
+def test_groups_of_a_popular_composition_are_numbered_in_ranges(spark, chunks):
+    rows = spark.range(500).selectExpr("CAST(id * 37 % 500 AS INT) AS s1", "CAST(CASE WHEN id % 2 = 0 THEN -1 ELSE id + 500 END AS INT) AS s2", "CAST(0 AS INT) AS n_c", "CAST(id % 10 = 0 AS INT) AS n_h")
+    grouped = bucketing.grouped(rows, E, 3, chunks)
+    want = {}
+    for h in (0, 1):
+        for k, r in enumerate(sorted((r.s1, r.s2) for r in rows.filter(f"n_h = {h}").collect())):
+            want[r] = (h, k // 3)
+    assert {(r.s1, r.s2): (r.composition_id, r.group_id) for r in grouped.collect()} == want
+    number = grouped._jdf.queryExecution().analyzed().toString()
+    assert "row_number() windowspecdefinition(n_c" in number and number.split("row_number() windowspecdefinition(")[1].split("s1")[0].count("chunk") == 1
+    assert bucketing.grouped(rows.limit(0), E).count() == 0
