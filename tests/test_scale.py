@@ -42,3 +42,16 @@ def test_groups_of_a_popular_composition_are_numbered_in_ranges(spark, chunks):
     number = grouped._jdf.queryExecution().analyzed().toString()
     assert "row_number() windowspecdefinition(n_c" in number and number.split("row_number() windowspecdefinition(")[1].split("s1")[0].count("chunk") == 1
     assert bucketing.grouped(rows.limit(0), E).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 30])
+def test_candidates_are_counted_by_composition(spark, n, monkeypatch):
+    d, core = species(spark, n), species(spark, n).filter("ind % 4 = 1").select("ind")
+    c = bucketing.complexes(d, core, E)
+    rows = enumeration.candidates(c, enumeration.product_index(d, E), E).collect()
+    monkeypatch.setattr(enumeration, "candidates", None)  # none are made
+    got = enumeration.candidate_totals(d, core, E).first()
+    assert (got.n, got.checksum) == (len(rows), sum(map(sum, rows)) if rows else None)
+    assert enumeration.unique_ids(d) and not enumeration.unique_ids(species(spark, 3).unionByName(species(spark, 1)))
+    big = spark.sql("SELECT CAST('36893488147419103237' AS DECIMAL(38,0)) AS x, CAST('9223372036854775808' AS DECIMAL(38,0)) AS y")
+    assert tuple(big.select(enumeration.wrapped(F.col("x")), enumeration.wrapped(F.col("y"))).first()) == (5, -(1 << 63))
