@@ -85,7 +85,7 @@ def candidate_totals(species: DataFrame, core: DataFrame, elements: list[str]) -
     )
     n = F.sum(F.expr("CAST(n_r * n_p - n_r AS DECIMAL(38,0))"))
     total = F.sum(F.expr("CAST(ids_r * n_p + ids_p * n_r - 2 * ids_r AS DECIMAL(38,0))"))
-    return sides.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n"), wrapped(total).alias("checksum"))
+    return sides.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n"), F.when(n > 0, wrapped(total)).alias("checksum"))
 
 
 def wrapped(total: Column) -> Column:
