@@ -55,3 +55,15 @@ def test_candidates_are_counted_by_composition(spark, n, monkeypatch):
     assert enumeration.unique_ids(d) and not enumeration.unique_ids(species(spark, 3).unionByName(species(spark, 1)))
     big = spark.sql("SELECT CAST('36893488147419103237' AS DECIMAL(38,0)) AS x, CAST('9223372036854775808' AS DECIMAL(38,0)) AS y")
     assert tuple(big.select(enumeration.wrapped(F.col("x")), enumeration.wrapped(F.col("y"))).first()) == (5, -(1 << 63))
+
+
+def test_a_tally_is_exported_without_the_driver(spark, tmp_path, monkeypatch):
+    from fluxloom.sources import writers
+
+    monkeypatch.setattr(writers, "record", None)
+    tally = spark.createDataFrame([(1, 7), (2, 5)], "reaction_id long, firings long")
+    net = spark.createDataFrame([(1, 0, -1, 1, 2), (2, 1, 2, 0, -1), (3, 0, -1, 2, -1)], "reaction_id long, reactant_1 int, reactant_2 int, product_1 int, product_2 int")
+    names = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "ind int, entry_id string")
+    writers.tally_rows(tally, net, names, str(tmp_path / "tally"))
+    got = spark.read.json(str(tmp_path / "tally"))
+    assert {(r.reaction_id, r.firings, tuple(r.reactants), tuple(r.products)) for r in got.collect()} == {(1, 7, ("a",), ("b", "c")), (2, 5, ("b", "c"), ("a",))}
