@@ -88,11 +88,15 @@ def state_series(network: DataFrame, log: DataFrame, initial: DataFrame) -> Data
 
 def padded_series(series: DataFrame, initial: DataFrame, n_steps: int, seeds: DataFrame) -> DataFrame:
     """series on every step below n_steps: the last count held, the initial one before the first change."""
-    grid = seeds.select("seed", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("step"))
-    pairs = series.select("seed", "species_id").distinct()
-    d = grid.join(pairs, "seed").join(series, ["seed", "species_id", "step"], "left").join(initial.withColumnRenamed("count", "start"), "species_id", "left")
-    last = F.last("count", ignorenulls=True).over(Window.partitionBy("seed", "species_id").orderBy("step"))
-    return d.select("seed", "step", "species_id", F.coalesce(last, "start", F.lit(0)).cast("long").alias("count"))
+    # Each row stands until the next one, a pair's first also for the steps before it: no table of all steps is joined or sent to machines.
+    order = Window.partitionBy("seed", "species_id").orderBy("step")
+    since = F.when(F.lag("step").over(order).isNull(), F.lit(0)).otherwise(F.col("step"))
+    until = F.least(F.coalesce(F.lead("step").over(order), F.lit(n_steps)), F.lit(n_steps)) - 1
+    d = series.join(seeds, "seed", "left_semi").select("seed", "species_id", F.col("step").alias("at"), "count", since.alias("since"), until.alias("until"))
+    d = d.filter("since <= until").join(initial.withColumnRenamed("count", "start"), "species_id", "left")
+    d = d.select("seed", "species_id", "at", "count", "start", F.explode(F.sequence("since", "until")).alias("step"))
+    held = F.when(F.col("step") >= F.col("at"), F.col("count"))
+    return d.select("seed", "step", "species_id", F.coalesce(held, "start", F.lit(0)).cast("long").alias("count"))
 
 
 def mean_series(network: DataFrame, log: DataFrame, initial: DataFrame, n_steps: int, n_seeds: int) -> DataFrame:

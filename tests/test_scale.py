@@ -1,5 +1,6 @@
 """Plans that grow with their input: what a task holds, and what goes through the driver."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -67,3 +68,35 @@ def test_a_tally_is_exported_without_the_driver(spark, tmp_path, monkeypatch):
     writers.tally_rows(tally, net, names, str(tmp_path / "tally"))
     got = spark.read.json(str(tmp_path / "tally"))
     assert {(r.reaction_id, r.firings, tuple(r.reactants), tuple(r.products)) for r in got.collect()} == {(1, 7, ("a",), ("b", "c")), (2, 5, ("b", "c"), ("a",))}
+
+
+def test_a_padded_series_joins_no_table_of_steps(spark):
+    from fluxloom.operators import analysis
+
+    series = spark.createDataFrame([(1, 2, 7, 5), (1, 4, 7, 6), (1, 9, 7, 1), (1, 12, 8, 3), (2, 0, 7, 4), (3, 1, 7, 9)], "seed long, step int, species_id int, count long")
+    initial = spark.createDataFrame([(7, 50)], "species_id int, count int")
+    padded = analysis.padded_series(series, initial, 6, spark.createDataFrame([(1,), (2,)], "seed long"))
+    got = sorted(tuple(r) for r in padded.select("seed", "species_id", "step", "count").collect())
+    want = [(1, 7, i, [50, 50, 5, 5, 6, 6][i]) for i in range(6)] + [(1, 8, i, 0) for i in range(6)] + [(2, 7, i, 4) for i in range(6)]
+    assert got == want and "sequence(0, 5" not in padded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_seeds_are_looked_up_at_once(spark):
+    from fluxloom.operators import species as pool
+
+    d = spark.createDataFrame([(0, "a", "C 1 O1", 0, -1.0), (1, "b", "C1O1", 0, -2.0), (2, "b", "C1O1", 0, -2.0), (3, "c", "C1O1", 1, -9.0)], "ind int, entry_id string, formula string, charge int, solvation_free_energy double")
+    wanted = spark.createDataFrame([("C1 O1", 0, "b"), ("C9", 0, "z")], "formula string, charge int, entry_id string")
+    assert {tuple(r) for r in pool.lowest_energies(d, wanted).collect()} == {(f, c, pool.lowest_energy(d, f, c)) for f, c in (("C1 O1", 0), ("C9", 0))} == {("C1 O1", 0, 1), ("C9", 0, None)}
+    assert {(r.entry_id, r.by_entry) for r in pool.by_entry_ids(d, wanted).collect()} == {("b", 1), ("z", None)}
+
+
+def test_equal_graphs_are_tested_once(spark, monkeypatch):
+    from fluxloom.operators import species as pool
+
+    kind = "entry_id string, charge int, formula string, covalent_hash string, penalty int, solvation_free_energy double, atoms array<struct<symbol:string,x:double>>, bonds array<struct<u:int,v:int,ord:int>>"
+    rows = [(f"m{i:03}", 0, "C1O1", "h", 0, float(-i % 7), [("C", float(i)), ("O", 0.0)] if i % 2 else [("O", 0.0), ("C", float(i))], [(0, 1, 1)]) for i in range(100)]
+    d = spark.createDataFrame(rows, kind)
+    assert [(r.ind, r.entry_id) for r in pool.representatives(d).collect()] == [(0, "m000")]
+    monkeypatch.setattr(pool.ordering, "numbered", lambda rows, *_, **__: rows.withColumn("ind", F.lit(0)))
+    plan = pool.representatives(d)._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"FlatMapGroupsInPandas.*\n.*Project.*\n.*(Distinct|Deduplicate|Aggregate)", plan), plan
