@@ -100,3 +100,16 @@ def test_equal_graphs_are_tested_once(spark, monkeypatch):
     monkeypatch.setattr(pool.ordering, "numbered", lambda rows, *_, **__: rows.withColumn("ind", F.lit(0)))
     plan = pool.representatives(d)._jdf.queryExecution().analyzed().toString()
     assert re.search(r"FlatMapGroupsInPandas.*\n.*Project.*\n.*(Distinct|Deduplicate|Aggregate)", plan), plan
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_new_candidates_are_found_without_moving_them(spark, parts):
+    d = species(spark, 12)
+    c, index = bucketing.complexes(d, d.filter("ind < 3").select("ind"), E), enumeration.product_index(d, E)
+    every = {tuple(r) for r in enumeration.candidates(c, index, E).collect()}
+    held = sorted(every)[::5]
+    net = spark.createDataFrame([(b, a, p, q) for a, b, p, q in held], ", ".join(f"{k} int" for k in enumeration.KEYS))
+    net = net.select(*enumeration.canonical(net))
+    for network in ({"network": net}, {"stored": [net.filter("k1 % 2 = 0"), net.filter("k1 % 2 <> 0")], "buckets": 3}):
+        got = [tuple(r) for r in enumeration.fresh_candidates(c, index, E, parts=parts, **network).collect()]
+        assert len(got) == len(set(got)) and set(got) == every - set(held)
