@@ -113,3 +113,19 @@ def test_new_candidates_are_found_without_moving_them(spark, parts):
     for network in ({"network": net}, {"stored": [net.filter("k1 % 2 = 0"), net.filter("k1 % 2 <> 0")], "buckets": 3}):
         got = [tuple(r) for r in enumeration.fresh_candidates(c, index, E, parts=parts, **network).collect()]
         assert len(got) == len(set(got)) and set(got) == every - set(held)
+
+
+def test_a_simulation_holds_its_network_as_arrays():
+    import tracemalloc
+
+    import numpy as np
+
+    from fluxloom.operators import simulate
+
+    n = 50_000
+    places = np.random.default_rng(1).integers(0, 90, (n, 4)).astype(np.int32)
+    tracemalloc.start()
+    fired = list(simulate.trajectory(7, np.arange(n), places, np.ones(n), {i: 50 for i in range(10)}, 3, simulate.Factors()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(fired) == 3 and peak < 90 * n
