@@ -129,3 +129,28 @@ def test_a_simulation_holds_its_network_as_arrays():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(fired) == 3 and peak < 90 * n
+
+
+def test_a_stream_keeps_few_states_for_a_seed(spark, tmp_path):
+    from fluxloom.streaming import live, state
+
+    net = spark.range(60).selectExpr("id AS reaction_id", "CAST(id AS INT) AS reactant_1", "-1 AS reactant_2", "CAST((id + 1) % 60 AS INT) AS product_1", "-1 AS product_2")
+    initial = spark.createDataFrame([(0, 5)], "species_id int, count int")
+    log, at = spark.range(360).selectExpr("id % 3 AS seed", "CAST(id DIV 3 AS INT) AS step", "id DIV 3 % 60 AS reaction_id"), str(tmp_path / "log")
+    for part in ("step < 50 AND step <> 7", "step >= 50 AND step < 110", "step = 7", "step >= 110"):  # step 7 is late
+        log.filter(part).coalesce(1).write.mode("append").parquet(at)
+        q = live.append_batches(state.live_state(live.firing_stream(spark, at, schema=log.schema), net, initial), lambda rows: rows, str(tmp_path / "out"), str(tmp_path / "c"))
+        state.append_series(live.firing_stream(spark, at, schema=log.schema), net, initial, str(tmp_path / "series"), str(tmp_path / "c2"))
+    assert q.lastProgress.stateOperators[0].numRowsTotal == 3 * state.SHARES
+    want, have = set(), {}
+    for step in [*range(7), *range(8, 110), 7, *range(110, 120)]:
+        for species, delta in ((step % 60, -1), ((step + 1) % 60, 1)):
+            have[species] = have.get(species, 5 if species == 0 else 0) + delta
+            late = step == 7 and species in (7, 8)
+            want |= {(seed, step, species, have[species], late) for seed in range(3)}
+    names = ["seed", "step", "species_id", "count", "late"]
+    assert {tuple(r) for r in live.read_batches(spark, str(tmp_path / "out"), state.OUT).select(names).collect()} == want
+    # A batch that is run again replaces its rows.
+    state._append(log.filter("step >= 110"), 3, state._changes(net, initial), str(tmp_path / "series"))
+    again = state.read_series(spark, str(tmp_path / "series")).select(names).collect()
+    assert len(again) == len(want) and {tuple(r) for r in again} == want
