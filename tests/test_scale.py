@@ -154,3 +154,30 @@ def test_a_stream_keeps_few_states_for_a_seed(spark, tmp_path):
     state._append(log.filter("step >= 110"), 3, state._changes(net, initial), str(tmp_path / "series"))
     again = state.read_series(spark, str(tmp_path / "series")).select(names).collect()
     assert len(again) == len(want) and {tuple(r) for r in again} == want
+
+
+def small_pool(spark, n):
+    """Species without metal, of two graphs a composition, in fragments that may match across graphs."""
+    d = spark.range(n).selectExpr("CAST(id AS INT) AS ind", "CAST(id % 3 AS INT) AS n_c", "CAST(id % 2 AS INT) AS n_h", "CAST(id % 5 = 1 AS INT) AS charge", "-id * 1.5D % 7 AS free_energy", "-id * 2.5D % 9 AS solvation_free_energy", "id % 11 = 4 AS is_metal", "concat('h', CAST(id % 7 AS STRING)) AS covalent_hash")
+    whole = "named_struct('n_frag', 1, 'n_broken', 0, 'hashes', array(concat('w', CAST(n_c AS STRING))))"  # not the graph's own hash
+    return d.selectExpr("*", f"array({whole}, named_struct('n_frag', 2, 'n_broken', 1, 'hashes', array('x', concat('y', CAST(ind % 2 AS STRING))))) AS fragments", "map('a', n_c) AS star_counts", "map('b', n_h) AS bond_counts", "CAST(array() AS array<struct<n_frag:int,n_broken:int,hashes:array<string>>>) AS ring_fragments")
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_what_may_be_kept_is_found_without_all_candidates(spark, parts, monkeypatch):
+    from fluxloom.operators import rules
+
+    d = small_pool(spark, 24)
+    core, c, tree = d.filter("ind % 6 = 1").select("ind"), rules.Context(-1.4), rules.default_tree()
+    found = bucketing.complexes(d, core, E)
+    every = enumeration.candidates(found, enumeration.product_index(d, E), E)
+    want = {tuple(r) for r in rules.judge(every, d, c, tree, keep_only=True).select(*enumeration.KEYS).collect()}
+    rows = rules.kept_candidates(d, core, E, tree, c, parts)
+    some = [tuple(r) for r in rows.collect()]
+    got = {tuple(r) for r in rules.judge(rows, d, c, tree, keep_only=True).select(*enumeration.KEYS).collect()}
+    assert got == want and len(some) == len(set(some)) < every.count() // 4
+    assert {(b != -1, q != -1) for _, b, _, q in want} >= {(True, True), (True, False)}
+    assert rules.match_decides(tree) and not rules.match_decides([*tree, ("more", rules.always, rules.KEEP)]) and not rules.match_decides(tree[:4] + tree[6:])
+    double = d.unionByName(d.filter("ind = 3"))  # where ids repeat, all candidates are made
+    monkeypatch.setattr(rules, "matching_gists", None)
+    assert rules.kept_candidates(double, core, E, tree, c, parts).count() >= len(some)
