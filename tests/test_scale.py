@@ -181,3 +181,14 @@ def test_what_may_be_kept_is_found_without_all_candidates(spark, parts, monkeypa
     double = d.unionByName(d.filter("ind = 3"))  # where ids repeat, all candidates are made
     monkeypatch.setattr(rules, "matching_gists", None)
     assert rules.kept_candidates(double, core, E, tree, c, parts).count() >= len(some)
+
+
+@pytest.mark.parametrize("n", [0, 1, 25])
+def test_candidates_are_numbered_without_sorting_them(spark, n, monkeypatch):
+    d, core = species(spark, n), species(spark, n).filter("ind % 4 = 1 OR ind = 0").select("ind")
+    rows = enumeration.candidates(bucketing.complexes(d, core, E), enumeration.product_index(d, E), E).collect()
+    placed, sizes = enumeration.ordering.placed, []
+    monkeypatch.setattr(enumeration.ordering, "placed", lambda rows, keys: sizes.append(rows.count()) or placed(rows, keys))
+    got = sorted(tuple(r) for r in enumeration.numbered_candidates(d, core, E, 7, 3).select(*enumeration.KEYS, "reaction_id").collect())
+    assert got == [(*r, i) for i, r in enumerate(sorted(tuple(r) for r in rows), 7)]
+    assert max(sizes) == bucketing.complexes(d, core, E).count()
