@@ -192,3 +192,21 @@ def test_candidates_are_numbered_without_sorting_them(spark, n, monkeypatch):
     got = sorted(tuple(r) for r in enumeration.numbered_candidates(d, core, E, 7, 3).select(*enumeration.KEYS, "reaction_id").collect())
     assert got == [(*r, i) for i, r in enumerate(sorted(tuple(r) for r in rows), 7)]
     assert max(sizes) == bucketing.complexes(d, core, E).count()
+
+
+@pytest.mark.parametrize("name", ["bond_prefilter", "ring_rules"])
+def test_species_are_looked_up_by_side(spark, sf_dir, name, monkeypatch):
+    from fluxloom.plans import catalog
+
+    monkeypatch.setattr(enumeration, "attached", None)  # no candidate looks its species up
+    plan = catalog.queries()[name](spark, sf_dir)
+    assert plan.filter("reactant_1 < 0").isEmpty()
+
+
+def test_sides_carry_what_species_have(spark):
+    d = species(spark, 9)
+    c, index = bucketing.complexes(d, d.filter("ind < 3").select("ind"), E), enumeration.product_index(d, E)
+    want = enumeration.attached(enumeration.candidates(c, index, E), d, ["ind", "n_c"])
+    keep = lambda x: F.struct(x["ind"].alias("ind"), x["n_c"].alias("n_c"))
+    got = enumeration.attached_candidates(c, index, E, d, lambda one, two: (keep(one), F.when(two.isNotNull(), keep(two))), 3)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
