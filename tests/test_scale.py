@@ -210,3 +210,41 @@ def test_sides_carry_what_species_have(spark):
     keep = lambda x: F.struct(x["ind"].alias("ind"), x["n_c"].alias("n_c"))
     got = enumeration.attached_candidates(c, index, E, d, lambda one, two: (keep(one), F.when(two.isNotNull(), keep(two))), 3)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+def ringed_pool(spark, n):
+    """small_pool() whose maps differ between sides, with fragmentations that close rings, and some equal ones broken otherwise."""
+    ring = "named_struct('n_frag', 1, 'n_broken', 1, 'hashes', array('x', concat('w', CAST(n_c AS STRING))))"
+    wide = "named_struct('n_frag', 3, 'n_broken', 1, 'hashes', array('x', 'w0', concat('w', CAST(n_c AS STRING))))"
+    apart = "named_struct('n_frag', 2, 'n_broken', 1, 'hashes', array('x', concat('w', CAST(n_c AS STRING))))"
+    d = small_pool(spark, n).withColumn("fragments", F.expr(f"concat(if(ind % 2 = 0, fragments, array({ring})), if(ind % 3 = 0, array({apart}), array({wide}, {ring})))"))
+    return d.withColumns({"star_counts": F.expr("map('a', ind % 4 * 2)"), "bond_counts": F.expr("map('b', ind % 4 * 2, 'Li-O', ind)"), "charge": F.expr("CAST(ind % 9 = 1 AS INT)")})
+
+
+@pytest.mark.parametrize("pool,n", [("small_pool", 0), ("small_pool", 24), ("ringed_pool", 26)])
+def test_rules_are_counted_without_candidates(spark, pool, n, monkeypatch):
+    from fluxloom.operators import rules, totals
+
+    d = globals()[pool](spark, n)
+    core, c, tree = d.filter("ind % 6 < 2").select("ind"), rules.Context(-1.4), rules.default_tree()
+    every = enumeration.candidates(bucketing.complexes(d, core, E), enumeration.product_index(d, E), E)
+    want = {r.rule: r.n for r in rules.judge(every, d, c, tree).groupBy("rule").agg(F.count("*").alias("n")).collect()}
+    made, judge = [], rules.judge
+    monkeypatch.setattr(rules, "judge", lambda rows, *more: made.append(rows.filter("reactant_2 >= 0 OR product_2 >= 0").isEmpty()) or judge(rows, *more))
+    assert {r.rule: r.n for r in totals.rule_totals(d, core, E, c).collect()} == want and made == [True]
+    assert n < 24 or want.keys() >= ({"star_change", "bond_change", "ring_close"} if pool == "ringed_pool" else {"other_skeleton", "matched"})
+    # What a task holds at once makes no difference.
+    monkeypatch.setattr(totals, "COLUMNS", 3)
+    groups = [g for _, g in totals.by_composition(totals.marked(d, core, E), E).toPandas().groupby(E)]
+    few, many = (sum((Counter(dict(totals.counted(g.reset_index(drop=True), batch=batch).itertuples(index=False))) for g in groups), Counter()) for batch in (1, 50))
+    assert few == many and sum(few.values()) == every.filter("reactant_2 >= 0 OR product_2 >= 0").count()
+
+
+def test_what_cant_be_counted_is_judged(spark):
+    from fluxloom.operators import totals
+
+    d = small_pool(spark, 6)
+    assert totals.countable(d, E) and totals.countable(d.filter("ind < 0"), E)
+    assert totals.countable(d.withColumns({"charge": F.expr("if(ind = 3, null, charge)"), "n_c": F.expr("if(ind = 3, null, n_c)")}), E)  # is in no candidate
+    for odd in (d.unionByName(d), *(d.withColumn(x, F.expr(f"if(ind = 3, null, {x})")) for x in ("charge", "covalent_hash", "fragments")), d.withColumn("free_energy", F.expr("if(ind = 3, double('NaN'), free_energy)"))):
+        assert not totals.countable(odd, E)
