@@ -248,3 +248,16 @@ def test_what_cant_be_counted_is_judged(spark):
     assert totals.countable(d.withColumns({"charge": F.expr("if(ind = 3, null, charge)"), "n_c": F.expr("if(ind = 3, null, n_c)")}), E)  # is in no candidate
     for odd in (d.unionByName(d), *(d.withColumn(x, F.expr(f"if(ind = 3, null, {x})")) for x in ("charge", "covalent_hash", "fragments")), d.withColumn("free_energy", F.expr("if(ind = 3, double('NaN'), free_energy)"))):
         assert not totals.countable(odd, E)
+
+
+def test_complexes_are_moved_for_few_parts(spark, sf_dir, tmp_path, monkeypatch):
+    from fluxloom.plans import catalog
+    from fluxloom.sources import keyed
+
+    suppliers = spark.range(300).selectExpr("id * 8 AS s_suppkey", "CAST(if(id < 9, 3, 7) AS INT) AS s_nationkey", "0.0D AS s_acctbal")  # of one composition
+    suppliers.write.parquet(str(tmp_path / "supplier.parquet"))
+    seen, dealt = [], keyed.to_parts
+    monkeypatch.setattr(keyed, "to_parts", lambda rows, *more: seen.append((rows, dealt(rows, *more))) or seen[-1][1])
+    assert catalog.queries()["keyed_candidates"](spark, str(tmp_path)).limit(5).count() == 5
+    (rows, copies), = seen
+    assert rows.count() < copies.count() < 8 * rows.count()  # 45,150 pairs in 6 parts
