@@ -294,3 +294,12 @@ def test_complexes_are_moved_for_few_parts(spark, sf_dir, tmp_path, monkeypatch)
     assert catalog.queries()["keyed_candidates"](spark, str(tmp_path)).limit(5).count() == 5
     (rows, copies), = seen
     assert rows.count() < copies.count() < 8 * rows.count()  # 45,150 pairs in 6 parts
+
+
+def test_pairs_move_blocks_and_not_copies_of_rows(spark, monkeypatch):
+    d, moved = species(spark, 2000), []
+    frame = type(d)
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: moved.append(self.count()) or deal(self, *a))
+    n = bucketing.pairs(d, d, 4, unordered=True).count()
+    assert n == 2000 * 2001 // 2 and moved == [10, 10]  # of 8,000 and more copies before
