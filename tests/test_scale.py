@@ -303,3 +303,42 @@ def test_pairs_move_blocks_and_not_copies_of_rows(spark, monkeypatch):
     monkeypatch.setattr(frame, "repartition", lambda self, *a: moved.append(self.count()) or deal(self, *a))
     n = bucketing.pairs(d, d, 4, unordered=True).count()
     assert n == 2000 * 2001 // 2 and moved == [10, 10]  # of 8,000 and more copies before
+
+
+@pytest.fixture
+def moved(spark, monkeypatch):
+    """Rows of all tables that are dealt by a key or written."""
+    from fluxloom import shared
+
+    seen, frame = [], type(spark.range(0))
+    deal, written = frame.repartition, shared.written
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: seen.append(self.count()) or deal(self, *a))
+    monkeypatch.setattr(shared, "written", lambda rows, what: seen.append(rows.count()) or written(rows, what))
+    return seen
+
+
+def suppliers(spark, path, n):
+    """A table of n suppliers, a third of them in the core, in a few compositions."""
+    d = spark.range(n).selectExpr("id AS s_suppkey", "CAST(if(id % 3 = 0, 3, 7 + id % 2) AS INT) AS s_nationkey", "id % 5 * 1.5D AS s_acctbal")
+    d.coalesce(1).write.parquet(f"{path}/supplier.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("edge,part", [(256, 1 << 26), (2, 50)])
+def test_candidates_are_made_from_blocks_of_sides(spark, edge, part, monkeypatch):
+    from fluxloom.operators import sides
+
+    monkeypatch.setattr(sides, "EDGE", edge)
+    monkeypatch.setattr(sides, "PART", part)
+    d = species(spark, 25).withColumn("n_c", F.expr("if(ind = 7, null, n_c)"))  # 7 is in none
+    core = d.filter("ind % 4 = 1 OR ind = 0").select("ind")
+    want = sorted(tuple(r) for r in enumeration.candidates(bucketing.complexes(d, core, E), enumeration.product_index(d, E), E).collect())
+    every = sides.blocks(d, core, E)
+    assert sorted(tuple(r) for r in sides.candidates(every, every.filter("core"), E).collect()) == want != []
+
+
+def test_candidates_move_no_sides(spark, tmp_path, moved):
+    from fluxloom.plans import catalog
+
+    rows = catalog.queries()["candidates"](spark, suppliers(spark, tmp_path, 120))
+    assert max(moved) < 120 * 121 // 2 // 2 < rows.count()  # 8 times the complexes and all products before
