@@ -342,3 +342,19 @@ def test_candidates_move_no_sides(spark, tmp_path, moved):
 
     rows = catalog.queries()["candidates"](spark, suppliers(spark, tmp_path, 120))
     assert max(moved) < 120 * 121 // 2 // 2 < rows.count()  # 8 times the complexes and all products before
+
+
+@pytest.mark.parametrize("name", ["bond_prefilter"])
+def test_what_decides_over_blocks_moves_no_sides(spark, tmp_path, name, moved, monkeypatch):
+    from fluxloom.operators import sides
+    from fluxloom.plans import bridge, catalog
+
+    path = suppliers(spark, tmp_path, 100)
+    counts = lambda s: s.withColumns({"bond_counts": F.expr("map('C-H', ind % 4 * 2, 'C-O', ind % 3)"), "star_counts": F.expr("map('a', 1)")})
+    monkeypatch.setattr(bridge, "with_maps", counts)
+    got = sorted(tuple(r) for r in catalog.queries()[name](spark, path).collect())
+    assert max(moved) < 100 * 101 // 2
+    monkeypatch.setattr(sides, "blocks", None)
+    monkeypatch.setattr(enumeration, "unique_ids", lambda _: False)
+    n = catalog.candidates(spark, path).count()
+    assert got == sorted(tuple(r) for r in catalog.queries()[name](spark, path).collect()) and 0 < len(got) < n
