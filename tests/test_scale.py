@@ -337,10 +337,11 @@ def test_candidates_are_made_from_blocks_of_sides(spark, edge, part, monkeypatch
     assert sorted(tuple(r) for r in sides.candidates(every, every.filter("core"), E).collect()) == want != []
 
 
-def test_candidates_move_no_sides(spark, tmp_path, moved):
+@pytest.mark.parametrize("name", ["candidates", "keyed_candidates"])
+def test_candidates_move_no_sides(spark, tmp_path, name, moved):
     from fluxloom.plans import catalog
 
-    rows = catalog.queries()["candidates"](spark, suppliers(spark, tmp_path, 120))
+    rows = catalog.queries()[name](spark, suppliers(spark, tmp_path, 120))
     assert max(moved) < 120 * 121 // 2 // 2 < rows.count()  # 8 times the complexes and all products before
 
 
