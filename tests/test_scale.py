@@ -359,3 +359,18 @@ def test_what_decides_over_blocks_moves_no_sides(spark, tmp_path, name, moved, m
     monkeypatch.setattr(enumeration, "unique_ids", lambda _: False)
     n = catalog.candidates(spark, path).count()
     assert got == sorted(tuple(r) for r in catalog.queries()[name](spark, path).collect()) and 0 < len(got) < n
+
+
+def test_new_candidates_are_found_in_blocks(spark, moved):
+    from fluxloom.operators import sides
+
+    d = species(spark, 30)
+    core = d.filter("ind % 4 = 1").select("ind")
+    every = {tuple(r) for r in enumeration.candidates(bucketing.complexes(d, core, E), enumeration.product_index(d, E), E).collect()}
+    held = [*sorted(every)[::500], *sorted(r for r in every if r[1] < 0 and r[3] < 0)[:3]]
+    net = spark.createDataFrame([(b, a, p, q) for a, b, p, q in held] + [(99, 1, 2, 3)], ", ".join(f"{k} int" for k in enumeration.KEYS))
+    net = net.select(*enumeration.canonical(net))
+    for network in ({"network": net}, {"stored": [net.filter("k1 % 2 = 0"), net.filter("k1 % 2 <> 0")], "buckets": 3}):
+        moved.clear()
+        got = [tuple(r) for r in sides.fresh(d, core, E, parts=3, **network).collect()]
+        assert len(got) == len(set(got)) and set(got) == every - set(held) and max(moved) < len(every) // 10
