@@ -374,3 +374,21 @@ def test_new_candidates_are_found_in_blocks(spark, moved):
         moved.clear()
         got = [tuple(r) for r in sides.fresh(d, core, E, parts=3, **network).collect()]
         assert len(got) == len(set(got)) and set(got) == every - set(held) and max(moved) < len(every) // 10
+
+
+def test_a_firing_copies_nothing_of_the_networks_size():
+    import tracemalloc
+
+    import numpy as np
+
+    from fluxloom.operators import simulate
+
+    n, none = 100_000, np.full(100_000, -1)
+    places = np.stack([np.arange(n), none, np.arange(n) + 1, none], axis=1).astype(np.int32)
+    fired = simulate.trajectory(7, np.arange(n), places, np.ones(n), {0: 1}, n, simulate.Factors())
+    assert next(fired)[:2] == (0, 0)
+    tracemalloc.start()
+    steps = [next(fired)[:2] for _ in range(50)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert steps == [(i, i) for i in range(1, 51)] and peak < n  # 8 bytes a reaction for each look-up before
