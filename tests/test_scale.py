@@ -392,3 +392,16 @@ def test_a_firing_copies_nothing_of_the_networks_size():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert steps == [(i, i) for i in range(1, 51)] and peak < n  # 8 bytes a reaction for each look-up before
+
+
+def test_candidates_are_numbered_without_moving_products(spark, moved, monkeypatch):
+    monkeypatch.setattr(enumeration, "RANKED", 3)
+    monkeypatch.setattr(enumeration, "RANKED_PART", 40)
+    d = species(spark, 40)
+    core = d.filter("ind % 13 = 1").select("ind")
+    c = bucketing.complexes(d, core, E)
+    rows = sorted(tuple(r) for r in enumeration.candidates(c, enumeration.product_index(d, E), E).collect())
+    moved.clear()
+    got = sorted(tuple(r) for r in enumeration.numbered_candidates(d, core, E, 5, 2).select(*enumeration.KEYS, "reaction_id").collect())
+    assert got == [(*r, i) for i, r in enumerate(rows, 5)]
+    assert max(moved) < 40 * 41 // 2 + 40  # complexes and blocks alone; all products before
