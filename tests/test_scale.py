@@ -405,3 +405,16 @@ def test_candidates_are_numbered_without_moving_products(spark, moved, monkeypat
     got = sorted(tuple(r) for r in enumeration.numbered_candidates(d, core, E, 5, 2).select(*enumeration.KEYS, "reaction_id").collect())
     assert got == [(*r, i) for i, r in enumerate(rows, 5)]
     assert max(moved) < 40 * 41 // 2 + 40  # complexes and blocks alone; all products before
+
+
+def test_rings_are_looked_up_for_sides_of_one_and_two_alone(spark, tmp_path, monkeypatch):
+    from fluxloom.plans import catalog
+
+    path, seen, attached = str(tmp_path), [], enumeration.attached_candidates
+    spark.range(40).selectExpr("id AS s_suppkey", "CAST(3 + id div 8 % 2 AS INT) AS s_nationkey", "0.0D AS s_acctbal").write.parquet(f"{path}/supplier.parquet")
+    monkeypatch.setattr(enumeration, "attached_candidates", lambda *a: seen.append(attached(*a)) or seen[-1])
+    got = sorted(tuple(r) for r in catalog.queries()["ring_rules"](spark, path).collect())
+    assert len(seen) == 2 and 0 < sum(d.count() for d in seen) < len(got) // 2
+    assert all((r[1] < 0) != (r[3] < 0) for d in seen for r in d.select(*enumeration.KEYS).collect())
+    monkeypatch.setattr(enumeration, "unique_ids", lambda _: False)
+    assert got == sorted(tuple(r) for r in catalog.queries()["ring_rules"](spark, path).collect()) and any(r[4] or r[5] for r in got)
